@@ -1,0 +1,19 @@
+"""Every registered query of the engine, with the SQL that it must equal."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {"facet_counts": facet_counts}
+SQL = {"facet_counts": "SELECT lang, count(*) AS n FROM documents GROUP BY lang"}
