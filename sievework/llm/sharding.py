@@ -8,11 +8,15 @@ at most shards x shards sums. Links are stars around the text's digest, so a
 group costs as many rows as it has documents. A group larger than an eighth of a
 shard is cut into that many salted clusters, so a text that a third of all rows
 repeat is spread over whole shards instead of one. Documents without links then
-fill each shard to the same level along one running sum, which cuts no link.
+fill each shard to the same level, which cuts no link: the few that are larger
+than a 64th of a shard (64 x shards at most) go one by one to the lowest shard,
+the others are laid along one running sum.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ ROUNDS = 4
 #: Groups of the running sums; each bounds one task's share of the rows.
 FILL_BUCKETS = 4096
 SLOT_BUCKETS = 64
+#: A document of more than 1/LARGE of a shard is placed by itself.
+LARGE = 64
 
 
 def _quotas(wanted: dict, loads: dict, capacity: float, shards: int, passes: int = 60) -> dict:
@@ -122,9 +128,22 @@ def balanced_shards(
 
     loads = {r[0]: r[1] for r in linked.groupBy("_label").agg(F.sum("_size")).collect()}
     free = state.where(F.col("_cluster").isNull())
+    large = F.col("_size") > capacity / LARGE
+    heap = [(float(loads.get(s, 0)), s) for s in range(shards)]
+    heapq.heapify(heap)
+    alone = {}
+    for row, size in free.where(large).select("_row", "_size").orderBy(F.desc("_size"), "_row").collect():  # LARGE x shards at most
+        load, s = heap[0]
+        alone[row] = s
+        heapq.heapreplace(heap, (load + size, s))
+    placed_alone = free.where(F.lit(False)).withColumn("_label", F.lit(0))
+    if alone:
+        seats = docs.sparkSession.createDataFrame(list(alone.items()), "_row long, _label int")
+        placed_alone = free.where(large).join(F.broadcast(seats), "_row")
+    free = free.where(~large)
     free_bytes = free.agg(F.sum("_size")).first()[0] or 0
     bounds, at = [], 0.0
-    for take in _level([float(loads.get(s, 0)) for s in range(shards)], float(free_bytes)):
+    for take in _level([x for x, _ in sorted(heap, key=lambda x: x[1])], float(free_bytes)):
         at += take
         bounds.append(at)
     free = free.withColumn("_bucket", F.pmod("_hash", F.lit(fill_buckets)))
@@ -137,7 +156,7 @@ def balanced_shards(
         "_label", F.size(F.filter(ends, lambda x: x <= F.col("_middle")))
     )
     columns = ["_id", "_size", "_crc", "_row", "_hash", "_label"]
-    placed = stored(linked.select(*columns).unionByName(filled.select(*columns)).withColumn("_bucket", F.pmod("_hash", F.lit(slot_buckets))), "shard-placed")
+    placed = stored(linked.select(*columns).unionByName(placed_alone.select(*columns)).unionByName(filled.select(*columns)).withColumn("_bucket", F.pmod("_hash", F.lit(slot_buckets))), "shard-placed")
     counts = placed.groupBy("_label", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     first = counts.select("_label", "_bucket", (F.sum("_n").over(Window.partitionBy("_label").orderBy("_bucket")) - F.col("_n")).alias("_first"))
     number = F.row_number().over(Window.partitionBy("_label", "_bucket").orderBy("_hash", "_row")) - 1
