@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding, spm_codec
+from . import exact_dedup, html_extract, line_dedup, quality, sharding, spm_codec, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op3_html_extraction": html_extract.op3_html_extraction,
     "op4_sentencepiece_codec": spm_codec.op4_sentencepiece_codec,
     "op5_sharding": sharding.op5_sharding,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_quality_classifier": quality.op7_quality_classifier,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
-SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
+SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
