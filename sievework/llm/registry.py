@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, line_dedup, quality, sharding, spm_codec, toxicity
+from . import exact_dedup, html_extract, line_dedup, ngram_join, quality, sharding, spm_codec, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_html_extraction": html_extract.op3_html_extraction,
     "op4_sentencepiece_codec": spm_codec.op4_sentencepiece_codec,
     "op5_sharding": sharding.op5_sharding,
