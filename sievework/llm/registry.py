@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, line_dedup, ngram_join, quality, sharding, spm_codec, toxicity
+from . import decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, quality, sharding, spm_codec, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,5 +13,6 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
