@@ -11,7 +11,10 @@ are kept in a bounded memo for each worker.
 
 from __future__ import annotations
 
+import re
 import struct
+import sys
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -28,6 +31,10 @@ MEMO_CHARS = 64
 MEMO_PAIRS = 300_000
 
 
+_ALWAYS, _NEVER = float("inf"), float("-inf")
+assert array("I").itemsize == 4 and sys.byteorder == "little"
+
+
 class PieceCodec:
     """Encoder and decoder for one BPE model file."""
 
@@ -57,14 +64,14 @@ class PieceCodec:
         self.end = next(i for i, p in enumerate(model.pieces) if p.piece == "</s>")
         self.machine = ahocorasick.Automaton()
         for piece in self.score:
-            self.machine.add_word(piece, piece)
+            self.machine.add_word(piece, (piece, len(piece), {}))
         self.machine.make_automaton()
         alone = "" if any("\n" in p for p in self.score) else "\n"
-        import re
-
         self.unit = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + ("|\n" if alone else ""))
         self.memo: dict[str, bytes] = {}
-        self.stable = lru_cache(MEMO_PAIRS)(self._stable)
+        self.older: dict[str, bytes] = {}
+        self.pairs = 0
+        self.edges: dict[str, list | None] = {}
         self.shown = [None] * len(model.pieces)
         for i, p in enumerate(model.pieces):
             if p.type == kinds.NORMAL:
@@ -77,8 +84,8 @@ class PieceCodec:
                 self.shown[i] = b""
 
     def merged(self, text: str) -> list[str]:
-        """Byte-pair merging by its definition, for short strings: the best
-        scored pair first, the leftmost of equals."""
+        """Byte-pair merging by its definition: the best scored pair first, the
+        leftmost of equals. Only tests use it, on short strings."""
         parts = list(text)
         while True:
             best, where = None, -1
@@ -90,53 +97,116 @@ class PieceCodec:
                 return parts
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
-    def _stable(self, left: str, right: str) -> bool:
-        return self.merged(left + right) == ([left, right] if left else [right])
+    def _spines(self, piece: str):
+        """The piece's outer tokens while it is merged by itself, innermost first:
+        along its right edge and along its left edge, each with the score of its
+        next merge and the level at which that merge's other half is ready. None
+        if merging does not give the piece."""
+        known = self.edges.get(piece, 0)
+        if known != 0:
+            return known
+        parts = [(c, _ALWAYS, None, None, None) for c in piece]  # text, level, score, halves
+        while len(parts) > 1:
+            best, where = None, -1
+            for i in range(len(parts) - 1):
+                s = self.score.get(parts[i][0] + parts[i + 1][0])
+                if s is not None and (best is None or s > best):
+                    best, where = s, i
+            if best is None:
+                break
+            x, y = parts[where], parts[where + 1]
+            parts[where : where + 2] = [(x[0] + y[0], min(best, x[1], y[1]), best, x, y)]
+        found = None
+        if len(parts) == 1:
+            found = []
+            for inner, outer in ((4, 3), (3, 4)):
+                at, path = parts[0], [(piece, None, None)]
+                while at[3] is not None:
+                    path.append((at[inner][0], at[2], at[outer][1]))
+                    at = at[inner]
+                found.append(path[::-1])
+        self.edges[piece] = found
+        return found
+
+    def apart(self, left: str, right: str) -> bool:
+        """Whether merging left + right gives just these two pieces (right alone,
+        if left is empty). Both sides are merged outwards from the boundary, the
+        better scored step first and the left one of equals; a pair across the
+        boundary that comes first joins them."""
+        b = self._spines(right)
+        if b is None or not left:
+            return b is not None
+        a, b = self._spines(left)[0], b[1]
+        i = j = 0
+        level = _ALWAYS
+        while True:
+            x, up, other = a[i]
+            y, vp, another = b[j]
+            nl = _NEVER if up is None else up if other >= level else min(up, other)
+            nr = _NEVER if vp is None else vp if another >= level else min(vp, another)
+            c = self.score.get(x + y)
+            if c is not None and c > nl and c >= nr:
+                return False
+            if nl == nr == _NEVER:
+                return True
+            if nl >= nr:
+                i, level = i + 1, min(level, nl)
+            else:
+                j, level = j + 1, min(level, nr)
+
+    def _stable(self, left: str, right: str, known: dict[str, bool]) -> bool:
+        """apart(), kept in the right piece's own memo."""
+        if self.pairs >= MEMO_PAIRS:
+            self.pairs = 0
+            for _, _, memo in self.machine.values():
+                memo.clear()
+        self.pairs += 1
+        answer = known[left] = self.apart(left, right)
+        return answer
 
     def pieces(self, unit: str) -> list[str]:
         """The unit's pieces: fill the prefix table, then read it backwards."""
-        n = len(unit)
-        last: list[str] = [""] * (n + 1)
-        ends: list[list[str]] | None = [[] for _ in range(n + 1)] if n <= MEMO_CHARS else None
-        if ends is not None:
-            for end, piece in self.machine.iter(unit):
-                ends[end + 1].append(piece)
-            for end in range(1, n + 1):
-                last[end] = self._last(last, unit, end, ends[end])
-        else:  # long unit: the matches of one position at a time
-            here, found = 0, []
-            for end, piece in self.machine.iter(unit):
-                while here <= end:
-                    if here < end:
-                        last[here + 1] = self._last(last, unit, here + 1, found)
-                        found, here = [], here + 1
-                    else:
-                        break
-                found.append(piece)
-            while here < n:
-                last[here + 1] = self._last(last, unit, here + 1, found)
-                found, here = [], here + 1
-        out, at = [], n
+        last = [""] * (len(unit) + 1)
+        done = 0  # prefixes up to this length have their last piece
+        for end, (piece, size, known) in self.machine.iter(unit):
+            end += 1
+            if end == done:
+                continue
+            while done < end - 1:  # a character that no piece holds stays alone
+                done += 1
+                last[done] = unit[done - 1]
+            left = last[end - size]
+            fits = known.get(left)
+            if fits is None:
+                fits = self._stable(left, piece, known)
+            if fits:
+                last[end] = piece
+                done = end
+        while done < len(unit):
+            done += 1
+            last[done] = unit[done - 1]
+        out, at = [], len(unit)
         while at:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
-
-    def _last(self, last: list[str], unit: str, end: int, found: list[str]) -> str:
-        for piece in found:
-            if self.stable(last[end - len(piece)], piece):
-                return piece
-        return unit[end - 1]
+            piece = last[at]
+            out.append(piece)
+            at -= len(piece)
+        out.reverse()
+        return out
 
     def _packed(self, unit: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pieces(unit):
-            known = self.ids.get(piece)
-            ids.extend([known] if known is not None else [self.byte_ids[b] for b in piece.encode()])
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(unit)
+        if packed is None:
+            try:
+                ids = [self.ids[p] for p in self.pieces(unit)]
+            except KeyError:
+                ids = []
+                for p in self.pieces(unit):
+                    ids.extend([self.ids[p]] if p in self.ids else [self.byte_ids[b] for b in p.encode()])
+            packed = array("I", ids).tobytes()
         if len(unit) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_UNITS:
-                self.memo.clear()
+                # Two generations: what is still in use moves on to the new one.
+                self.older, self.memo = self.memo, {}
             self.memo[unit] = packed
         return packed
 
