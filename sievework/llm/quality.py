@@ -8,9 +8,9 @@ is fitted to the gradient of the logistic loss and added with a small step; then
 the pairs whose residual surface gains most are boosted in the same way. Scoring
 adds one table entry for each feature and pair, vectorised over a batch.
 
-The labels are joined to the stored features, so texts are read once and never
-shuffled. The fit takes a sample of labelled rows (`max_rows`, the only bound);
-scoring covers every document and its whole text.
+The fit takes a sample of labelled rows (`max_rows`, the only bound), whose ids are
+broadcast to find their texts; scoring covers every document and its whole text
+where it lies, so no text is ever shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import table
 
 #: Labelled rows that a fit takes at most.
 MAX_ROWS = 20_000
@@ -203,25 +203,24 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, grid: int = 8, rounds: int
     return model
 
 
-def add_features(docs: DataFrame, text_col: str = "text", out_col: str = "_features") -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, text_col: str, label_col: str, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most max_rows labelled rows, drawn by a hash of
+    the id; rows without a label or an id are left out. The drawn ids are
+    broadcast (max_rows at most), so no text is shuffled."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("_label"))
+    share = min(1.0, max_rows / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20))).limit(max_rows)
+
     @F.arrow_udf("array<float>")
     def vectors(texts: pa.Array) -> pa.Array:
         rows = [features(t.as_py()) for t in texts]
         flat = np.concatenate(rows) if rows else np.zeros(0, np.float32)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(FEATURES)), pa.int32()), pa.array(flat, pa.float32()))
 
-    return docs.withColumn(out_col, vectors(F.col(text_col)))
-
-
-def training_rows(scored: DataFrame, labels: DataFrame, label_col: str, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most max_rows labelled rows, drawn by a hash of
-    the id; rows without a label or an id are left out."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("_label"))
-    share = min(1.0, max_rows / max(1, known.count()))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20))
-    rows = scored.join(known.where(draw), "doc_id").select("_features", "_label").limit(max_rows).toArrow()
-    flat = rows.column(0).combine_chunks()
-    x = np.asarray(flat.flatten(), np.float32).reshape(-1, len(FEATURES)) if len(rows) else np.zeros((0, len(FEATURES)), np.float32)
+    rows = docs.select("doc_id", F.col(text_col).alias("_text")).join(F.broadcast(drawn), "doc_id").select(vectors("_text").alias("x"), "_label").limit(max_rows).toArrow()
+    if not rows.num_rows:
+        return np.zeros((0, len(FEATURES)), np.float32), np.zeros(0)
+    x = np.asarray(rows.column(0).combine_chunks().flatten(), np.float32).reshape(-1, len(FEATURES))
     return x, np.asarray(rows.column(1), np.float64)
 
 
@@ -230,8 +229,8 @@ def held_out(id_col):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, threshold: float = THRESHOLD, keep: list[str] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the columns named in keep.
+def quality_scores(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The input's columns plus held_out, score, predicted.
 
     One row for each document. score is the model's probability that the label is
     1; predicted is 1 where score >= threshold. Null and empty texts share one
@@ -239,18 +238,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text_col: str = "text", l
     out and never trained on. Empty documents give an empty result, empty labels
     a score of 0.5 everywhere.
     """
-    rows = stored(add_features(docs, text_col).select("doc_id", "_features", *keep), "quality-features")
-    known = labels.where(~held_out("doc_id"))
-    model = pickle.dumps(fit(*training_rows(rows.select("doc_id", "_features"), known, label_col, max_rows)))
+    model = pickle.dumps(fit(*training_rows(docs, labels.where(~held_out("doc_id")), text_col, label_col, max_rows)))
+    held: list[Additive] = []
 
     @F.arrow_udf("double")
-    def score(vectors: pa.Array) -> pa.Array:
-        x = np.asarray(vectors.flatten(), np.float32).reshape(-1, len(FEATURES))
-        return pa.array(pickle.loads(model).score(x), pa.float64())
-
-    return rows.select("doc_id", held_out("doc_id").alias("held_out"), score("_features").alias("score"), *keep).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int")
-    )
+    def score(texts: pa.Array) -> pa.Array:
+        if not held:
+            held.append(pickle.loads(model))
+        if not len(texts):
+            return pa.array([], pa.float64())
+        return pa.array(held[0].score(np.stack([features(t.as_py()) for t in texts])), pa.float64())
+
+    scored = docs.withColumn("held_out", held_out("doc_id")).withColumn("score", score(F.col(text_col)))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op7_quality_classifier(spark, sf_dir):
