@@ -1,19 +1,684 @@
-"""Every registered query of the engine, with the SQL that it must equal."""
+"""Every registered query of the engine, with the SQL that it must equal.
+
+The clock is never read: queries that need a present moment take NOW.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import enrich as E
+from ..functions import score as S
+from ..functions import text as X
+from ..operators import dedup, lifecycle, matching, merge, patterns, search
+from ..sources import readers, sinks
+from ..streaming import incremental
+
+NOW = "2001-08-01 00:00:00"
+EVENT_NOW = "2024-01-31 00:00:00"
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _now(text: str = NOW):
+    return F.lit(text).cast("timestamp")
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _words(c):
+    return F.filter(F.split(F.lower(c), r"(?U)[^\w]+"), lambda t: t != "")
+
+
+_WORD_SQL = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
+
+
+# --- search and statistics ---------------------------------------------------
+
+
+@_query("""
+WITH h AS (SELECT * FROM documents WHERE lang IN ('en', 'de') AND source IN ('src0', 'src1', 'src2', 'src3') AND n_chars >= 200 AND n_chars <= 9000)
+SELECT doc_id, lang, source, n_chars, 60 < (SELECT count(*) FROM h) AS has_more
+FROM h ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 10
+""")
+def search_filters_page(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    where = F.col("lang").isin(search.csv_values("en, de")) & F.col("source").isin(search.csv_values("src0,src1, src2,,src3"))
+    where = where & search.pay_overlap(F.col("n_chars"), F.col("n_chars"), 200, 9000)
+    total = docs.where(where).agg((F.lit(60) < F.count(F.lit(1))).alias("has_more"))
+    return search.page_of(docs, where, [F.desc("n_chars"), F.asc("doc_id")], 50, 10).crossJoin(F.broadcast(total))
+
+
+@_query("""
+SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS pay FROM customer
+WHERE c_mktsegment = 'BUILDING' ORDER BY pay DESC NULLS LAST, c_custkey LIMIT 100
+""")
+def search_salary_nulls_last(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer").withColumn("pay", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")))
+    return search.page_of(c, F.col("c_mktsegment") == "BUILDING", [F.desc_nulls_last("pay"), F.asc("c_custkey")], 100).select("c_custkey", "pay")
+
+
+@_query(rf"SELECT doc_id FROM documents WHERE list_has_all({_WORD_SQL}, ['the', 'of', 'and'])")
+def fulltext_conjunctive(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return docs.where(X.contains_all(X.search_tokens(F.col("text")), "The of AND")).select("doc_id")
+
+
+@_query(rf"""
+WITH t AS (SELECT doc_id, {_WORD_SQL} AS w FROM documents)
+SELECT doc_id, round(len(list_filter(w, lambda x: x = 'the' OR x = 'der')) / (1 + ln(len(w) + 1)), 6) AS rank
+FROM t ORDER BY rank DESC, doc_id LIMIT 50
+""")
+def fulltext_ranked(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    none = F.array().cast("array<string>")
+    ranked = docs.select("doc_id", F.round(search.term_rank(none, _words(F.col("text")), "the der"), 6).alias("rank"))
+    return ranked.orderBy(F.desc("rank"), "doc_id").limit(50)
+
+
+@_query(rf"""
+WITH t AS (SELECT doc_id, unnest({_WORD_SQL}) AS token FROM documents),
+i AS (SELECT token, doc_id, count(*) AS tf FROM t WHERE token IN ('la', 'de') GROUP BY ALL)
+SELECT doc_id, sum(tf)::BIGINT AS tf FROM i GROUP BY doc_id HAVING count(*) = 2
+""")
+def fulltext_index(spark, sf_dir):
+    index = search.token_table(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return search.search_index(index, "doc_id", "la de")
+
+
+@_query("""
+SELECT 'lang' AS dim, lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang
+UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source
+""")
+def facet_counts(spark, sf_dir):
+    return search.facets(_read(spark, sf_dir, "documents"), ["lang", "source"])
+
+
+@_query("SELECT min(p_size) AS min, max(p_retailprice) AS max, round(avg(p_retailprice), 2) AS avg FROM part WHERE p_retailprice IS NOT NULL")
+def numeric_stats(spark, sf_dir):
+    return search.numeric_stats(_read(spark, sf_dir, "part"), "p_size", "p_retailprice")
+
+
+@_query("SELECT event_type AS source, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY event_type")
+def source_summary(spark, sf_dir):
+    return search.source_summary(_events(spark, sf_dir), "event_type", "ts").withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss"))
+
+
+@_query("""
+SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-06-01' GROUP BY ALL
+""")
+def volume_summary(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("2001-06-01").cast("timestamp_ntz"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n")
+    )
+
+
+# --- applications ------------------------------------------------------------
+
+
+@_query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def status_counts(spark, sf_dir):
+    return lifecycle.status_counts(_read(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+@_query("""
+WITH o AS (SELECT count(*) AS total, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS s, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS a,
+  count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS i, count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM') AS f FROM orders)
+SELECT total, round((total - s) / total, 3) AS application_rate, round((i + f) / a, 3) AS interview_rate, round(f / i, 3) AS offer_rate FROM o
+""")
+def status_funnel(spark, sf_dir):
+    return lifecycle.funnel(_read(spark, sf_dir, "orders"), "o_orderpriority", "5-LOW", "1-URGENT", "2-HIGH", "3-MEDIUM")
+
+
+@_query("SELECT o_orderkey, o_orderstatus, c_name, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey")
+def applications_left_join(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
+    return _read(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_orderstatus", "c_name", "c_mktsegment")
+
+
+@_query("SELECT c_mktsegment AS source, o_orderstatus AS status, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
+def status_by_source(spark, sf_dir):
+    j = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return j.groupBy(F.col("c_mktsegment").alias("source"), F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def anti_excluded(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    return _read(spark, sf_dir, "customer").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+
+
+@_query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+def semi_retained(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders").where("o_totalprice > 400000")
+    return _read(spark, sf_dir, "customer").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
+
+
+_RETENTION_SQL = """
+WITH s AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40),
+p AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45),
+c AS (SELECT o_orderkey, CASE WHEN p.k IS NOT NULL THEN 'pipeline' WHEN s.k IS NOT NULL THEN 'saved' ELSE 'normal' END AS kind,
+  epoch(TIMESTAMP '2001-08-01') - epoch(o_orderdate) AS age FROM orders LEFT JOIN s ON s.k = o_orderkey LEFT JOIN p ON p.k = o_orderkey)
+SELECT kind, age > 86400 * (CASE kind WHEN 'pipeline' THEN 180 WHEN 'saved' THEN 90 ELSE 60 END) AS expired, count(*) AS n FROM c GROUP BY ALL
+"""
+
+
+@_query(_RETENTION_SQL)
+def retention_classes(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders").withColumn("seen", F.col("o_orderdate").cast("timestamp"))
+    items = _read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    saved, pipeline = items.where("l_returnflag = 'R' AND l_quantity > 40"), items.where("l_returnflag = 'A' AND l_quantity > 45")
+    return merge.retention(orders, saved, pipeline, "o_orderkey", "seen", _now()).groupBy("kind", "expired").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- hashes and duplicates ---------------------------------------------------
+
+
+@_query("SELECT p_partkey, md5(lower(trim(p_name)) || '|' || lower(trim(p_brand)) || '|' || trim(p_type)) AS hash FROM part")
+def identity_hash(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select("p_partkey", X.identity_hash(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("hash"))
+
+
+_LITERALS = r"\(all genders\)|\(m/f/d\)|\(m/w/d\)|\(f/m/d\)|\(w/m/d\)|\(m/f/x\)|\(w/m/x\)|trainee|senior|junior|intern|m/f/d|m/w/d|f/m/d|w/m/d|lead|head|sr\.|jr\.|sr|jr"
+
+
+@_query(rf"""
+SELECT p_partkey, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower('Senior ' || p_name || ' (m/w/d) ' || p_type), '{_LITERALS}', '', 'g'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))
+  || '|' || array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_brand || ' AG'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w NOT IN ('ag', 'gmbh', 'sa') AND w <> ''), ' ')) AS fuzzy
+FROM part
+""")
+def fuzzy_hash(spark, sf_dir):
+    title = F.concat(F.lit("Senior "), "p_name", F.lit(" (m/w/d) "), "p_type")
+    return _read(spark, sf_dir, "part").select("p_partkey", X.fuzzy_hash(title, F.concat("p_brand", F.lit(" AG"))).alias("fuzzy"))
+
+
+@_query("""
+WITH f AS (SELECT doc_id, source, first_value(source) OVER w AS s, first_value(doc_id) OVER w AS i FROM documents
+  WINDOW w AS (PARTITION BY lower(trim(text)) ORDER BY doc_id))
+SELECT doc_id, CASE WHEN s <> source THEN i END AS duplicate_of FROM f
+""")
+def fuzzy_dedup(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.lower(F.trim("text"))).alias("key"))
+    return dedup.fuzzy_duplicates(docs, "key", "source", [F.col("doc_id")], "doc_id").select("doc_id", "duplicate_of")
+
+
+@_query("""
+SELECT b.vec_id, min(a.vec_id) AS duplicate_of FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.4 GROUP BY b.vec_id
+""")
+def semantic_dedup(spark, sf_dir):
+    return dedup.semantic_duplicates(_read(spark, sf_dir, "embeddings"), 0.4, "vec_id", "embedding", "vec_id")
+
+
+@_query("""
+SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS cosine
+FROM embeddings ORDER BY cosine DESC, vec_id LIMIT 20
+""")
+def vector_topk(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings")
+    probe = vectors.where("vec_id = 0").select("embedding").first()[0]
+    return matching.nearest(vectors, probe, "vec_id", "embedding", 20)
+
+
+# --- matching ----------------------------------------------------------------
+
+
+def _postings(spark, sf_dir) -> DataFrame:
+    v = _read(spark, sf_dir, "embeddings")
+    c = F.col
+    return v.select(
+        c("vec_id").cast("string").alias("hash"), "embedding", (60000 + c("label") * 8000).alias("salary_min_chf"), F.when(c("label") % 3 != 0, 70000 + c("label") * 9000).alias("salary_max_chf"),
+        F.when(c("label") != 7, F.concat(F.lit("Loc"), c("label"), F.lit(", Land"))).alias("location"),
+        (F.unix_timestamp(_now()) - (c("vec_id") % 40) * 86400).cast("timestamp").alias("first_seen_at"),
+        F.when(c("label") == 9, None).when(c("label") % 2 == 0, "en").otherwise("de").alias("language"), F.array(F.concat(F.lit("T"), c("label")), F.lit("crm")).alias("tags"),
+    )
+
+
+_MATCH_SQL = """
+WITH p AS (SELECT embedding::DOUBLE[] AS pe FROM embeddings WHERE vec_id = 0),
+j AS (SELECT vec_id, label, greatest(0, list_cosine_similarity(embedding::DOUBLE[], pe)) AS e,
+  (60000 + label * 8000 + CASE WHEN label % 3 <> 0 THEN 70000 + label * 9000 ELSE 60000 + label * 8000 END) / 2 / 90000 AS r, vec_id % 40 AS d FROM embeddings, p),
+f AS (SELECT vec_id, label, e, CASE WHEN r >= 1 THEN 1 WHEN r >= 0.8 THEN 0.5::DOUBLE + (r - 0.8::DOUBLE) * 2.5::DOUBLE ELSE r / 0.8::DOUBLE * 0.5::DOUBLE END AS s,
+  CASE WHEN label = 7 THEN 0.3 WHEN label IN (3, 5) THEN 1 ELSE 0 END::DOUBLE AS l,
+  CASE WHEN d <= 1 THEN 1 WHEN d <= 7 THEN 0.8 WHEN d <= 14 THEN 0.5 WHEN d <= 30 THEN 0.3 ELSE 0.1 END::DOUBLE AS n,
+  CASE WHEN label = 9 THEN 0.5 WHEN label % 2 = 0 THEN 1 ELSE 0.2 END::DOUBLE AS g FROM j)
+SELECT vec_id::VARCHAR AS hash, round_even((0.35::DOUBLE * e + 0.15::DOUBLE * s + 0.1::DOUBLE * l + 0.15::DOUBLE * n + 0.1::DOUBLE * g) * 100, 1) AS score_final,
+  CASE WHEN label = 4 THEN 'crm,t4' ELSE 'crm' END AS matching_skills, CASE WHEN label = 4 THEN '' ELSE 't' || label END AS missing_skills
+FROM f WHERE round_even((0.35::DOUBLE * e + 0.15::DOUBLE * s + 0.1::DOUBLE * l + 0.15::DOUBLE * n + 0.1::DOUBLE * g) * 100, 1) >= 35
+"""
+
+
+@_query(_MATCH_SQL)
+def match_score(spark, sf_dir):
+    profile = _read(spark, sf_dir, "embeddings").where("vec_id = 0").select(
+        F.lit("u").alias("user_id"), F.col("embedding").alias("cv_embedding"), F.lit(80000).alias("salary_min"), F.lit(100000).alias("salary_max"),
+        F.array(F.lit("loc3"), F.lit("LOC5")).alias("locations"), F.array(F.lit("English")).alias("languages"), F.array(F.lit("CRM"), F.lit("t4")).alias("skills"),
+        F.lit(None).cast("map<string,double>").alias("score_weights"),
+    )
+    found = matching.score_matches(_postings(spark, sf_dir), profile, _now())
+    return found.select("hash", "score_final", F.array_join("matching_skills", ",").alias("matching_skills"), F.array_join("missing_skills", ",").alias("missing_skills"))
+
+
+@_query(r"""
+WITH d AS (SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'A' WHEN source IN ('src3', 'src4') THEN 'B' WHEN source = 'src5' THEN 'C' END AS tier, doc_id % 10 AS days,
+  text || CASE WHEN doc_id % 3 = 0 THEN ' URGENT.' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' deadline: 2024-01-31' ELSE '' END AS body, doc_id % 4 = 0 AS portal FROM documents)
+SELECT doc_id, CASE WHEN tier IS NULL THEN 0 ELSE greatest(0, least(100,
+  CASE tier WHEN 'A' THEN 30 WHEN 'B' THEN 15 ELSE 0 END + CASE WHEN days < 2 THEN 15 WHEN days < 7 THEN 10 ELSE 0 END
+  + CASE WHEN regexp_matches(body, '(?i)(^|[^\p{L}\p{N}_])(immediate|immediately|as soon as possible|asap|urgent|sofort|umgehend|dès que possible|au plus vite)([^\p{L}\p{N}_]|$)') THEN 20 ELSE 0 END
+  + CASE WHEN regexp_matches(body, '(?i)(?:deadline|apply by|closing date|closes on|frist|date limite|terme)[^\d]{0,15}(\d{1,2}[./ -]\d{1,2}[./ -]\d{2,4}|\d{4}-\d{2}-\d{2})') THEN 10 ELSE 0 END
+  - CASE WHEN portal THEN 10 ELSE 0 END)) END AS urgency FROM d
+""")
+def urgency_score(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents")
+    s, i = F.col("source"), F.col("doc_id")
+    tier = F.when(s.isin("src1", "src2"), "A").when(s.isin("src3", "src4"), "B").when(s == "src5", "C")
+    body = F.concat("text", F.when(i % 3 == 0, " URGENT.").otherwise(""), F.when(i % 5 == 0, " deadline: 2024-01-31").otherwise(""))
+    return d.select("doc_id", S.urgency(tier, i % 10, body, F.when(i % 4 == 0, "portal_only")).alias("urgency"))
+
+
+CATEGORY_RULES = {"A": ["nicht", "worthless"], "H": ["les", "pour la"], "K": ["the", "of"], "M": ["ción"]}
+_W = r"[^\p{L}\p{N}_]"
+_CATEGORY_CASE = " ".join(f"WHEN regexp_matches(t, '(?i)(^|{_W})({'|'.join(v)})({_W}|$)') THEN '{k}'" for k, v in CATEGORY_RULES.items())
+
+
+@_query(rf"""
+WITH d AS (SELECT doc_id, regexp_replace(text || ' ' || source, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g') AS t FROM documents),
+c AS (SELECT doc_id, CASE {_CATEGORY_CASE} ELSE 'otros' END AS category FROM d)
+SELECT doc_id, category, CASE category WHEN 'A' THEN 1.0 WHEN 'H' THEN 0.15 WHEN 'K' THEN 0.2 WHEN 'M' THEN 0.1 ELSE 0.55 END::DOUBLE AS times FROM c
+""")
+def category_rules(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").withColumn("category", E.category(F.col("text"), F.array("source"), CATEGORY_RULES))
+    return d.select("doc_id", "category", E.category_times(F.col("category")).alias("times"))
+
+
+TERMS = ["there", "ing", "ment", "schaft", "that", "ión", "heit", "der ", "ould", "pour"]
+
+
+@_query(f"SELECT doc_id, array_to_string(list_filter({TERMS!r}, lambda t: contains(lower(text), t))[:4], '|') AS skills FROM documents")
+def skill_extract(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.array_join(X.dictionary_terms(F.col("text"), TERMS, 4), "|").alias("skills"))
+
+
+@_query("""
+WITH p AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part)
+SELECT p_partkey, array_to_string(list_sort(list_filter(['ring', 'small', 'widget'], lambda x: list_contains(w, x))), ',') AS matching,
+  array_to_string(list_sort(list_distinct(list_filter(w, lambda x: x NOT IN ('ring', 'small', 'widget')))), ',') AS missing FROM p
+""")
+def skill_overlap(spark, sf_dir):
+    own = F.split(F.lower("p_name"), " ")
+    asked = F.array(F.lit("ring"), F.lit("small"), F.lit("widget"))
+    return _read(spark, sf_dir, "part").select(
+        "p_partkey", F.array_join(F.array_sort(F.array_intersect(asked, own)), ",").alias("matching"), F.array_join(F.array_sort(F.array_except(own, asked)), ",").alias("missing")
+    )
+
+
+# --- pages and payloads ------------------------------------------------------
+
+
+@_query(r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM pages")
+def html_strip(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", F.md5(X.strip_html(F.col("html"))).alias("text_md5"))
+
+
+@_query("""SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS n_links, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages""")
+def page_links(spark, sf_dir):
+    return readers.links(_read(spark, sf_dir, "pages"))
+
+
+@_query()
+def page_cards(spark, sf_dir):
+    return readers.html_cards(_read(spark, sf_dir, "pages"), "ad").select("page_id", "pos", "url", "title", F.array_join(F.map_values("fields"), " ").alias("text"))
+
+
+_PAY = [(1, "100000-120000 EUR", "yearly"), (2, "8000 USD", "monthly"), (3, "50 GBP", "hourly"), (4, "80k - 95k CHF", None), (5, "nach Vereinbarung", None), (6, "22.50 EUR", "hourly"), (7, "90 to 110k", "yearly")]
+_PAY_ROWS = ", ".join(f"({i}, '{t}', {'NULL' if p is None else repr(p)})" for i, t, p in _PAY)
+_NUMBER_SQL = "(CASE WHEN contains(lower(t), 'k') AND v < 1000 THEN v * 1000 ELSE v END)"
+
+
+@_query(rf"""
+WITH r AS (SELECT * FROM (VALUES {_PAY_ROWS}) x(id, t, period)),
+m AS (SELECT *, regexp_matches(t, '{E._RANGE}') AS ranged, nullif(upper(regexp_extract(t, '(?i)\b(CHF|EUR|USD|GBP)\b', 1)), '') AS currency FROM r),
+n AS (SELECT *, CASE WHEN ranged THEN regexp_extract(t, '{E._RANGE}', 1) ELSE regexp_extract(t, '{E._SINGLE}', 1) END AS a,
+  CASE WHEN ranged THEN regexp_extract(t, '{E._RANGE}', 2) ELSE regexp_extract(t, '{E._SINGLE}', 1) END AS b FROM m),
+v AS (SELECT *, try_cast(replace(replace(a, '.', ''), ',', '') AS DOUBLE) AS lo, try_cast(replace(replace(b, '.', ''), ',', '') AS DOUBLE) AS hi FROM n),
+k AS (SELECT *, CASE WHEN contains(lower(t), 'k') AND lo < 1000 THEN lo * 1000 ELSE lo END AS lo2, CASE WHEN contains(lower(t), 'k') AND hi < 1000 THEN hi * 1000 ELSE hi END AS hi2,
+  CASE currency WHEN 'EUR' THEN 0.96 WHEN 'USD' THEN 0.88 WHEN 'GBP' THEN 1.12 ELSE 1 END::DOUBLE * CASE period WHEN 'monthly' THEN 12 WHEN 'hourly' THEN 2080 ELSE 1 END AS f FROM v)
+SELECT id, floor(lo2 * f)::INTEGER AS lo, floor(hi2 * f)::INTEGER AS hi, currency FROM k
+""")
+def salary_parse(spark, sf_dir):
+    rows = spark.createDataFrame(_PAY, "id int, t string, period string").withColumn("p", E.parse_pay(F.col("t")))
+    pay = lambda c: E.annual_chf(F.col(f"p.{c}"), F.col("p.currency"), F.col("period"))
+    return rows.select("id", pay("lo").alias("lo"), pay("hi").alias("hi"), F.col("p.currency").alias("currency"))
+
+
+_LEVELS = [(1, "Head of Sales", None), (2, "Senior Editor 80%", None), (3, "Praktikum Marketing", "internship"), (4, "International Lead", None), (5, "Teilzeit Lehrer", None), (6, "Koch", "temporary")]
+
+
+def _rule_sql(rules: dict[str, list[str]]) -> str:
+    return "CASE " + " ".join("WHEN " + " OR ".join("contains(t, '{}')".format(w.replace("'", "''")) for w in words) + f" THEN '{k}'" for k, words in rules.items()) + " END"
+
+
+@_query(f"""
+WITH r AS (SELECT id, title, kind, lower(title) AS t FROM (VALUES {", ".join(f"({i}, '{t}', {'NULL' if k is None else repr(k)})" for i, t, k in _LEVELS)}) x(id, title, kind))
+SELECT id, {_rule_sql(E.SENIORITY_WORDS)} AS seniority, coalesce(kind, {_rule_sql(E.CONTRACT_WORDS)}) AS contract FROM r
+""")
+def level_and_contract(spark, sf_dir):
+    rows = spark.createDataFrame(_LEVELS, "id int, title string, kind string")
+    kind = E.valid_or_null(F.col("kind"), E.CONTRACT_VALID)
+    none = F.lit(None).cast("string")
+    return rows.select("id", E.seniority(none, F.col("title")).alias("seniority"), E.contract_type(kind, none, F.col("title"), none).alias("contract"))
+
+
+@_query(r"""
+SELECT event_type, sum(try_cast(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS parsed,
+  sum(try_cast(nullif(regexp_extract(substr(props, 1, length(props) - 1), '"k":\s*(\d+)', 1), '') AS BIGINT))::BIGINT AS salvaged FROM events GROUP BY event_type
+""")
+def json_salvage(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    whole = F.from_json("props", "k bigint")["k"]
+    cut = F.nullif(F.regexp_extract(F.substring(F.col("props"), F.lit(1), F.length("props") - 1), r'"k":\s*(\d+)', 1), F.lit("")).try_cast("bigint")
+    return e.groupBy("event_type").agg(F.sum(whole).alias("parsed"), F.sum(cut).alias("salvaged"))
+
+
+# --- rejection patterns ------------------------------------------------------
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("rejected"))
+    return _read(spark, sf_dir, "documents").join(labels, "doc_id")
+
+
+_STOPS = ", ".join(repr(w) for w in dict.fromkeys(X.STOP_WORDS))
+_RATED_SQL = """SELECT pattern, rejected, total, round(rejected / total, 6) AS rate, round(least(1, 0.7::DOUBLE * (rejected / total) + 0.3::DOUBLE * least(rejected, 10) / 10), 6) AS confidence
+FROM c WHERE rejected >= {least} AND rejected / total >= 0.55"""
+
+
+@_query(
+    rf"""
+WITH t AS (SELECT quality = 0 AS r, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(lower(text), '\(.*?\)', '', 'g'), '\d+[-–]\d+\s*%?', '', 'g'), '\d+\s*%', '', 'g'),
+  '[\s/,\-|.]+'), lambda x: length(x) > 1 AND x NOT IN ({_STOPS})) AS w FROM documents JOIN labels USING (doc_id)),
+g AS (SELECT r, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))], [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])) AS pattern FROM t),
+c AS (SELECT pattern, sum(r::INTEGER)::BIGINT AS rejected, count(*) AS total FROM g GROUP BY pattern)
+"""
+    + _RATED_SQL.format(least=20)
+)
+def ngram_rejection(spark, sf_dir):
+    counts = patterns.ngram_counts(_labelled(spark, sf_dir), "text", "rejected")
+    return patterns.rated(counts, 20).withColumns({"rate": F.round("rate", 6), "confidence": F.round("confidence", 6)})
+
+
+@_query(
+    """
+WITH g AS (SELECT quality = 0 AS r, unnest([lang, source]) AS pattern FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT pattern, sum(r::INTEGER)::BIGINT AS rejected, count(*) AS total FROM g GROUP BY pattern)
+"""
+    + _RATED_SQL.format(least=2).replace("0.55", "0.05")
+)
+def tag_rejection(spark, sf_dir):
+    counts = patterns.tag_counts(_labelled(spark, sf_dir).withColumn("tags", F.array("lang", "source")), "tags", "rejected")
+    return patterns.rated(counts, 2, 0.05).withColumns({"rate": F.round("rate", 6), "confidence": F.round("confidence", 6)})
+
+
+@_query()
+def pattern_suggestions(spark, sf_dir):
+    counts = patterns.ngram_counts(_labelled(spark, sf_dir), "text", "rejected", ["lang"])
+    return patterns.title_suggestions(counts, ["lang"])
+
+
+@_query("SELECT p_partkey FROM part WHERE NOT contains(lower(p_name), 'ring') AND NOT contains(lower(p_name), 'red') AND p_type <> 'ECONOMY'")
+def user_title_filters(spark, sf_dir):
+    rows = [("title_contains", "RING", True), ("title_contains", "red", True), ("tag_contains", "ECONOMY", True), ("title_contains", "widget", False)]
+    filters = spark.createDataFrame(rows, "filter_type string, pattern string, is_active boolean")
+    part = _read(spark, sf_dir, "part").withColumn("tags", F.array("p_type"))
+    return matching.without_user_filters(part, filters, "p_name").select("p_partkey")
+
+
+# --- merges and events -------------------------------------------------------
+
+
+@_query("""
+WITH o AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'), n AS (SELECT * FROM orders WHERE o_orderkey % 3 = 0)
+SELECT o.o_orderkey, o.o_totalprice, CASE WHEN n.o_orderkey IS NULL THEN '1998-01-01' ELSE '2001-08-01' END AS last_seen, n.o_orderkey IS NOT NULL OR o.o_orderstatus <> 'F' AS is_active
+FROM o LEFT JOIN n USING (o_orderkey)
+UNION ALL SELECT o_orderkey, o_totalprice + 1, '2001-08-01', true FROM n WHERE o_orderkey NOT IN (SELECT o_orderkey FROM o)
+""")
+def upsert_merge(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("timestamp"))
+    old = orders.where("day < '1998-01-01'").select("o_orderkey", "o_totalprice", _now("1998-01-01").alias("last_seen_at"), (F.col("o_orderstatus") != "F").alias("is_active"))
+    new = orders.where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), _now().alias("last_seen_at"), F.lit(True).alias("is_active"))
+    out = merge.upsert(old, new, "o_orderkey", _now())
+    return out.select("o_orderkey", "o_totalprice", F.date_format("last_seen_at", "yyyy-MM-dd").alias("last_seen"), "is_active")
+
+
+@_query("""
+WITH o AS (SELECT o_orderkey AS k, o_totalprice AS s, o_orderpriority = '1-URGENT' AS engaged FROM orders WHERE o_orderkey % 2 = 0),
+n AS (SELECT o_orderkey AS k, o_totalprice + 5 AS s FROM orders WHERE o_orderkey % 3 = 0)
+SELECT o.k AS job_hash, coalesce(n.s, o.s) AS score_final, engaged FROM o LEFT JOIN n USING (k) WHERE n.k IS NOT NULL OR engaged
+UNION ALL SELECT k, s, false FROM n WHERE k NOT IN (SELECT k FROM o)
+""")
+def result_merge(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders")
+    none = F.lit(None).cast("string")
+    feedback = F.when(F.col("o_orderpriority") == "1-URGENT", "thumbs_up")
+    cols = ["job_hash", "score_final", "feedback", "application_status", "draft_letter"]
+    old = orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_totalprice", feedback, F.lit("detected"), none).toDF(*cols)
+    new = orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_totalprice") + 5, none, none, none).toDF(*cols)
+    out = merge.merge_results(old, new, ["job_hash"], ["score_final"])
+    return out.select("job_hash", "score_final", F.col("feedback").isNotNull().alias("engaged"))
+
+
+@_query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS feedback, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS feedback_at FROM events GROUP BY user_id")
+def latest_feedback(spark, sf_dir):
+    out = merge.latest_feedback(_events(spark, sf_dir), ["user_id"], "event_type", "ts", "event_id")
+    return out.withColumn("feedback_at", F.date_format("feedback_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@_query("SELECT user_id, string_agg(event_type || ':' || event_id, ',' ORDER BY ts, event_id) AS signals FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id")
+def implicit_array(spark, sf_dir):
+    e = _events(spark, sf_dir).where(F.col("event_type").isin("view", "click"))
+    out = merge.implicit_signals(e, ["user_id"], "event_type", "event_id", "ts", "event_id")
+    return out.select("user_id", F.array_join(F.transform("signals", lambda x: F.concat(x["action"], F.lit(":"), x["value"])), ",").alias("signals"))
+
+
+@_query("""
+SELECT event_id, count(*) OVER w - 1 AS n_before, count(*) OVER w - 1 < 3 AS allowed FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW)
+""")
+def push_cap_24h(spark, sf_dir):
+    return lifecycle.rolling_cap(_events(spark, sf_dir), "user_id", "ts", 24, 3).select("event_id", "n_before", "allowed")
+
+
+@_query("""
+SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 10
+""")
+def bounded_queue(spark, sf_dir):
+    return sinks.bounded_queue(_events(spark, sf_dir), "user_id", "ts", "event_id", 10).select("event_id", "user_id")
+
+
+@_query("""
+SELECT o_custkey, o_orderkey, c_name, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank
+FROM orders WHERE o_totalprice >= 40000 AND o_totalprice < 300000) JOIN customer ON o_custkey = c_custkey WHERE rank <= 5
+""")
+def digest_topn(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders").where("o_totalprice >= 40000 AND o_totalprice < 300000")
+    top = search.top_per_group(orders, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 5)
+    return top.join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "o_orderkey", "c_name", "rank")
+
+
+def _per_day(spark, sf_dir) -> DataFrame:
+    e = _events(spark, sf_dir)
+    return e.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.when(F.col("value") > 60, 1)).alias("n"))
+
+
+@_query("""
+WITH d AS (SELECT event_type, ts::DATE AS day, count(*) FILTER (WHERE value > 60)::DOUBLE AS n FROM events GROUP BY ALL),
+l AS (SELECT event_type, list(n ORDER BY day) AS a FROM d GROUP BY event_type)
+SELECT event_type, list_reduce(a, lambda s, x: round(0.3::DOUBLE * x + 0.7::DOUBLE * s, 2)) AS ema FROM l
+""")
+def ema_runs(spark, sf_dir):
+    return lifecycle.ema(_per_day(spark, sf_dir), ["event_type"], ["day"], "n")
+
+
+@_query("""
+WITH d AS (SELECT user_id, ts::DATE AS day, count(*) FILTER (WHERE value > 60) AS n FROM events GROUP BY ALL)
+SELECT user_id, count(*) FILTER (WHERE day > coalesce((SELECT max(day) FROM d x WHERE x.user_id = d.user_id AND x.n > 0), DATE '1900-01-01')) AS streak FROM d GROUP BY user_id
+""")
+def empty_streaks(spark, sf_dir):
+    e = _events(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.when(F.col("value") > 60, 1)).alias("n"))
+    return lifecycle.empty_streak(e, ["user_id"], ["day"], "n")
+
+
+@_query("""
+WITH p AS (SELECT event_type, event_id // 20 AS page, bool_and(value > 5) AS known FROM events GROUP BY ALL),
+f AS (SELECT event_type, min(page) FILTER (WHERE known) AS stop FROM p GROUP BY event_type)
+SELECT event_type, page, known AS all_known FROM p JOIN f USING (event_type) WHERE stop IS NULL OR page <= stop
+""")
+def early_stop_pages(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").select("event_type", F.expr("event_id div 20").alias("page"), (F.col("value") > 5).alias("known"))
+    return lifecycle.pages_until_known(e, "event_type", "page", "known")
+
+
+@_query("""
+WITH i AS (SELECT event_type, user_id, min(event_id) AS p FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY p, user_id) AS n FROM i)
+SELECT event_type, string_agg(user_id::VARCHAR, ',' ORDER BY n) AS recent FROM r WHERE n <= 30 GROUP BY event_type
+""")
+def cursor_window(spark, sf_dir):
+    out = lifecycle.recent_identities(_read(spark, sf_dir, "events"), ["event_type"], "user_id", "event_id", 30)
+    return out.select("event_type", F.array_join(F.transform("recent", lambda x: x.cast("string")), ",").alias("recent"))
+
+
+@_query("""
+WITH g AS (SELECT user_id, event_id, ts, event_type = 'error' AS b, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events),
+c AS (SELECT *, sum(b::INTEGER) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS c FROM g)
+SELECT user_id, arg_max(c, (ts, event_id))::BIGINT AS consecutive_blocks, max(c) >= 3 AS auto_disabled FROM c GROUP BY user_id
+""")
+def block_counters(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("blocked", F.col("event_type") == "error")
+    return lifecycle.block_counters(e, "user_id", ["ts", "event_id"], "blocked")
+
+
+@_query("""
+WITH r AS (SELECT s_suppkey AS k, s_acctbal > 0 AS ok FROM supplier WHERE s_suppkey % 5 <> 0)
+SELECT n_nationkey AS source_key, coalesce(ok, false) AS allowed FROM nation LEFT JOIN r ON k = n_nationkey
+""")
+def compliance_gate(spark, sf_dir):
+    rules = _read(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("source_key"), (F.col("s_acctbal") > 0).alias("is_allowed"), F.lit(True).alias("robots_txt_ok"))
+    return lifecycle.compliance(_read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("source_key")), rules)
+
+
+_HEALTH_SQL = """
+WITH e AS (SELECT user_id AS k, max(ts) FILTER (WHERE event_type = 'error') AS bad, max(ts) FILTER (WHERE event_type = 'purchase') AS good,
+  count(*) FILTER (WHERE event_type = 'error') % 4 AS blocks FROM events GROUP BY user_id),
+s AS (SELECT c_custkey AS k, e.k IS NOT NULL AS has_row, c_custkey % 7 = 0 AS off, blocks, bad, good FROM customer LEFT JOIN e ON e.k = c_custkey),
+x AS (SELECT *, has_row AND NOT off AS live, epoch(TIMESTAMP '2024-01-31') AS now FROM s)
+SELECT k AS source_key, 'no_row' AS issue FROM x WHERE NOT has_row UNION ALL SELECT k, 'disabled' FROM x WHERE has_row AND off
+UNION ALL SELECT k, 'blocks' FROM x WHERE live AND blocks > 0 UNION ALL SELECT k, 'recently_blocked' FROM x WHERE live AND now - floor(epoch(bad)) <= 86400
+UNION ALL SELECT k, 'never_succeeded' FROM x WHERE live AND good IS NULL UNION ALL SELECT k, 'silent' FROM x WHERE live AND now - floor(epoch(good)) > 86400
+"""
+
+
+@_query(_HEALTH_SQL)
+def health_issues(spark, sf_dir):
+    kind = F.col("event_type")
+    e = _events(spark, sf_dir).groupBy(F.col("user_id").alias("source_key")).agg(
+        F.max(F.when(kind == "error", F.col("ts"))).alias("last_blocked_at"), F.max(F.when(kind == "purchase", F.col("ts"))).alias("last_success_at"),
+        (F.count(F.when(kind == "error", 1)) % 4).alias("consecutive_blocks"), F.lit(True).alias("_row"),
+    )
+    sources = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_key")).join(e, "source_key", "left")
+    sources = sources.withColumns({"has_row": F.coalesce("_row", F.lit(False)), "auto_disabled": F.col("source_key") % 7 == 0})
+    return lifecycle.health_issues(sources, _now(EVENT_NOW))
+
+
+_SEARCHES = [(1, "instant", "2024-01-30 23:56:00"), (2, "instant", "2024-01-30 23:54:00"), (3, "daily", "2024-01-30 01:00:00"), (4, "weekly", "2024-01-20 00:00:00"), (5, "daily", None), (6, "odd", "2024-01-29 00:00:00")]
+
+
+@_query(f"""
+SELECT id, at IS NULL OR epoch(TIMESTAMP '{EVENT_NOW}') - epoch(at) >= CASE f WHEN 'instant' THEN 300 WHEN 'weekly' THEN 604800 ELSE 86400 END AS due
+FROM (VALUES {", ".join(f"({i}, '{f}', {'NULL' if t is None else f"TIMESTAMP '{t}'"})" for i, f, t in _SEARCHES)}) x(id, f, at)
+""")
+def saved_search_due(spark, sf_dir):
+    rows = spark.createDataFrame(_SEARCHES, "id int, f string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    return rows.select("id", lifecycle.due(F.col("f"), F.col("at"), _now(EVENT_NOW)).alias("due"))
+
+
+@_query(f"SELECT count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events WHERE ts > TIMESTAMP '{EVENT_NOW}' - INTERVAL 7 DAY AND ts <= TIMESTAMP '{EVENT_NOW}'")
+def watermark_window(spark, sf_dir):
+    fresh, _ = incremental.since(_events(spark, sf_dir), "ts", None, EVENT_NOW)
+    return fresh.agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+@_query("""
+SELECT user_id, n, least(greatest(ceil(greatest(n, 1) / 20)::INTEGER + 1, 1), 10) AS pages, n % 6 < 3 OR 5 * (user_id % 5) >= 6 * least(pow(2, n % 6 - 2), 4) AS runs
+FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+""")
+def crawl_budget(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    streak = F.col("n") % 6
+    return e.select("user_id", "n", S.page_budget(F.col("n"), F.lit(20), F.lit(True), 10).alias("pages"), S.should_run(streak, 5 * (F.col("user_id") % 5), 6.0).alias("runs"))
+
+
+@_query("""
+SELECT p_partkey, concat_ws(' ', nullif(p_name, ''), nullif(CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END, ''), p_type) AS body,
+  (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 25 AS batch, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) % 25 AS idx FROM part
+""")
+def embedding_batches(spark, sf_dir):
+    p = search.batched(_read(spark, sf_dir, "part"), [F.col("p_partkey")], 25, ["p_brand"])
+    body = X.posting_text(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_brand")), F.col("p_type"), F.array().cast("array<string>"))
+    return p.select("p_partkey", body.alias("body"), F.col("batch").cast("long").alias("batch"), F.col("idx").cast("long").alias("idx"))
+
+
+@_query(r"""
+SELECT doc_id, CASE WHEN regexp_matches(text, '[äöüßÄÖÜ]') THEN 'de' WHEN regexp_matches(text, '[àâçèéêëîïôùûœÀÂÇÈÉÊËÎÏÔÙÛŒ]') THEN 'fr' WHEN regexp_matches(text, '[ìòÌÒ]') THEN 'it'
+  WHEN len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) > 12)) > 0 THEN 'de' END AS guess FROM documents
+""")
+def title_language(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", E.title_language(F.col("text")).alias("guess"))
+
+
+@_query("""
+SELECT o_custkey, count(*) AS n, string_agg('- ' || o_orderpriority || ' /o/' || o_orderkey, chr(10) ORDER BY o_orderkey) AS text
+FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey
+""")
+def user_digest(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").withColumn("url", F.concat(F.lit("/o/"), "o_orderkey"))
+    return sinks.digest(o, "o_custkey", "o_orderpriority", "url", ["o_orderkey"]).select("o_custkey", "n", "text")
+
+
+# --- extras over events, absent upstream -------------------------------------
+
+
+@_query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_counts(spark, sf_dir):
+    out = incremental.tumbling_counts(_events(spark, sf_dir), "ts", "event_type")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-QUERIES = {"facet_counts": facet_counts}
-SQL = {"facet_counts": "SELECT lang, count(*) AS n FROM documents GROUP BY lang"}
+@_query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, s
+""")
+def session_counts(spark, sf_dir):
+    out = incremental.session_counts(_events(spark, sf_dir), "ts", "user_id", "60 minutes")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
