@@ -68,7 +68,7 @@ def health_issues(sources: DataFrame, now: Column, silent_hours: int = 24) -> Da
 def ema(df: DataFrame, key: list[str], order: list[str], value: str, alpha: float = 0.3) -> DataFrame:
     """Final running average, rounded to two decimals at every step, from the first value on."""
     steps = F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda x: x["_v"].cast("double"))
-    fold = lambda a: F.aggregate(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.element_at(a, 1), lambda s, x: F.round(alpha * x + (1 - alpha) * s, 2))
+    fold = lambda a: F.aggregate(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.element_at(a, 1), lambda s, x: F.floor((alpha * x + (1 - alpha) * s) * 100 + 0.5) / 100)
     return df.groupBy(*key).agg(steps.alias("_a")).select(*key, fold(F.col("_a")).alias("ema"))
 
 

@@ -18,9 +18,9 @@ def confidence(rate: Column, n: Column) -> Column:
 
 def ngram_counts(df: DataFrame, title: str, rejected: str, group: list[str] = ()) -> DataFrame:
     """(group, pattern, rejected, total): occurrences, from one pass over the titles."""
-    words = tokens(F.col(title))
-    grams = F.concat(*[ngrams(words, n) for n in (1, 2, 3)])
-    rows = df.select(*group, F.col(rejected).cast("int").alias("_r"), F.explode(grams).alias("pattern"))
+    # The words are a column of their own: inside the lambda they would be cut anew for each run.
+    cut = df.select(*group, F.col(rejected).cast("int").alias("_r"), tokens(F.col(title)).alias("_w"))
+    rows = cut.select(*group, "_r", F.explode(F.concat(*[ngrams(F.col("_w"), n) for n in (1, 2, 3)])).alias("pattern"))
     return rows.groupBy(*group, "pattern").agg(F.sum("_r").alias("rejected"), F.count(F.lit(1)).alias("total"))
 
 
@@ -38,9 +38,9 @@ def rated(counts: DataFrame, least: int = 2, rate: float = MIN_RATE) -> DataFram
 
 def samples(df: DataFrame, title: str, rejected: str, order: str, patterns: DataFrame, n: int = 5) -> DataFrame:
     """The first n rejected titles of each pattern, one a document."""
-    words = tokens(F.col(title))
-    grams = F.array_distinct(F.concat(*[ngrams(words, k) for k in (1, 2, 3)]))
-    rows = df.where(F.col(rejected)).select(order, F.col(title).alias("_t"), F.explode(grams).alias("pattern")).join(F.broadcast(patterns.select("pattern")), "pattern", "left_semi")
+    cut = df.where(F.col(rejected)).select(order, F.col(title).alias("_t"), tokens(F.col(title)).alias("_w"))
+    grams = F.array_distinct(F.concat(*[ngrams(F.col("_w"), k) for k in (1, 2, 3)]))
+    rows = cut.select(order, "_t", F.explode(grams).alias("pattern")).join(F.broadcast(patterns.select("pattern")), "pattern", "left_semi")
     rank = F.row_number().over(Window.partitionBy("pattern").orderBy(order))
     top = rows.withColumn("_n", rank).where(F.col("_n") <= n)
     return top.groupBy("pattern").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_t"))), lambda x: x["_t"]).alias("samples"))

@@ -215,11 +215,11 @@ def fuzzy_hash(spark, sf_dir):
 @_query("""
 WITH f AS (SELECT doc_id, source, first_value(source) OVER w AS s, first_value(doc_id) OVER w AS i FROM documents
   WINDOW w AS (PARTITION BY lower(trim(text)) ORDER BY doc_id))
-SELECT doc_id, CASE WHEN s <> source THEN i END AS duplicate_of FROM f
+SELECT doc_id, CASE WHEN s <> source THEN i END::VARCHAR AS duplicate_of FROM f
 """)
 def fuzzy_dedup(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.lower(F.trim("text"))).alias("key"))
-    return dedup.fuzzy_duplicates(docs, "key", "source", [F.col("doc_id")], "doc_id").select("doc_id", "duplicate_of")
+    return dedup.fuzzy_duplicates(docs, "key", "source", [F.col("doc_id")], "doc_id").select("doc_id", F.col("duplicate_of").cast("string").alias("duplicate_of"))
 
 
 @_query("""
@@ -363,12 +363,12 @@ n AS (SELECT *, CASE WHEN ranged THEN regexp_extract(t, '{E._RANGE}', 1) ELSE re
 v AS (SELECT *, try_cast(replace(replace(a, '.', ''), ',', '') AS DOUBLE) AS lo, try_cast(replace(replace(b, '.', ''), ',', '') AS DOUBLE) AS hi FROM n),
 k AS (SELECT *, CASE WHEN contains(lower(t), 'k') AND lo < 1000 THEN lo * 1000 ELSE lo END AS lo2, CASE WHEN contains(lower(t), 'k') AND hi < 1000 THEN hi * 1000 ELSE hi END AS hi2,
   CASE currency WHEN 'EUR' THEN 0.96 WHEN 'USD' THEN 0.88 WHEN 'GBP' THEN 1.12 ELSE 1 END::DOUBLE * CASE period WHEN 'monthly' THEN 12 WHEN 'hourly' THEN 2080 ELSE 1 END AS f FROM v)
-SELECT id, floor(lo2 * f)::INTEGER AS lo, floor(hi2 * f)::INTEGER AS hi, currency FROM k
+SELECT id, floor(lo2 * f)::INTEGER::VARCHAR AS lo, floor(hi2 * f)::INTEGER::VARCHAR AS hi, currency FROM k
 """)
 def salary_parse(spark, sf_dir):
     rows = spark.createDataFrame(_PAY, "id int, t string, period string").withColumn("p", E.parse_pay(F.col("t")))
     pay = lambda c: E.annual_chf(F.col(f"p.{c}"), F.col("p.currency"), F.col("period"))
-    return rows.select("id", pay("lo").alias("lo"), pay("hi").alias("hi"), F.col("p.currency").alias("currency"))
+    return rows.select("id", pay("lo").cast("string").alias("lo"), pay("hi").cast("string").alias("hi"), F.col("p.currency").alias("currency"))
 
 
 _LEVELS = [(1, "Head of Sales", None), (2, "Senior Editor 80%", None), (3, "Praktikum Marketing", "internship"), (4, "International Lead", None), (5, "Teilzeit Lehrer", None), (6, "Koch", "temporary")]
@@ -533,7 +533,7 @@ def _per_day(spark, sf_dir) -> DataFrame:
 @_query("""
 WITH d AS (SELECT event_type, ts::DATE AS day, count(*) FILTER (WHERE value > 60)::DOUBLE AS n FROM events GROUP BY ALL),
 l AS (SELECT event_type, list(n ORDER BY day) AS a FROM d GROUP BY event_type)
-SELECT event_type, list_reduce(a, lambda s, x: round(0.3::DOUBLE * x + 0.7::DOUBLE * s, 2)) AS ema FROM l
+SELECT event_type, list_reduce(a, lambda s, x: floor((0.3::DOUBLE * x + 0.7::DOUBLE * s) * 100 + 0.5::DOUBLE) / 100) AS ema FROM l
 """)
 def ema_runs(spark, sf_dir):
     return lifecycle.ema(_per_day(spark, sf_dir), ["event_type"], ["day"], "n")
@@ -614,8 +614,8 @@ _SEARCHES = [(1, "instant", "2024-01-30 23:56:00"), (2, "instant", "2024-01-30 2
 
 
 @_query(f"""
-SELECT id, at IS NULL OR epoch(TIMESTAMP '{EVENT_NOW}') - epoch(at) >= CASE f WHEN 'instant' THEN 300 WHEN 'weekly' THEN 604800 ELSE 86400 END AS due
-FROM (VALUES {", ".join(f"({i}, '{f}', {'NULL' if t is None else f"TIMESTAMP '{t}'"})" for i, f, t in _SEARCHES)}) x(id, f, at)
+SELECT id, ran IS NULL OR epoch(TIMESTAMP '{EVENT_NOW}') - epoch(ran) >= CASE f WHEN 'instant' THEN 300 WHEN 'weekly' THEN 604800 ELSE 86400 END AS due
+FROM (VALUES {", ".join(f"({i}, '{f}', {'NULL' if t is None else f"TIMESTAMP '{t}'"})" for i, f, t in _SEARCHES)}) x(id, f, ran)
 """)
 def saved_search_due(spark, sf_dir):
     rows = spark.createDataFrame(_SEARCHES, "id int, f string, at string").withColumn("at", F.col("at").cast("timestamp"))
