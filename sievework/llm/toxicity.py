@@ -12,6 +12,7 @@ over the sampled labelled rows; scoring reads every document and its whole text.
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
 
@@ -27,6 +28,8 @@ from .common import stored, table
 MAX_ROWS = 12_000
 MAX_FEATURES = 2048
 FOLDS = 5
+#: Log odds by which a feature's evidence must exceed the number of features tried.
+EVIDENCE = 0.0
 STEMS = (4, 5, 6)
 CATEGORIES = ("dense", "sparse", "toxic")
 MEMO_WORDS = 200_000
@@ -141,10 +144,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", lab
     n, ones = rows.agg(F.count(F.lit(1)), F.sum("_mark")).first()
     ones = ones or 0
     counts = rows.select("_mark", F.explode("keys").alias("_key")).groupBy("_key").agg(F.sum("_mark").alias("_a"), F.count(F.lit(1)).alias("_n")).where("_n >= 3")
-    # Information of presence about the mark: toxic rows are seen more often than expected.
-    rate = F.lit(float(max(ones, 1)) / max(n, 1))
-    gain = F.col("_a") * F.log((F.col("_a") + 0.5) / (F.col("_n") * rate + 0.5))
-    top = counts.where((F.col("_a") + 0.5) / (F.col("_n") + 1.0) > 2 * rate).select("_key", gain.alias("_g")).orderBy(F.desc("_g"), "_key").limit(max_features)
+    # How unlikely a word's share of toxic rows is by chance: n times the divergence
+    # from the base rate. It must outweigh the number of words that were looked at.
+    counts = stored(counts, "toxic-counts")
+    rate = min(max(float(ones) / max(n, 1), 1e-6), 1 - 1e-6)
+    share = F.col("_a") / F.col("_n")
+    gain = F.col("_a") * F.log(share / rate) + F.when(share < 1, (F.col("_n") - F.col("_a")) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    least = math.log(max(counts.count(), 1)) + EVIDENCE
+    top = counts.where(share > 2 * rate).select("_key", gain.alias("_g")).where(F.col("_g") >= least).orderBy(F.desc("_g"), "_key").limit(max_features)
     keys = [r[0] for r in top.collect()]
     model = ToxicModel(keys, [])
     picked = rows.select("doc_id", "_mark", "n", F.array_intersect("keys", F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<bigint>")).alias("keys")).orderBy("doc_id")
