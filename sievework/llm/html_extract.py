@@ -43,7 +43,9 @@ FURNITURE_WORDS = frozenset(
     "search searchform form tags taglist hidden paywall".split()
 )
 ARTICLE_TAGS = frozenset(("article", "main"))
-#: Words of classes and ids that mark the article where no tag does.
+#: Elements that can be a content region.
+CONTAINERS = frozenset("article main section div body html td center".split())
+#: Elements whose end tag may be missing, and the tags that end them.
 CLOSED_BY = {
     "p": frozenset(
         "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -80,8 +82,10 @@ def _is_furniture(tag: str, attrs: list, in_article: bool) -> bool:
             continue
         if name == "role" and value.strip().lower() in FURNITURE_ROLES:
             return True
-        if name in ("class", "id") and any(w.lower() in FURNITURE_WORDS for w in _WORDS.findall(value)):
-            return True
+        if name in ("class", "id"):
+            whole = (re.sub("[^a-z]", "", w) for w in value.lower().split())
+            if any(w.lower() in FURNITURE_WORDS for w in (*_WORDS.findall(value), *whole)):
+                return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
@@ -205,8 +209,8 @@ def content_lines(html: str, sigma: float = SIGMA, cover: float = COVER) -> list
     while best is not None and best.chars < cover * total:
         best = best.parent
     region = best or region
-    while region.parent is not None and region.tag in CLOSED_BY and region.parent.tag not in ("", "html", "body"):
-        region = region.parent  # a paragraph is no region: take what holds it
+    while region.parent is not None and region.tag not in CONTAINERS:
+        region = region.parent  # a paragraph or a list is no region: take what holds it
     if region.article:
         while region.parent is not None and region.parent.article:
             region = region.parent

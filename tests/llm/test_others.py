@@ -212,3 +212,11 @@ def test_pipeline(spark, sf_dir):
     leaked = corpus_pipeline.decontaminated(spark, got, sf_dir)
     assert leaked.count() == n
     assert SCHEMA.startswith("doc_id")
+
+
+def test_html_regions():
+    long = "A paragraph that is much longer than all the others of this page, so that it holds most of its characters by far and wide."
+    assert extract_text(f"<body><p>{long}</p><p>Short.</p><div class='sideBar'>x y</div></body>") == f"{long} Short."
+    assert extract_text(f"<p>{long}<p>Short.") == f"{long} Short."
+    assert extract_text(f"<div id=a><blockquote>{long}</blockquote><p>Short.</p></div><div class='side-bar'>more</div>") == f"{long} Short."
+    assert extract_text(f"<main><h2>T</h2><p>{long}</p><div class=ad>Buy</div><p>End</p></main><div><p>{long} elsewhere</p></div>") == f"T {long} End"
