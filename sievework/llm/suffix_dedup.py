@@ -4,8 +4,9 @@ Every string of `length` bytes has an anchor: the leftmost of its `GRAM`-byte gr
 with the least hash. Equal strings have equal anchors at equal offsets, so strings
 meet if they are dealt by the bytes around the anchor that all strings of the
 offset's range hold (a core of about two thirds of the length). Runs of strings
-with one anchor travel as one row; a first pass over (core hash, text, place) rows
-drops all runs whose core is found once, so only few bytes are sent on.
+with one anchor travel as one row, equal runs of a text as one; a first pass over
+(core hash, text) rows drops all runs whose core is found once, so only few bytes
+are sent on.
 
 Runs that share a core are aligned at the anchor. The places where any two of them
 part, found between neighbours in sorted order, cut the aligned runs in columns,
@@ -203,62 +204,71 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     texts = stored(small.groupBy("_id").agg(F.count(F.lit(1)).alias("_copies"), F.min("_doc").alias("_first"), F.max("_n").alias("_n")), "suffix-texts")
 
     def anchored(batches):
+        """Each core of a text once, and whether the text has it more than once."""
         cut = Anchors(length)
         for batch in batches:
-            ids, keys, places = [], [], []
+            ids, keys, many = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                k, p = cut.runs(t.as_py().encode())
+                k, times = np.unique(cut.runs(t.as_py().encode())[0], return_counts=True)
                 ids.append(np.full(len(k), i, np.int64))
                 keys.append(k)
-                places.append(p)
+                many.append(times > 1)
             if ids:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, ids, places)], ["_key", "_id", "_place"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, ids, many)], ["_key", "_id", "_many"])
 
     def met(batches):
-        """Of rows sorted by key, those whose key has another text or place. One
-        row is held over, so a key of any number of rows needs no memory."""
-        last = None  # key, id, place, whether it has a partner before it
+        """Of rows sorted by key, those whose key another text has, or their own
+        once more. One row is held over, so a key of any number of rows needs no
+        memory."""
+        last = None  # key, id, whether it is met already
         for batch in batches:
-            key, ids, place = (np.asarray(c) for c in batch.columns)
+            key, ids, many = (np.asarray(c) for c in batch.columns)
             if last is not None:
-                key, ids, place = (np.concatenate([[x], y]) for x, y in zip(last[:3], (key, ids, place)))
+                key, ids, many = (np.concatenate([[x], y]) for x, y in zip(last, (key, ids, many)))
             if not len(key):
                 continue
             new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (place[1:] != place[:-1])
-            key, ids, place = key[new], ids[new], place[new]
+            new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+            key, ids, hit = key[new], ids[new], many[new].astype(bool)
             same = key[1:] == key[:-1]
-            partner = np.zeros(len(key), bool)
-            partner[1:] |= same
-            partner[:-1] |= same
-            if last is not None:
-                partner[0] |= last[3]
-            last = (key[-1], ids[-1], place[-1], bool(partner[-1]))
-            at = np.flatnonzero(partner[:-1])
-            yield pa.record_batch([pa.array(x[at]) for x in (key, ids, place)], ["_key", "_id", "_place"])
-        if last is not None and last[3]:
-            yield pa.record_batch([pa.array([int(x)], pa.int64()) for x in last[:3]], ["_key", "_id", "_place"])
-
-    runs = base.where(F.octet_length("_text") >= length).select("_id", "_text").mapInArrow(anchored, "_key long, _id long, _place long")
-    candidates = runs.repartition("_key").sortWithinPartitions("_key", "_id", "_place").mapInArrow(met, "_key long, _id long, _place long")
-    wanted = candidates.groupBy("_id").agg(F.collect_list(F.struct("_key", "_place")).alias("_at")).join(texts.select("_id", "_first"), "_id")
+            hit[1:] |= same
+            hit[:-1] |= same
+            last = (key[-1], ids[-1], bool(hit[-1]))
+            at = np.flatnonzero(hit[:-1])
+            yield pa.record_batch([pa.array(key[at]), pa.array(ids[at])], ["_key", "_id"])
+        if last is not None and last[2]:
+            yield pa.record_batch([pa.array([int(x)], pa.int64()) for x in last[:2]], ["_key", "_id"])
+
+    runs = base.where(F.octet_length("_text") >= length).select("_id", "_text").mapInArrow(anchored, "_key long, _id long, _many boolean")
+    candidates = runs.repartition("_key").sortWithinPartitions("_key", "_id").mapInArrow(met, "_key long, _id long")
+    wanted = candidates.groupBy("_id").agg(F.collect_list("_key").alias("_keys")).join(texts.select("_id", "_first"), "_id")
 
     def cut_out(batches):
+        """The runs of the wanted cores; equal runs of a text go as one row."""
+        cut = Anchors(length)
         for batch in batches:
-            keys, ids, places, segs = [], [], [], []
-            for i, t, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            keys, ids, far, segs, places = [], [], [], [], []
+            for i, t, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 raw = t.as_py().encode()
-                for run in at:
-                    place = run["_place"]
+                found, at = cut.runs(raw)
+                ok = np.isin(found, np.asarray(own.values))
+                runs: dict[tuple[int, int, bytes], list[int]] = {}
+                for key, place in zip(found[ok].tolist(), at[ok].tolist()):
                     p, lo, hi = place >> 20, (place >> 10) & 1023, place & 1023
-                    keys.append(run["_key"])
+                    runs.setdefault((key, hi, raw[p - hi : p - lo + length]), []).append(p)
+                for (key, hi, seg), p in runs.items():
+                    keys.append(key)
                     ids.append(i)
-                    places.append(place)
-                    segs.append(raw[p - hi : p - lo + length])
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(segs, pa.binary())], ["_key", "_id", "_place", "_seg"])
+                    far.append(hi)
+                    segs.append(seg)
+                    places.append(p)
+            yield pa.record_batch(
+                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(far, pa.int32()), pa.array(segs, pa.binary()), pa.array(places, pa.list_(pa.int64()))],
+                ["_key", "_id", "_far", "_seg", "_places"],
+            )
 
     chosen = base.alias("b").join(wanted.alias("w"), (F.col("b._id") == F.col("w._id")) & F.col("b._doc").eqNullSafe(F.col("w._first")))
-    segments = chosen.select("b._id", "_text", "_at").mapInArrow(cut_out, "_key long, _id long, _place long, _seg binary")
+    segments = chosen.select("b._id", "_text", "_keys").mapInArrow(cut_out, "_key long, _id long, _far int, _seg binary, _places array<long>")
 
     def compared(batches):
         align = Aligner(length)
@@ -271,16 +281,16 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], ["_id", "lo", "hi"])
 
         for batch in batches:
-            for key, i, place, seg in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, i, far, seg, places in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != at:
                     align.add(group)
                     if len(align.text) >= BATCH_SYMBOLS:
                         yield out()
                     group, seen, at = {}, set(), key
-                if (i, place) in seen:
+                if (i, far, places[0]) in seen:
                     continue  # the same text, met twice
-                seen.add((i, place))
-                group.setdefault((place & 1023, seg), []).append((i, place >> 20))
+                seen.add((i, far, places[0]))
+                group.setdefault((far, seg), []).extend((i, p) for p in places)
         align.add(group)
         yield out()
 
