@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import enrich as E
 from ..functions import score as S
 from ..functions import text as X
-from ..operators import dedup, lifecycle, matching, merge, patterns, search
+from ..operators import dedup, lifecycle, matching, merge, patterns, search, watchlist
 from ..sources import readers, sinks
 from ..streaming import incremental
 
@@ -665,6 +665,43 @@ def user_digest(spark, sf_dir):
     return sinks.digest(o, "o_custkey", "o_orderpriority", "url", ["o_orderkey"]).select("o_custkey", "n", "text")
 
 
+# --- watch lists and saved searches ------------------------------------------
+
+
+@_query("""
+WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS tag, generate_subscripts(string_split(p_name, ' '), 1) AS pos FROM part),
+d AS (SELECT * FROM (VALUES ('widget', 'A'), ('red', 'B'), ('ring', 'C')) x(tag, tier))
+SELECT p_partkey, arg_min(tag, pos) AS tag, arg_min(tier, pos) AS tier FROM t JOIN d USING (tag) GROUP BY p_partkey
+""")
+def dimension_lookup(spark, sf_dir):
+    dim = spark.createDataFrame([("widget", "A"), ("red", "B"), ("ring", "C")], "tag string, tier string")
+    part = _read(spark, sf_dir, "part").withColumn("tags", F.split("p_name", " "))
+    return watchlist.first_dimension(part, "p_partkey", "tags", dim, "tag")
+
+
+@_query("""
+SELECT c_mktsegment, count(*) AS n, max(c_acctbal) AS best, count(*) FILTER (WHERE c_acctbal >= 5000) AS high,
+  count(*) FILTER (WHERE starts_with(c_mktsegment, 'BUILD') AND c_acctbal + c_custkey % 30 >= 7000) AS priority FROM customer GROUP BY c_mktsegment
+""")
+def grouped_view(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer")
+    flag = watchlist.is_priority(F.col("c_mktsegment"), F.col("c_acctbal"), F.col("c_custkey") % 30, "BUILD", 7000.0)
+    view = watchlist.grouped_view(c, "c_mktsegment", "c_acctbal", 5000.0)
+    return view.join(c.groupBy("c_mktsegment").agg(F.count(F.when(flag, 1)).alias("priority")), "c_mktsegment")
+
+
+@_query("""
+WITH s AS (SELECT * FROM (VALUES (1, 'src0', NULL, NULL), (2, NULL, 'de', 500), (3, 'src1', 'fr', 800)) x(search_id, source, lang, since))
+SELECT search_id, doc_id::VARCHAR AS hash FROM documents d JOIN s ON (s.source IS NULL OR s.source = d.source) AND (s.lang IS NULL OR s.lang = d.lang) AND (since IS NULL OR doc_id > since) WHERE search_id <> 3
+""")
+def saved_search_run(spark, sf_dir):
+    rows = [(1, {"source": "src0"}, None, "daily"), (2, {"language": "de"}, 500, "instant"), (3, {"source": "src1", "language": "fr"}, 800, "weekly")]
+    s = spark.createDataFrame(rows, "id int, filters map<string,string>, since long, notify_frequency string").withColumn("last_run_at", F.timestamp_seconds("since"))
+    d = _read(spark, sf_dir, "documents")
+    jobs = d.select(F.col("doc_id").cast("string").alias("hash"), "source", F.lit(None).cast("string").alias("canton"), F.col("lang").alias("language"), F.timestamp_seconds("doc_id").alias("first_seen_at"))
+    return watchlist.run_saved_searches(s, jobs, F.timestamp_seconds(F.lit(5000)))
+
+
 # --- extras over events, absent upstream -------------------------------------
 
 

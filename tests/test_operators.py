@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from sievework.operators import dedup, lifecycle, merge, patterns, search
+from sievework.operators import dedup, lifecycle, merge, patterns, search, watchlist
 from sievework.plans.pipelines import ingest
 from sievework.schema import POSTING
 from sievework.sources import readers, sinks
@@ -149,3 +149,18 @@ def test_streams(spark, tmp_path):
     calls = spark.createDataFrame([("k", T0 + timedelta(seconds=i), True) for i in range(5)] + [("k", T0 + timedelta(seconds=90), False)], "k string, t timestamp, bad boolean")
     assert incremental.breaker(calls, "k", "t", "bad").first()["state"] == "closed"
     assert incremental.breaker(calls.where("bad"), "k", "t", "bad").first()["state"] == "open"
+
+
+def test_watchlist(spark):
+    df = spark.createDataFrame([("Primary Teacher", ["x"], "H"), ("Teacher", None, "H"), ("Primary", [], "A")], "t string, g array<string>, c string")
+    assert [r[0] for r in df.select(watchlist.has_marker(F.col("t"), F.col("g"), F.col("c"), ["primary"])).collect()] == [True, False, False]
+    rows = [("detected", None, True), ("applied", None, True), ("reviewed", "offer", False), ("detected", "odd", False)]
+    df = spark.createDataFrame(rows, "s string, w string, d boolean")
+    assert [r[0] for r in df.select(watchlist.advance(F.col("s"), F.col("w"), F.col("d"))).collect()] == ["drafted", "applied", "offer", "detected"]
+    s = spark.createDataFrame([(1, {}, None, "daily", 2)], "id int, filters map<string,string>, last_run_at timestamp, notify_frequency string, total_matches int")
+    done = watchlist.after_run(s, spark.createDataFrame([(1, "a"), (1, "b")], "search_id int, hash string"), F.lit(T0)).first()
+    assert done["total_matches"] == 4 and done["last_run_at"] == T0
+    f = spark.createDataFrame([(" Sales ",), (" ",)], "pattern string")
+    assert [r["pattern"] for r in watchlist.new_filter(f).collect()] == ["sales"]
+    users = {"a": spark.createDataFrame([("u", 1), ("v", 2), (None, 3)], "user_id string, x int")}
+    assert merge.erase_user(users, "u")["a"].count() == 2 and merge.export_user(users, "u")["a"].count() == 1
