@@ -7,12 +7,17 @@ n - ceil(t n) + 1 columns of each, in any fixed order of the columns; the order
 puts columns that a sample of documents shows to be frequent last (this changes
 the cost, never the result). Rows that meet in such a column get the column's
 least row as block key, so the many columns that near copies share give one block.
-A block first compares 64-cell column counts, whose distance bounds the overlap
-from above, and only rows that still have a partner are sent on with their whole
-sets. There the product is formed for slices of columns at a time, overlap counts
+A block first compares column counts by cell (about eight columns each), whose
+distance bounds the overlap from above. Rows that may still be partners form
+families (components of these possibilities, over all blocks), which are the
+blocks from there on, so that every row sends its whole set once. There the product is formed for slices of columns at a time, overlap counts
 are accumulated, and a spanning forest of the links that pass is all a block
-returns. Blocks over `block_rows` rows are cut into pairs of parts. Components
-come from alternating stars over these forests.
+returns. Blocks over `block_rows` rows are cut in parts. A part forms its own
+product and also meets the block's lead row; pairs of parts then need no sets, only
+the rows' differences from the lead, which are short for near copies and give the
+same overlaps. (Rows far from the lead cannot link with rows near it, as Jaccard
+distance is a metric; they go by themselves.) Components come from alternating
+stars over the forests.
 """
 
 from __future__ import annotations
@@ -26,9 +31,10 @@ from pyspark.sql import functions as F
 from .common import forget, stored, table
 from .components import components
 
-BLOCK_ROWS = 512
+BLOCK_ROWS = 1024
 SLICE_COLUMNS = 2048
-CELLS = 64
+#: Cells of a row's column counts: a power of two of about n / 8, in these bounds.
+LEAST_CELLS, MOST_CELLS = 64, 4096
 #: One in SAMPLE documents is counted to order the columns; columns that at least
 #: SEEN of those hold count as frequent; MOST of them at most are told apart.
 SAMPLE, SEEN, MOST = 16, 4, 1_000_000
@@ -103,6 +109,41 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _cells(tokens: np.ndarray) -> bytes:
+    """Counts of the tokens by their low bits, saturated (which only lowers distances)."""
+    size = min(MOST_CELLS, max(LEAST_CELLS, 1 << (len(tokens) // 8).bit_length()))
+    counts = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _possible(n: np.ndarray, cells: list[bytes], percent: int) -> np.ndarray:
+    """Components of rows that sizes and cell counts leave as possible partners,
+    as the number of each component's first row; -1 for rows without a partner.
+    Rows are compared at the smaller cell number; larger ones are folded to it."""
+    sizes = np.array([len(c) for c in cells])
+    label, hit = np.arange(len(n)), np.zeros(len(n), bool)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes >= size)
+        at = at[np.argsort(n[at], kind="stable")]
+        m = n[at]
+        folded = np.stack([np.frombuffer(cells[k], np.uint8).reshape(-1, size).sum(0, dtype=np.int32) for k in at])
+        for k in np.flatnonzero(sizes[at] == size):
+            # Partners whose size the bound permits: a contiguous range in order of size.
+            lo = np.searchsorted(m, -(-percent * m[k] // 100))
+            hi = np.searchsorted(m, 100 * m[k] // percent, side="right")
+            total = m[lo:hi] + m[k]
+            ok = np.abs(folded[lo:hi] - folded[k]).sum(1) <= total - 2 * _least_overlap(total, 0, percent)
+            ok[k - lo] = False
+            if ok.any():
+                mine = at[lo:hi][ok]
+                hit[at[k]] = True
+                hit[mine] = True
+                found = np.unique(np.append(label[mine], label[at[k]]))
+                if len(found) > 1:
+                    label[np.isin(label, found)] = found[0]
+    return np.where(hit, label, -1)
+
+
 def _overlaps(rows: list[np.ndarray]) -> np.ndarray:
     """Shared tokens of all rows: the product of the incidence matrix and its
     transpose, accumulated over slices of the columns that two rows hold."""
@@ -125,6 +166,18 @@ def _overlaps(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _linked(n: np.ndarray, d: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows link, from their set sizes n, the sizes d of what they are given
+    by (the sets, or differences from one set) and what they have in common there."""
+    shared = np.rint((n - d)[:, None] / 2 + (n - d)[None, :] / 2 + common).astype(np.int64)
+    return (100 * shared >= percent * (n[:, None] + n[None, :] - shared)) & (n[:, None] > 0)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+
+
 def _groups(batches, keys: int):
     """Runs of rows with equal first `keys` columns, across batches of sorted rows."""
     held, held_key = [], None
@@ -187,14 +240,9 @@ def jaccard_components(docs: DataFrame, words: int, percent: int, text_col: str
                 s = cut(t.as_py())
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                cells.append(np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 65535).astype(np.uint16).tobytes())
+                cells.append(_cells(s))
                 prefixes.append(_prefix(s, heavy, rank, percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(cells, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["_id", "n", "key", "cells", "prefix"],
-            )
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(cells, pa.binary()), _lists(prefixes)], ["_id", "n", "key", "cells", "prefix"])
 
     rows = stored(base.mapInArrow(shingled, "_id long, n long, key binary, cells binary, prefix array<long>"), "jaccard-rows")
     nodes = stored(rows.where("n > 0 AND _id IS NOT NULL").groupBy("key").agg(F.min("_id").alias("node")), "jaccard-nodes")
@@ -238,69 +286,102 @@ def jaccard_components(docs: DataFrame, words: int, percent: int, text_col: str
         return placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("m", "own", "other")
 
     def near(batches):
-        """Rows of a block whose cell counts leave some partner possible."""
-        for key, rows in _groups(batches, 3):
-            n = np.asarray(rows.column("n"))
-            cells = np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint16).reshape(len(n), CELLS).astype(np.float32)
-            hit = np.zeros(len(n), bool)
-            for k in range(len(n)):
-                away = np.abs(cells[k + 1 :] - cells[k]).sum(1)
-                total = n[k + 1 :] + n[k]
-                small = np.minimum(n[k + 1 :], n[k])
-                need = _least_overlap(n[k + 1 :], n[k], percent)
-                ok = (need <= small) & (away <= total - 2 * need)
-                if ok.any():
-                    hit[k] = True
-                    hit[k + 1 :] |= ok
-            at = np.flatnonzero(hit)
-            yield pa.record_batch(
-                [pa.array(np.full(len(at), k, np.int64)) for k in key[:1]] + [pa.array(np.full(len(at), k, np.int32)) for k in key[1:]] + [pa.array(np.asarray(rows.column("node"))[at])],
-                ["block", "i", "j", "node"],
-            )
+        """Stars over the possible partners of a block, by their cell counts."""
+        for _, rows in _groups(batches, 3):
+            label, node = _possible(np.asarray(rows.column("n")), rows.column("cells").to_pylist(), percent), np.asarray(rows.column("node"))
+            at = np.flatnonzero(label >= 0)
+            yield pa.record_batch([pa.array(node[label[at]]), pa.array(node[at])], ["a", "b"])
 
     blocks = cut_blocks(met).join(reps.select("node", "n", "cells"), "node").select("block", "i", "j", "node", "n", "cells")
     keys = ["block", "i", "j"]
-    close = stored(blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(near, "block long, i int, j int, node long").distinct(), "jaccard-close")
+    stars = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(near, "a long, b long")
+    # A row that may have partners lies in one family, and so travels once.
+    family = components(stars)
+    close = stored(family.select(F.col("component").alias("block"), F.col("id").alias("node")), "jaccard-close")
     forget(met)
 
-    needed = close.groupBy("node").agg(F.collect_list(F.struct(*keys)).alias("at"))
+    # Blocks of more than block_rows rows are cut in parts; the block's least row,
+    # its lead, goes to every part, all others to one.
+    sizes = close.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lead")).where("m > 1")
+    parts = F.ceil(F.col("m") / F.lit(block_rows)).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(11)), F.col("k")).cast("int")
+    members = close.join(sizes, "block").withColumn("k", parts).withColumn("leads", F.col("node") == F.col("lead"))
+    members = members.withColumn("part", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(own))))
+    needed = members.groupBy("node").agg(F.collect_list(F.struct("block", "part", "k", "leads")).alias("at"))
+    fields = {"block": pa.int64(), "part": pa.int32(), "k": pa.int32(), "leads": pa.bool_()}
 
     def with_sets(batches):
         cut = Shingler(words)
         for batch in batches:
-            out = {"block": [], "i": [], "j": [], "node": []}
-            rows = []
+            out = {f: [] for f in fields}
+            nodes, rows = [], []
             for node, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 s = cut(text.as_py()).view(np.int64)
                 for place in at:
-                    for k in keys:
-                        out[k].append(place[k])
-                    out["node"].append(node)
+                    for f in fields:
+                        out[f].append(place[f])
+                    nodes.append(node)
                     rows.append(s)
-            ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            yield pa.record_batch(
-                [pa.array(out["block"], pa.int64()), pa.array(out["i"], pa.int32()), pa.array(out["j"], pa.int32()), pa.array(out["node"], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                [*keys, "node", "tokens"],
-            )
+            yield pa.record_batch([*[pa.array(out[f], t) for f, t in fields.items()], pa.array(nodes, pa.int64()), _lists(rows)], [*fields, "node", "tokens"])
 
-    def links_of(batches):
-        for _, rows in _groups(batches, 3):
+    def within(batches):
+        """Links of a part; for blocks of several parts also every row's difference
+        from the lead (far = 0), or its set if it is far from the lead (far = 1)."""
+        floor = 0.5 - (100 - percent) / 100
+        for (block, part), rows in _groups(batches, 2):
             sets, node = _sets(rows.column("tokens")), np.asarray(rows.column("node"))
             n = np.array([len(s) for s in sets])
-            shared = np.rint(_overlaps(sets)).astype(np.int64)
-            linked = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
-            linked &= n[:, None] > 0
-            edges = _forest(linked)
-            yield pa.record_batch([pa.array([node[a] for a, _ in edges], pa.int64()), pa.array([node[b] for _, b in edges], pa.int64())], ["a", "b"])
-
-    texts = base.join(needed, base["_id"] == needed["node"]).select("node", "_text", "at")
-    sets = texts.mapInArrow(with_sets, "block long, i int, j int, node long, tokens array<long>")
-    links = sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(links_of, "a long, b long")
+            shared = _overlaps(sets)
+            edges = _forest(_linked(n, n, shared, percent))
+            a, b, far, deltas, size, who = [node[x] for x, _ in edges], [node[y] for _, y in edges], [], [], [], []
+            k, leads = rows.column("k")[0].as_py(), np.asarray(rows.column("leads"))
+            if k > 1:
+                lead = int(np.flatnonzero(leads)[0])
+                for x in range(len(sets)):
+                    if leads[x] and part:
+                        continue
+                    near = shared[x, lead] / max(1, n[x] + n[lead] - shared[x, lead])
+                    for kind, ok in ((0, near >= floor - 1e-9), (1, near < 0.5)):
+                        if ok:
+                            far.append(kind)
+                            size.append(n[x])
+                            who.append(node[x])
+                            deltas.append((sets[x] if kind else np.setxor1d(sets[x], sets[lead], assume_unique=True)).view(np.int64))
+            e, d = len(a), len(who)
+            yield pa.record_batch(
+                [
+                    pa.array([*a, *[None] * d], pa.int64()), pa.array([*b, *[None] * d], pa.int64()), pa.array(np.full(e + d, block), pa.int64()), pa.array([*[None] * e, *far], pa.int32()),
+                    pa.array(np.full(e + d, k), pa.int32()), pa.array([*[None] * e, *who], pa.int64()), pa.array([*[None] * e, *size], pa.int64()), _lists([*[np.zeros(0, np.int64)] * e, *deltas]),
+                ],
+                ["a", "b", "block", "far", "k", "node", "n", "delta"],
+            )
+
+    def across(batches):
+        """Links between two parts. For rows given as differences from one lead,
+        shared = (n + n' - d - d') / 2 + common differences, exactly."""
+        for _, rows in _groups(batches, 4):
+            sets, node, n = _sets(rows.column("delta")), np.asarray(rows.column("node")), np.asarray(rows.column("n"))
+            d = np.array([len(s) for s in sets])
+            edges = _forest(_linked(n, d, _overlaps(sets), percent))
+            yield pa.record_batch([pa.array([node[x] for x, _ in edges], pa.int64()), pa.array([node[y] for _, y in edges], pa.int64())], ["a", "b"])
+
+    # The same plan at every size: the rows to send on are never broadcast.
+    texts = base.join(needed.hint("merge"), base["_id"] == needed["node"]).select("node", "_text", "at")
+    sets = texts.mapInArrow(with_sets, "block long, part int, k int, leads boolean, node long, tokens array<long>")
+    first = sets.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(
+        within, "a long, b long, block long, far int, k int, node long, n long, delta array<long>"
+    )
+    first = stored(first, "jaccard-first")
+    own = F.pmod(F.xxhash64("node", F.lit(11)), F.col("k")).cast("int")
+    wide = first.where("node IS NOT NULL").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("own <> other")
+    wide = wide.select("block", "far", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "delta")
+    pair = ["block", "far", "i", "j"]
+    second = wide.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(across, "a long, b long")
+    links = first.where("a IS NOT NULL").select("a", "b").unionByName(second)
     # Rows that repeat an id with other words are one document: tie their nodes.
     same = rows.where("n > 0 AND _id IS NOT NULL").select("_id", "key").join(nodes, "key").where("_id <> node").select(F.col("_id").alias("a"), F.col("node").alias("b"))
     found = stored(components(links.unionByName(same)), "jaccard-components")
-    for old in (reps, close):
+    for old in (reps, close, first):
         forget(old)
     sized = stored(rows.select("_id", "n"), "jaccard-sizes")
     forget(rows)
