@@ -6,9 +6,13 @@ chain of elements that hold it. The ratio of characters to tags is smoothed alon
 the page by a Gaussian, and the lines are clustered in two around a threshold
 that is moved to the middle of both clusters' means until it rests. The content
 cluster votes, by its characters, for the innermost element that holds at least
-`cover` of them; every line of that region is content, so that a one-word
-paragraph between long ones stays. Lines under elements that are furniture by
-their tag, role, class or id never count and never vote.
+`cover` of them, nearly all; lines of <article> vote alone only when they hold
+most of the cluster, those of <main> from a quarter of it on. A container that holds text but no blocks is a
+paragraph by another name, so the region is what holds it, and the region grows
+to its parents as long as that adds lines of the cluster or other prose. Every line of the region
+is content, so that a one-word paragraph between long ones stays. Lines under
+elements that are furniture by their tag, role, class or id never count and never
+vote.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 SIGMA = 1.0
-COVER = 0.6
+COVER = 0.95
+#: Characters for each tag from which a line counts as prose, whatever the cluster.
+PROSE = 25
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -180,6 +186,12 @@ def _threshold(values: list[float]) -> float:
     return t
 
 
+def _in_main(node: _Node) -> bool:
+    while node is not None and node.tag != "main":
+        node = node.parent
+    return node is not None
+
+
 def content_lines(html: str, sigma: float = SIGMA, cover: float = COVER) -> list[str]:
     """The page's content, a string for each block, in page order."""
     parser = _Lines()
@@ -195,25 +207,45 @@ def content_lines(html: str, sigma: float = SIGMA, cover: float = COVER) -> list
     smooth = _smoothed(ratios, sigma)
     limit = _threshold(smooth)
     clear = [(t, node) for (t, _, node) in lines if t and not node.furniture]
+    clear_prose = [(t, node, math.log1p(s) > limit or len(t) >= PROSE * max(1, tags)) for (t, tags, node), s in zip(lines, smooth) if t and not node.furniture]
     chosen = [(t, node) for (t, _, node), s in zip(lines, smooth) if t and not node.furniture and math.log1p(s) > limit] or clear
     named = [(t, node) for t, node in chosen if node.article]
-    voters = named or chosen
+    most = sum(len(t) for t, _ in chosen)
+    inner = [(t, node) for t, node in named if _in_main(node)]
+    if 4 * sum(len(t) for t, _ in inner) >= most:
+        voters = inner
+    else:
+        voters = named if 2 * sum(len(t) for t, _ in named) > most else chosen
     total = 0
     for t, node in voters:
         total += len(t)
         while node is not None:
             node.chars += len(t)
             node = node.parent
-    region = parser.root
-    best = max((node for _, node in voters), key=lambda x: x.chars)
-    while best is not None and best.chars < cover * total:
-        best = best.parent
-    region = best or region
-    while region.parent is not None and region.tag not in CONTAINERS:
-        region = region.parent  # a paragraph or a list is no region: take what holds it
+    region = max((node for _, node in voters), key=lambda x: x.chars)
+    while region.parent is not None and region.chars < cover * total:
+        region = region.parent
+    # A paragraph, a list or a block of bare text is no region: take what holds it.
+    blocks = {id(node.parent) for _, node in clear}
+    while region.parent is not None and (region.tag not in CONTAINERS or (id(region) not in blocks and region.tag not in ARTICLE_TAGS)):
+        region = region.parent
     if region.article:
         while region.parent is not None and region.parent.article:
             region = region.parent
+    held_chars: dict[int, list[int]] = {}
+    for t, node, prose in clear_prose:
+        while node is not None:
+            sums = held_chars.setdefault(id(node), [0, 0])
+            sums[0] += len(t)
+            sums[1] += prose * len(t)
+            node = node.parent
+    at = region
+    while at.parent is not None and not region.article:
+        at = at.parent
+        if at.tag in CONTAINERS and held_chars[id(at)][1] > held_chars[id(region)][1]:
+            region = at
+        elif at.tag in CONTAINERS and held_chars[id(at)][0] > held_chars[id(region)][0]:
+            break
     inside: dict[int, bool] = {}
 
     def held(node):

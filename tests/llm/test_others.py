@@ -220,3 +220,23 @@ def test_html_regions():
     assert extract_text(f"<p>{long}<p>Short.") == f"{long} Short."
     assert extract_text(f"<div id=a><blockquote>{long}</blockquote><p>Short.</p></div><div class='side-bar'>more</div>") == f"{long} Short."
     assert extract_text(f"<main><h2>T</h2><p>{long}</p><div class=ad>Buy</div><p>End</p></main><div><p>{long} elsewhere</p></div>") == f"T {long} End"
+
+
+def test_html_region_of_all_blocks():
+    long = " ".join(f"Sentence {k} of a block that holds most of this page." for k in range(14))
+    more = " ".join(f"Sentence {k} of its sibling block." for k in range(9))
+    for tag in ("div", "section"):
+        blocks = f"<{tag}>{long}</{tag}><{tag}>{more}</{tag}><{tag}>Un.</{tag}>"
+        assert extract_text(f"<body><div class=post>{blocks}</div></body>") == f"{long} {more} Un."
+    assert extract_text(f"<table><tr><td>{long}<td>{more}</table>") == f"{long} {more}"
+    assert extract_text(f"<div id=a><div><p>{long}</p><p>b</p></div><div><p>{more}</p></div></div>") == f"{long} b {more}"
+    assert extract_text(f"<div id=a><div><p>{long * 9}</p><p>b</p></div><div><p>{more}</p></div></div>") == f"{long * 9} b {more}"
+    assert extract_text(f"<div id=a><article><p>{long}</p></article><article><p>{more}</p></article></div>") == f"{long} {more}"
+
+
+def test_html_teaser_articles():
+    paragraphs = [" ".join(f"Sentence {k} of paragraph {n} in a plain element." for k in range(6)) for n in range(8)]
+    body, teaser = "".join(f"<p>{p}</p>" for p in paragraphs), "A teaser that is some sentences of a good length and leads elsewhere. " * 4
+    for teasers in (f"<article>{teaser}</article>", f"<div id=more><article>{teaser}</article><article>{teaser}</article></div>", f"<article class=comment>{teaser}</article>"):
+        got = extract_text(f"<body><div id=x>{body}<p>End.</p></div>{teasers}</body>")
+        assert got.startswith(" ".join(paragraphs) + " End.")
