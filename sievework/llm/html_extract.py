@@ -11,8 +11,9 @@ most of the cluster, those of <main> from a quarter of it on. A container that h
 paragraph by another name, so the region is what holds it, and the region grows
 to its parents as long as that adds lines of the cluster or other prose. Every line of the region
 is content, so that a one-word paragraph between long ones stays. Lines under
-elements that are furniture by their tag, role, class or id never count and never
-vote.
+elements that are furniture by their tag or role never count and never vote.
+Forms and elements with a furniture word in their class or id are only suspects:
+what they are is settled when the page is parsed, see _settle.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SIGMA = 1.0
 COVER = 0.95
 #: Characters for each tag from which a line counts as prose, whatever the cluster.
 PROSE = 25
+#: Characters from which a block counts as prose where suspects are settled.
+PROSE_LINE = 40
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -38,9 +41,9 @@ INLINE = frozenset(
 )
 #: Elements whose text is never content.
 FURNITURE_TAGS = frozenset(
-    "head title nav footer aside form button select option optgroup textarea input script style noscript template iframe object svg canvas audio video dialog menu".split()
+    "head title nav footer aside button select option optgroup textarea input script style noscript template iframe object svg canvas audio video dialog menu".split()
 )
-FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 #: Words that mark furniture where they are a whole word of a class or id.
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside "
@@ -48,6 +51,10 @@ FURNITURE_WORDS = frozenset(
     "share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus widget pagination pager skip copyright legal disclaimer "
     "search searchform form tags taglist hidden paywall".split()
 )
+#: Furniture words of text that can be longer than the article.
+BESIDES = frozenset("comment comments commentlist respond reply replies disqus cookie cookies consent gdpr related recommended recommendations".split())
+#: Beginnings and ends of class names that tell of a page's layout: no-sidebar.
+LAYOUT = re.compile(r"(no|non|not|has|have|with|without)[-_]|.*[-_](enabled|disabled)$", re.I)
 ARTICLE_TAGS = frozenset(("article", "main"))
 #: Elements that can be a content region.
 CONTAINERS = frozenset("article main section div body html td center".split())
@@ -69,10 +76,12 @@ _SPACES = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "furniture", "chars", "order", "article")
+    """An element. suspect: 0, or 1 to 3, the later the surer it is furniture."""
 
-    def __init__(self, tag, parent, furniture, article):
-        self.tag, self.parent, self.furniture, self.article = tag, parent, furniture, article
+    __slots__ = ("tag", "parent", "furniture", "suspect", "chars", "article")
+
+    def __init__(self, tag, parent, furniture, suspect, article):
+        self.tag, self.parent, self.furniture, self.suspect, self.article = tag, parent, furniture, suspect, article
         self.chars = 0
 
 
@@ -88,15 +97,111 @@ def _is_furniture(tag: str, attrs: list, in_article: bool) -> bool:
             continue
         if name == "role" and value.strip().lower() in FURNITURE_ROLES:
             return True
-        if name in ("class", "id"):
-            whole = (re.sub("[^a-z]", "", w) for w in value.lower().split())
-            if any(w.lower() in FURNITURE_WORDS for w in (*_WORDS.findall(value), *whole)):
-                return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
+def _suspicion(tag: str, attrs: list) -> int:
+    """3 for a class name or id that is a word of BESIDES, 2 for one that has such a
+    word in it or is another furniture word, 1 for one that only has another one in
+    it, and for forms."""
+    if tag in ("html", "body", "main"):
+        return 0
+    most = 1 if tag == "form" else 0
+    for name, value in attrs:
+        if name == "role" and value and value.strip().lower() == "form":
+            most = max(most, 1)
+        if name not in ("class", "id") or not value:
+            continue
+        for token in value.split():
+            whole = re.sub("[^a-z]", "", token.lower())
+            if whole in BESIDES:
+                return 3
+            if whole in FURNITURE_WORDS:
+                most = max(most, 2)
+            elif not LAYOUT.match(token):
+                words = {w.lower() for w in _WORDS.findall(token)}
+                # Articles are often named after their tags and categories.
+                if words & BESIDES:
+                    most = 2
+                elif words & FURNITURE_WORDS and tag != "article":
+                    most = max(most, 1)
+    return most
+
+
+def _settle(lines: list[tuple[str, int, _Node]], nodes: list[_Node]) -> None:
+    """Decide which suspects are furniture, and mark it on all nodes.
+
+    A suspect that holds <main> is none. Another one is cleared if it holds most of
+    the page's prose (long blocks and all text of articles) and what stays outside of it, in no suspect, is less than a
+    quarter of its own prose without that of suspects inside it. Slight suspects
+    are judged first, without the text of graver ones; those are judged only if no
+    prose is clear without them. nodes are in page order, parents first.
+    """
+    for x in nodes:
+        if x.tag == "main" and not x.furniture:
+            while x is not None:
+                x.suspect = 0
+                x = x.parent
+    if any(x.suspect for x in nodes):
+        articles: dict[int, bool] = {}
+        for x in nodes:
+            articles[id(x)] = (x.tag in ARTICLE_TAGS and not x.suspect) or articles.get(id(x.parent), False)
+        clean = [(len(t), node) for t, _, node in lines if t and not node.furniture]
+        prose = [(n, node) for n, node in clean if n >= PROSE_LINE or articles.get(id(node))] or clean
+        for grade in (1, 2, 3):
+            _clear(prose, nodes, grade)
+            if _clear_chars(prose, nodes):
+                break
+    for x in nodes:
+        up = x.parent
+        x.furniture = x.furniture or x.suspect > 0 or up.furniture
+        x.article = not x.furniture and (up.article or x.tag in ARTICLE_TAGS)
+
+
+def _clear_chars(prose, nodes) -> int:
+    under = {}
+    for x in nodes:
+        under[id(x)] = x.suspect > 0 or under.get(id(x.parent), False)
+    return sum(n for n, node in prose if not under.get(id(node), False))
+
+
+def _clear(prose, nodes, grade) -> None:
+    graver: dict[int, bool] = {}
+    for x in nodes:
+        graver[id(x)] = x.suspect > grade or graver.get(id(x.parent), False)
+    base = [(n, node) for n, node in prose if not graver.get(id(node), False)]
+    sums: dict[int, int] = {}
+    for n, node in base:
+        sums[id(node)] = sums.get(id(node), 0) + n
+    total = sum(n for n, _ in base)
+    for x in reversed(nodes):
+        if id(x) in sums:
+            sums[id(x.parent)] = sums.get(id(x.parent), 0) + sums[id(x)]
+    # Any two of these overlap, so one holds the other: they are a chain.
+    chain = [x for x in nodes if x.suspect and not graver[id(x)] and 2 * sums.get(id(x), 0) > total]
+    if not chain:
+        return
+    place = {id(x): k for k, x in enumerate(chain, 1)}
+    depth: dict[int, int] = {}  # the innermost of the chain around a node; -1 below a suspect beside the chain
+    for x in nodes:
+        up = depth.get(id(x.parent), 0)
+        depth[id(x)] = up if up < 0 else place.get(id(x), -1 if x.suspect else up)
+    own = [0] * (len(chain) + 1)
+    for n, node in base:
+        k = depth.get(id(node), 0)
+        if k >= 0:
+            own[k] += n
+    inside = 0
+    for k in range(len(chain), 0, -1):
+        if 4 * sum(own[:k]) < inside + own[k]:
+            inside += own[k]
+            chain[k - 1].suspect = 0
+        else:
+            inside = 0
+
+
 class _Lines(HTMLParser):
     """Turns parser events into lines: (text, tags, node)."""
 
@@ -104,37 +209,68 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", None, False, False)
+        self.root = self.at = _Node("", None, False, 0, False)
+        self.nodes: list[_Node] = []
         self.lines: list[tuple[str, int, _Node]] = []
-        self.text: list[str] = []
+        self.text: list[tuple[str, _Node]] = []
         self.tags = 0
         self.open: dict[str, int] = {}
 
     def flush(self):
-        text = _SPACES.sub(" ", "".join(self.text)).strip()
+        """End the line. Hidden inline elements give no words to it. Suspect ones do,
+        and are its place only where all of its words are theirs."""
+        place = self.at
+        while place.tag in INLINE:
+            place = place.parent
+        if any(node.tag in INLINE for _, node in self.text):
+            kept = [(s, node) for s, node in self.text if node.tag not in INLINE or not node.furniture or place.furniture]
+            worded = [node for s, node in kept if s.strip()]
+            suspects = [self._suspect(node) for node in worded]
+            if worded and all(suspects):
+                place = suspects[0]
+        else:
+            kept = self.text
+        text = _SPACES.sub(" ", "".join(s for s, _ in kept)).strip()
         if text or self.tags:
-            self.lines.append((text, self.tags, self.at))
+            self.lines.append((text, self.tags, place))
         self.text, self.tags = [], 0
 
+    @staticmethod
+    def _suspect(node):
+        """The outermost suspect inline element around the words."""
+        found = None
+        while node.tag in INLINE:
+            found = node if node.suspect else found
+            node = node.parent
+        return found
+
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
             self.flush()
-            while self.at.parent is not None and tag in CLOSED_BY.get(self.at.tag, ()):
+            while self.at.parent is not None and tag in CLOSED_BY.get(self._block().tag, ()):
+                while self.at.tag in INLINE:
+                    self._pop()
                 self._pop()
         self.tags += 1
         if tag == "br":
-            self.text.append("\n")
+            self.text.append(("\n", self.at))
         if tag in VOID:
             return
-        # Inline elements need no node, unless they hide something.
         furniture = _is_furniture(tag, attrs, self.at.article)
-        if tag in INLINE and not furniture:
+        suspect = _suspicion(tag, attrs)
+        # Inline elements need no node, unless they hide something or lie in one that may.
+        if tag in INLINE and not furniture and not suspect and not (self.open.get(tag) and self.at.tag in INLINE):
             return
-        if tag in INLINE:
-            self.flush()
-        self.at = _Node(tag, self.at, self.at.furniture or furniture, self.at.article or tag in ARTICLE_TAGS)
+        self.at = _Node(tag, self.at, self.at.furniture or furniture, suspect, self.at.article or tag in ARTICLE_TAGS)
+        self.nodes.append(self.at)
         self.open[tag] = self.open.get(tag, 0) + 1
 
+    def _block(self):
+        node = self.at
+        while node.tag in INLINE:
+            node = node.parent
+        return node
+
     def _pop(self):
         self.open[self.at.tag] -= 1
         self.at = self.at.parent
@@ -142,20 +278,34 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag):
         if tag in VOID:
             if tag == "br":
-                self.text.append("\n")
+                self.text.append(("\n", self.at))
             return
         self.tags += 1
+        if tag in INLINE:
+            # An inline end tag ends no block.
+            node = self.at
+            while node.tag in INLINE and node.tag != tag:
+                node = node.parent
+            if node.tag == tag:
+                while self.at is not node:
+                    self._pop()
+                self._pop()
+            elif self.open.get(tag):
+                self._end(tag)
+            return
         if not self.open.get(tag):
-            if tag not in INLINE:
-                self.flush()
+            self.flush()
             return
+        self._end(tag)
+
+    def _end(self, tag):
         self.flush()
         while self.at.tag != tag:
             self._pop()
         self._pop()
 
     def handle_data(self, data):
-        self.text.append(data)
+        self.text.append((data, self.at))
 
 
 def _smoothed(values: list[float], sigma: float) -> list[float]:
@@ -201,6 +351,7 @@ def content_lines(html: str, sigma: float = SIGMA, cover: float = COVER) -> list
     lines = [x for x in parser.lines if x[0] or x[1]]
     if not lines:
         return []
+    _settle(lines, parser.nodes)
     ratios = [0.0 if node.furniture else len(text) / max(1, tags) for text, tags, node in lines]
     if not any(ratios):
         return []
@@ -272,8 +423,8 @@ def extract_text(html: str | None, sigma: float = SIGMA, cover: float = COVER) -
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text", sigma: float = SIGMA, cover: float = COVER) -> DataFrame:
     """Add the main text of every page as out_col.
 
-    Null and empty html give the empty text, as does a page of nothing but
-    furniture. Pages are independent: one row in, one row out, no shuffle. Other
+    Null and empty html give the empty text, as does a page of nothing but elements
+    that are furniture by their tag or role. Pages are independent: one row in, one row out, no shuffle. Other
     columns stay; a column already named out_col is replaced.
     """
 

@@ -240,3 +240,27 @@ def test_html_teaser_articles():
     for teasers in (f"<article>{teaser}</article>", f"<div id=more><article>{teaser}</article><article>{teaser}</article></div>", f"<article class=comment>{teaser}</article>"):
         got = extract_text(f"<body><div id=x>{body}<p>End.</p></div>{teasers}</body>")
         assert got.startswith(" ".join(paragraphs) + " End.")
+
+
+def test_html_layout_wrappers():
+    text = " ".join(f"Sentence {k} of the article inside a wrapper." for k in range(12))
+    more = " ".join(f"Sentence {k} by a reader." for k in range(9))
+    beside = f"<div class=comments><p>{more}</p></div><div class='side-bar'><p>Read also what others read, it is very long, too.</p></div><div>Site name</div>"
+    for name in ("page no-sidebar", "has-sidebar", "header-fixed content", "post tags-enabled", "legal-news", "search"):
+        for inner in (f"<p>{text}</p><p>Un.</p>", f"<article><p>{text}</p><p>Un.</p></article>", f"<main><p>{text}</p><p>Un.</p></main>"):
+            assert extract_text(f"<body><div class='{name}'>{inner}</div>{beside.replace('<div>Site name</div>', '')}</body>") == f"{text} Un.", name
+        assert text in extract_text(f"<body><div class='{name}'><div id='header-fixed'><p>{text}</p></div>{beside}</div></body>"), name
+        assert more not in extract_text(f"<body><div class='{name}'><div><p>{text}</p></div>{beside}</div></body>"), name
+    assert extract_text(f"<body><form id=aspnetForm><div><p>{text}</p><p>Un.</p></div></form></body>") == f"{text} Un."
+    assert extract_text(f"<body><div><p>{text}</p></div><form><p>Write to us, we like it when you do, really.</p></form></body>") == text
+
+
+def test_html_inline_suspects():
+    text = " ".join(f"Sentence {k} of a paragraph." for k in range(9))
+    assert extract_text(f"<div><p>{text} <span class=notice>Mind <span>this</span> now</span> and <a class='social' href=/>that</a>.</p></div>") == f"{text} Mind this now and that."
+    assert extract_text(f"<div><p>{text}</p><p><a class=social>Tweet</a> <a class=share>Send</a></p><p>wor<span hidden>x</span>d</p></div>") == f"{text} word"
+
+
+def test_html_comment_articles():
+    text, more = (" ".join(f"Sentence {k} {by}." for k in range(n)) for by, n in (("of the author", 20), ("of a reader", 60)))
+    assert extract_text(f"<body><div id=x><p>{text}</p></div><div><article class=comment><p>{more}</p></article></div></body>") == text
