@@ -30,6 +30,8 @@ MAX_FEATURES = 2048
 FOLDS = 5
 #: Log odds by which a feature's evidence must exceed the number of features tried.
 EVIDENCE = 0.0
+#: Times the base rate's odds of being toxic that a feature's own odds must exceed.
+MIN_LIFT = 2.0
 STEMS = (4, 5, 6)
 CATEGORIES = ("dense", "sparse", "toxic")
 MEMO_WORDS = 200_000
@@ -151,7 +153,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", lab
     share = F.col("_a") / F.col("_n")
     gain = F.col("_a") * F.log(share / rate) + F.when(share < 1, (F.col("_n") - F.col("_a")) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
     least = math.log(max(counts.count(), 1)) + EVIDENCE
-    top = counts.where(share > 2 * rate).select("_key", gain.alias("_g")).where(F.col("_g") >= least).orderBy(F.desc("_g"), "_key").limit(max_features)
+    # Lift in odds, which has no ceiling: a lift in shares cannot be met from a base rate of a half on.
+    lifted = F.col("_a") * (1 - rate) > MIN_LIFT * (F.col("_n") - F.col("_a")) * rate
+    top = counts.where(lifted).select("_key", gain.alias("_g")).where(F.col("_g") >= least).orderBy(F.desc("_g"), "_key").limit(max_features)
     keys = [r[0] for r in top.collect()]
     model = ToxicModel(keys, [])
     picked = rows.select("doc_id", "_mark", "n", F.array_intersect("keys", F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<bigint>")).alias("keys")).orderBy("doc_id")

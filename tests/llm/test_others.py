@@ -9,6 +9,7 @@ import pytest
 from helpers import SCHEMA, corpus, frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sievework.llm import quality, toxicity
@@ -158,6 +159,19 @@ def test_toxicity_held_out(spark):
     assert found > 0.85 and sum(r["toxic"] for r in rows if not r["mark"]) <= 0.01 * len(rows)
 
 
+@pytest.mark.parametrize("clean_for_toxic", [1.0, 0.4])
+def test_toxicity_balanced_labels(spark, clean_for_toxic):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = labels.where("toxic = 1")
+    few = labels.where("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(int(toxic.count() * clean_for_toxic))
+    labels = toxic.unionByName(few).select("doc_id", "toxic")
+    model = toxicity.fit_toxicity(docs, labels.where("doc_id % 4 <> 2"))
+    rows = toxicity.toxicity(docs.where("doc_id % 4 = 2"), model).join(labels.withColumnRenamed("toxic", "mark"), "doc_id").collect()
+    hits = sum(r["toxic"] for r in rows if r["mark"])
+    assert len(model.index) > 0 and hits > 0.85 * sum(r["mark"] for r in rows) and hits > 0.95 * sum(r["toxic"] for r in rows)
+
+
 def test_chain_feeds_forward():
     rng = np.random.default_rng(3)
     rows = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(800)]
