@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 from ..functions import score as S
 
 
-def without_user_filters(jobs: DataFrame, filters: DataFrame, title: str = "title", tags: str | None = "tags") -> DataFrame:
+def without_user_filters(jobs: DataFrame, filters: DataFrame, title: str = "title", tags: str | None = "tags", limit: int = 10_000) -> DataFrame:
     """Postings that no active filter hits: title filters ignore case and contain
-    literally, tag filters are exact and let null tags pass. One user's filters are
-    few (checked), so they become one predicate without a join."""
-    rows = filters.where("is_active").select("filter_type", "pattern").limit(10_001).collect()
-    if len(rows) > 10_000:
-        on = (F.col("filter_type") == "title_contains") & F.contains(F.lower(title), F.lower("pattern"))
-        return jobs.join(filters.where("is_active").select("filter_type", "pattern"), on, "left_anti")
+    literally, tag filters are exact and let null tags pass. As in SQL, a null title
+    passes no title filter and an array with a null tag no tag filter; filters
+    without a pattern hit nothing. Up to `limit` filters become one predicate
+    without a join, more of them anti-joins with the same result."""
+    active = filters.where("is_active AND pattern IS NOT NULL").select("filter_type", "pattern")
+    rows = active.limit(limit + 1).collect()
+    if len(rows) > limit:
+        by_title = F.col("filter_type").eqNullSafe("title_contains")
+        titles = active.where(by_title).select(F.lower("pattern").alias("_pattern")).distinct()
+        out = jobs.join(titles, F.coalesce(F.contains(F.lower(title), F.col("_pattern")), F.lit(True)), "left_anti")
+        if tags:
+            wanted = active.where(~by_title).select(F.col("pattern").alias("_pattern")).distinct()
+            hit = F.col(tags).isNotNull() & F.coalesce(F.array_contains(tags, F.col("_pattern")), F.lit(True))
+            out = out.join(wanted, hit, "left_anti")
+        return out
     for kind, pattern in rows:
         if kind == "title_contains":
             jobs = jobs.where(~F.contains(F.lower(title), F.lit(pattern.lower())))

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from sievework.operators import dedup, lifecycle, merge, patterns, search, watchlist
+from sievework.operators import dedup, lifecycle, matching, merge, patterns, search, watchlist
 from sievework.plans.pipelines import ingest
 from sievework.schema import POSTING
 from sievework.sources import readers, sinks
@@ -164,3 +164,16 @@ def test_watchlist(spark):
     assert [r["pattern"] for r in watchlist.new_filter(f).collect()] == ["sales"]
     users = {"a": spark.createDataFrame([("u", 1), ("v", 2), (None, 3)], "user_id string, x int")}
     assert merge.erase_user(users, "u")["a"].count() == 2 and merge.export_user(users, "u")["a"].count() == 1
+
+
+def test_user_filters_alike_at_every_size(spark):
+    rows = [(1, "Ring Bearer", ["a"]), (2, "plain", ["b", "c"]), (3, "plain", None), (4, None, ["a"]), (5, "50% off", ["c"]), (6, "plain", []), (7, "plain", ["a", None]), (8, "red", ["B"])]
+    jobs = spark.createDataFrame(rows, "id int, title string, tags array<string>")
+    both = [("title_contains", "RING", True), ("title_contains", "0%", True), ("tag_contains", "b", True), ("title_contains", "plain", False), ("tag_contains", None, True)]
+    for active, want in ((both, [3, 6, 8]), (both[2:], [1, 3, 4, 5, 6, 8]), (both[:2], [2, 3, 6, 7, 8]), (both[3:], [1, 2, 3, 4, 5, 6, 7, 8])):
+        filters = spark.createDataFrame(active, "filter_type string, pattern string, is_active boolean")
+        for limit in (10_000, 0):
+            assert sorted(r["id"] for r in matching.without_user_filters(jobs, filters, limit=limit).collect()) == want, limit
+        assert [r["id"] for r in matching.without_user_filters(jobs, filters, tags=None, limit=0).orderBy("id").collect()] == [
+            r["id"] for r in matching.without_user_filters(jobs, filters, tags=None).orderBy("id").collect()
+        ]
