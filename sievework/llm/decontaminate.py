@@ -13,7 +13,9 @@ of its question and of its answer (its last sentence).
 
 Documents are scored where they lie: nothing is shuffled. The index is cut in
 parts of at most `part_bytes` of item text, so what is shipped has a fixed bound;
-a larger benchmark costs one more column, not more memory.
+a larger benchmark costs one more column, not more memory. The figures that scores
+and passages rest on (number of items, document frequencies, mean and greatest
+length) are taken over all items, so the number of parts changes no result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import forget, stored, table
 
 SHINGLE = 5
 OVERLAP = 0.8
@@ -62,19 +64,22 @@ def question_and_answer(text: str) -> tuple[str, str]:
 class ItemIndex:
     """Inverted index of items with normalised BM25 impacts and block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = SHARE, overlap: float = OVERLAP, block_items: int = BLOCK_ITEMS):
+    def __init__(self, items: list[tuple[int, str]], share: float = SHARE, overlap: float = OVERLAP, block_items: int = BLOCK_ITEMS, figures: tuple[int, int, int, dict[bytes, int]] | None = None):
+        """figures: number, summed and greatest length, and document frequencies of
+        all items, where these are only a part of them."""
         items = [(i, t) for i, t in sorted(items) if words_of(t)]
         self.share, self.overlap = share, overlap
         self.ids = [i for i, _ in items]
         words = [words_of(t) for _, t in items]
-        self.window = max([len(w) for w in words], default=0)
+        if figures is None:
+            figures = len(words), sum(map(len, words)), max(map(len, words), default=0), Counter(t for w in words for t in set(w))
+        count, length, self.window, freq = figures
         self.size = block_items
-        freq = Counter(t for w in words for t in set(w))
-        mean = sum(map(len, words)) / max(1, len(words))
+        mean = length / max(1, count)
         self.impacts: list[dict[bytes, float]] = []
         for w in words:
             own = {
-                t: math.log(1 + (len(words) - freq[t] + 0.5) / (freq[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean))
+                t: math.log(1 + (count - freq[t] + 0.5) / (freq[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean))
                 for t, c in Counter(w).items()
             }
             total = sum(own.values())
@@ -169,12 +174,33 @@ def add_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", out_col
     items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
+    split = items.withColumn("_part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
+    if parts > 1:
+        split = split.withColumn("_words", _item_words()(F.col("text")))
+        count, length, longest = split.where("_words.n > 0").agg(F.count(F.lit(1)), F.sum("_words.n"), F.max("_words.n")).first()
+        terms = split.select("_part", F.explode("_words.terms").alias("_term"))
+        freq = stored(terms.groupBy("_term").agg(F.count(F.lit(1)).alias("_n"), F.collect_set("_part").alias("_parts")), "item-terms")
     columns = []
     for part in range(parts):
-        rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()]  # about part_bytes
-        packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(ItemIndex(rows, share, overlap)))
+        rows = [(r[0], r[1]) for r in split.where(F.col("_part") == part).select("item_id", "text").collect()]  # about part_bytes
+        figures = None
+        if parts > 1:
+            own = {bytes(r[0]): r[1] for r in freq.where(F.array_contains("_parts", F.lit(part).cast("bigint"))).select("_term", "_n").collect()}
+            figures = (count, length or 0, longest or 0, own)
+        packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(ItemIndex(rows, share, overlap, figures=figures)))
         columns.append(_leak_column(packed)(F.col(text_col)))
-    return docs.withColumn(out_col, columns[0] if parts == 1 else F.concat(*columns))
+    if parts > 1:
+        forget(freq)
+    return docs.withColumn(out_col, columns[0] if parts == 1 else F.array_sort(F.concat(*columns)))
+
+
+def _item_words():
+    @F.arrow_udf("struct<n:int,terms:array<binary>>")
+    def measured(texts: pa.Array) -> pa.Array:
+        words = [words_of(t.as_py()) for t in texts]
+        return pa.array([{"n": len(w), "terms": list(set(w))} for w in words], pa.struct([("n", pa.int32()), ("terms", pa.list_(pa.binary()))]))
+
+    return measured
 
 
 def _leak_column(packed):

@@ -213,6 +213,26 @@ def test_leaks(spark):
     assert add_leaks(frame(spark), bench.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_leaks_alike_in_parts(spark):
+    rnd = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(200)] + ["the", "of", "and"] * 40
+    prose = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    items = [(k, f"{prose(rnd.randint(6, 30))}? {prose(rnd.randint(2, 9))}.") for k in range(60)] + [(60, f"{prose(150)}. {prose(9)}.")]
+    docs = []
+    for k in range(200):
+        q, a = items[k % 60][1].split("?")
+        if k % 2:
+            docs.append((k, f"{prose(30)} {q}. {prose(k % 120)} {a} {prose(60)}"))  # question and answer apart
+        else:
+            w = f"{q} {a}".split()
+            docs.append((k, f"{prose(90)} {' '.join(w[: len(w) * (80 + k % 21) // 100])} {prose(40)}"))  # a part of the item
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id int, text string")
+    one = {r["doc_id"]: r["leaks"] for r in add_leaks(frame, bench).collect()}
+    assert sum(map(len, one.values())) > 50
+    assert {r["doc_id"]: r["leaks"] for r in add_leaks(frame, bench, part_bytes=1500).collect()} == one
+
+
 def test_pipeline(spark, sf_dir):
     docs = frame(spark)
     for name, stage in corpus_pipeline.STAGES[:-1]:
