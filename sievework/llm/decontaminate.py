@@ -61,13 +61,17 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
 
 
+def _item_order(item: tuple[int | None, str]):
+    return item[0] is not None, item[0] or 0, item[1]
+
+
 class ItemIndex:
     """Inverted index of items with normalised BM25 impacts and block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = SHARE, overlap: float = OVERLAP, block_items: int = BLOCK_ITEMS, figures: tuple[int, int, int, dict[bytes, int]] | None = None):
+    def __init__(self, items: list[tuple[int | None, str]], share: float = SHARE, overlap: float = OVERLAP, block_items: int = BLOCK_ITEMS, figures: tuple[int, int, int, dict[bytes, int]] | None = None):
         """figures: number, summed and greatest length, and document frequencies of
         all items, where these are only a part of them."""
-        items = [(i, t) for i, t in sorted(items) if words_of(t)]
+        items = [(i, t) for i, t in sorted(items, key=_item_order) if words_of(t)]
         self.share, self.overlap = share, overlap
         self.ids = [i for i, _ in items]
         words = [words_of(t) for _, t in items]
@@ -166,15 +170,16 @@ class ItemIndex:
 def add_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", out_col: str = "leaks", share: float = SHARE, overlap: float = OVERLAP, part_bytes: int = PART_BYTES) -> DataFrame:
     """Add the array of items that each whole text leaks (out_col).
 
-    Null and empty texts, and items without words, leak nothing; of items that
-    repeat an id, the last text in order counts. Rows are independent and stay;
+    Null and empty texts, and items without words, leak nothing. Every distinct text
+    of an item_id, null ids included, is an item of its own, reported under that
+    item_id. Rows are independent and stay;
     a column already named out_col is replaced. An empty benchmark gives empty
     arrays.
     """
-    items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
+    items = items.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
-    split = items.withColumn("_part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
+    split = items.withColumn("_part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
     if parts > 1:
         split = split.withColumn("_words", _item_words()(F.col("text")))
         count, length, longest = split.where("_words.n > 0").agg(F.count(F.lit(1)), F.sum("_words.n"), F.max("_words.n")).first()

@@ -233,6 +233,15 @@ def test_leaks_alike_in_parts(spark):
     assert {r["doc_id"]: r["leaks"] for r in add_leaks(frame, bench, part_bytes=1500).collect()} == one
 
 
+def test_leaks_of_every_item(spark):
+    texts = [" ".join(f"{w}{k}" for k in range(12)) + f"? The answer {w} is right." for w in ("alpha", "beta", "gamma", "delta")]
+    bench = spark.createDataFrame([(0, texts[0]), (0, texts[1]), (0, texts[1]), (None, texts[2]), (None, texts[3]), (1, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"before it {t} after it") for k, t in enumerate(texts)], "doc_id int, text string")
+    for size in (8 << 20, 60):
+        got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in add_leaks(docs, bench, part_bytes=size).collect()}
+        assert got == {0: [0], 1: [0], 2: [None], 3: [None]}
+
+
 def test_pipeline(spark, sf_dir):
     docs = frame(spark)
     for name, stage in corpus_pipeline.STAGES[:-1]:
