@@ -15,7 +15,7 @@ import corpus_pipeline
 from sievework.llm import quality, toxicity
 from sievework.llm.decontaminate import ItemIndex, add_leaks, shingles, words_of
 from sievework.llm.html_extract import extract, extract_text
-from sievework.llm.sharding import _level, _quotas, balanced_shards
+from sievework.llm.sharding import _level, _quotas, _seats, balanced_shards
 from sievework.llm.spm_codec import PieceCodec, decode, default_model, encode, unpack_ids
 
 spm = pytest.importorskip("sentencepiece")
@@ -82,6 +82,20 @@ def test_sharding(spark):
     assert balanced_shards(frame(spark, []), 10).count() == 0
 
 
+def test_sharding_cuts_only_what_has_no_room(spark):
+    texts = ["half " * 800] * 4 + ["third " * 700] * 3 + ["large " * 9] * 700 + [f"single {k} " * 20 for k in range(600)]
+    rows = [(i, t, *[None] * 8) for i, t in enumerate(texts)]
+    got = balanced_shards(frame(spark, rows), 10).collect()
+    room, held, load = sum(r["size"] for r in got) / 10, {}, Counter()
+    for r in got:
+        held.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        load[r["shard"]] += r["size"]
+    assert {len(held["half " * 800]), len(held["third " * 700])} == {1}
+    assert len(held["large " * 9]) <= -(-700 * (54 + 16) // room) + 1
+    assert max(load.values()) < 1.05 * room
+    assert _seats([(b"a", 60), (b"b", 250)], 4, 100.0) == {b"b": [(0.4, 0), (0.8, 1), (1.0, 2)], b"a": [(1.0, 3)]}
+
+
 def test_sharding_parts():
     assert _level([1.0, 5.0, 3.0], 3.0) == [2.5, 0.0, 0.5]
     grant = _quotas({(0, 1): 10, (1, 0): 4}, {0: 12, 1: 8}, 10, 2)
