@@ -6,12 +6,12 @@ frequent; an exact count over just those verifies them. At most `heavy_parts`
 digests can reach 1/heavy_parts of the rows, so the verified table has a proven
 size and is broadcast: frequent rows get their group's facts on the map side and
 never meet in one task. The other digests, whose groups are smaller than that
-share, are grouped by an ordinary shuffle of (digest, id) rows.
+share, are counted by an ordinary shuffle of partly counted digests and joined back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored, table
@@ -48,12 +48,8 @@ def exact_dedup(
     facts = [F.count(F.lit(1)).alias("_n"), F.max(F.struct("_id", "_row")).alias("_keep")]
     winners = rows.where(F.xxhash64("_digest").isin(keys)).groupBy("_digest").agg(*facts).where(F.col("_n") >= least)
     split = rows.join(F.broadcast(winners), "_digest", "left")
-    own = Window.partitionBy("_digest")
-    light = (
-        split.where(F.col("_n").isNull())
-        .withColumn("_n", F.count(F.lit(1)).over(own))
-        .withColumn("_keep", F.max(F.struct("_id", "_row")).over(own))
-    )
+    light = split.where(F.col("_n").isNull()).drop("_n", "_keep")
+    light = light.join(light.groupBy("_digest").agg(*facts), "_digest")
     both = split.where(F.col("_n").isNotNull()).unionByName(light)
     return both.select(
         F.col("_id").alias(id_col),
