@@ -1,29 +1,36 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-The store keeps, for every line key, in how many documents it was seen and the
-largest document that holds it, as runs sorted by the 128-bit key hash. Documents
-come in batches. A batch is merge-joined with the runs there are: keys the runs
-lack (the anti-join) are first sightings, the others are repeats; both go into
-the batch's own run, marked so. When a level holds `fanout` runs they are merged
-into one run of the next level: counts add up, and a key's first sighting stays
-marked, so later batches meet one row for each key. A line that a third of all
-documents hold is a single row of a run; the one join that meets it once for each
-document is a sort-merge join whose skewed partition AQE splits.
+Documents come in batches. The store holds every line key once, in the run of the
+batch that saw it first, with the number of that batch's documents and the largest
+id; runs are bucketed by the 128-bit key hash and sorted within buckets. A new batch
+is counted by key and merge-anti-joined with the runs: what no run has becomes the
+batch's own run, and what some run has goes to a log of repeats. When a level holds
+`fanout` runs they are compacted into one run of the next level; their keys differ,
+so this only merges sorted rows. Runs are joined and compacted bucket by bucket,
+without a shuffle of their rows.
+
+A frequent line either had enough documents in its first batch or is in the log, so
+only the log and the first entries that it names are added up: lines of one batch,
+most of all, are never counted again. A line that a third of all documents hold is
+one row of a run and one of each batch's log; the one join that meets it once for
+each document is a sort-merge join whose skewed partition AQE splits.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, forget, stored, table
+from .common import SPACE, forget, shared_dir, stored, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 4
-FANOUT = 4
+FANOUT = 2
 _STRIP = SPACE.encode()
 
 
@@ -53,51 +60,80 @@ def line_keys(docs: DataFrame, text_col: str, id_col: str, min_chars: int) -> Da
 
 
 class LineRuns:
-    """Levelled runs of (key, n_docs, keep_id, fresh) below the shared folder."""
+    """Levelled runs of (key, n_docs, keep_id), each key in one run, and the log of
+    repeats, as bucketed tables below the shared folder."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
-        self.levels: list[list[DataFrame]] = []
+        self.buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        self.levels: list[list[str]] = []
+        self.log: DataFrame | None = None
+        self.tables: list[str] = []
 
-    def all(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        out = None
-        for r in runs:
-            out = r if out is None else out.unionByName(r)
-        return out
+    def _saved(self, rows: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, "_key").sortBy("_key").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        self.tables.append(name)
+        return name
+
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
 
     def add(self, keys: DataFrame) -> None:
-        """Merge one batch of (id, key) rows; a document lies in one batch."""
+        """Take in one batch of (id, key) rows; a document lies in one batch."""
         batch = keys.groupBy("_key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("_id").alias("keep_id"))
-        old = self.all()
-        if old is None:
-            run = batch.withColumn("fresh", F.lit(True))
-        else:
-            # One entry for a key: compaction sums them, and first sightings are unique.
-            seen = old.where("fresh").select("_key", F.lit(False).alias("_new"))
-            run = batch.join(seen.hint("merge"), "_key", "left").select("_key", "n_docs", "keep_id", F.coalesce("_new", F.lit(True)).alias("fresh"))
-        self._put(0, stored(run.sortWithinPartitions("_key"), "line-run"))
-
-    def _put(self, level: int, run: DataFrame) -> None:
+        runs = self.runs()
+        if not runs:
+            self._put(0, self._saved(batch))
+            return
+        batch = self.spark.table(counted := self._saved(batch))
+        fresh = repeats = batch
+        for run in runs:
+            fresh = fresh.join(run.select("_key").hint("merge"), "_key", "left_anti")
+        fresh = self._saved(fresh)
+        repeats = stored(batch.join(self.spark.table(fresh).select("_key").hint("merge"), "_key", "left_anti"), "line-repeats")
+        self.log = repeats if self.log is None else self.log.unionByName(repeats)
+        self._drop(counted)
+        self._put(0, fresh)
+
+    def _put(self, level: int, run: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             parts, self.levels[level] = self.levels[level], []
-            merged = parts[0]
+            merged = self.spark.table(parts[0])
             for p in parts[1:]:
-                merged = merged.unionByName(p)
-            merged = merged.groupBy("_key").agg(F.sum("n_docs").alias("n_docs"), F.max("keep_id").alias("keep_id"), F.max("fresh").alias("fresh"))
-            self._put(level + 1, stored(merged.sortWithinPartitions("_key"), "line-run"))
+                merged = merged.unionByName(self.spark.table(p))
+            self._put(level + 1, self._saved(merged))
             for p in parts:
-                forget(p)
+                self._drop(p)
+
+    def _drop(self, name: str) -> None:
+        forget(self.spark.table(name))
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables.remove(name)
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """(key, keep_id) of the lines in at least min_docs documents."""
-        runs = self.all()
-        if len([r for level in self.levels for r in level]) > 1:
-            runs = runs.groupBy("_key").agg(F.sum("n_docs").alias("n_docs"), F.max("keep_id").alias("keep_id"))
-        return runs.where(F.col("n_docs") >= min_docs).select("_key", "keep_id")
+        """(key, keep_id) of the lines in at least min_docs documents, written out."""
+        totals = [F.sum("n_docs").alias("n_docs"), F.max("keep_id").alias("keep_id")]
+        again = None if self.log is None else stored(self.log.groupBy("_key").agg(*totals), "line-again")
+        out = None
+        for run in self.runs():
+            if again is None:
+                rows = run
+            else:
+                more = again.select("_key", F.col("n_docs").alias("_n"), F.col("keep_id").alias("_k"))
+                rows = run.join(more.hint("merge"), "_key", "left").select("_key", (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("keep_id", "_k").alias("keep_id"))
+            rows = rows.where(F.col("n_docs") >= min_docs).select("_key", "keep_id")
+            out = rows if out is None else out.unionByName(rows)
+        out = stored(out, "line-frequent")
+        for done in (again, self.log):
+            if done is not None:
+                forget(done)
+        for name in list(self.tables):
+            self._drop(name)
+        return out
 
 
 def line_dedup(
@@ -116,22 +152,23 @@ def line_dedup(
     it and goes everywhere else; within the keeper all its copies stay. Null and
     empty texts are one empty line. Rows with a null id are neither counted nor
     changed; rows that repeat an id count as one document and lose the same lines.
-    An empty table gives an empty result.
+    Other columns stay, but one already named line_result is replaced. An empty
+    table gives an empty result. Documents are dealt to the batches by a hash of the
+    id; their number and the fan-out change the runs, never the result.
     """
     spark = docs.sparkSession
+    own_id, own_drop = (f"_{uuid.uuid4().hex}" for _ in range(2))  # no name of the input's
     keys = line_keys(docs, text_col, id_col, min_chars).withColumn("_batch", F.pmod(F.xxhash64("_id"), F.lit(batches)).cast("int"))
     keys = stored(keys, "line-keys", ["_batch"])
     runs, again = LineRuns(spark, fanout), _repeats(docs, id_col)
     for b in range(batches):
         batch = keys.where(F.col("_batch") == b).select("_id", "_key")
         runs.add(batch.distinct() if again else batch)
-    frequent = stored(runs.frequent(min_docs), "line-frequent")
-    drops = (
-        keys.join(frequent, "_key")
-        .where(F.col("_id") != F.col("keep_id"))
-        .groupBy(F.col("_id").alias("_ld_id"))
-        .agg(F.collect_set("_key").alias("_ld_drop"))
-    )
+    frequent = runs.frequent(min_docs)
+    gone = keys.join(frequent, "_key").where(F.col("_id") != F.col("keep_id"))
+    drops = stored(gone.groupBy(F.col("_id").alias(own_id)).agg(F.collect_set("_key").alias(own_drop)), "line-drops")
+    forget(keys)
+    forget(frequent)
 
     @F.arrow_udf("struct<n_lines:long,n_dropped:long,kept_text:string>")
     def applied(texts: pa.Array, dropped: pa.Array) -> pa.Array:
@@ -148,8 +185,8 @@ def line_dedup(
             [pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_lines", "n_dropped", "kept_text"]
         )
 
-    both = docs.join(drops, docs[id_col].cast("long") == drops["_ld_id"], "left")
-    return both.withColumn("line_result", applied(docs[text_col], F.col("_ld_drop"))).drop("_ld_id", "_ld_drop")
+    both = docs.join(drops, docs[id_col].cast("long") == drops[own_id], "left")
+    return both.withColumn("line_result", applied(docs[text_col], drops[own_drop])).drop(own_id, own_drop)
 
 
 def _repeats(docs: DataFrame, id_col: str) -> bool:

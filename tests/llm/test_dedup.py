@@ -6,11 +6,12 @@ from collections import Counter, defaultdict
 
 import pytest
 from helpers import corpus, frame, lower
+from pyspark.sql import functions as F
 
 from sievework.llm.components import components
 from sievework.llm.exact_dedup import exact_dedup
 from sievework.llm.grouping_sa import common_prefixes, suffix_array
-from sievework.llm.line_dedup import line_dedup
+from sievework.llm.line_dedup import LineRuns, line_dedup, line_keys
 from sievework.llm.ngram_join import jaccard_components
 from sievework.llm.suffix_dedup import suffix_dedup
 
@@ -151,3 +152,22 @@ def test_components(spark):
     got = components(spark.createDataFrame([*edges, (None, 1)], "a long, b long")).collect()
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert {r["id"]: r["component"] for r in got} == {x: find(x) for x in linked}
+
+
+def test_line_runs_hold_each_key_once(spark):
+    rows = corpus()
+    keys = line_keys(frame(spark), "text", "doc_id", 40).distinct().cache()
+    runs, held = LineRuns(spark, fanout=2, buckets=3), set()
+    for b in range(9):
+        own = keys.where(F.col("_id") % 9 == b)
+        runs.add(own)
+        held |= {bytes(r["_key"]) for r in own.collect()}
+        found = [bytes(r["_key"]) for run in runs.runs() for r in run.select("_key").collect()]
+        assert len(found) == len(held) and set(found) == held
+    assert [len(x) for x in runs.levels] == [1, 0, 0, 1]
+    want = {bytes(r["_key"]): r["m"] for r in keys.groupBy("_key").agg(F.count("*").alias("n"), F.max("_id").alias("m")).where("n >= 5").collect()}
+    assert {bytes(r["_key"]): r["keep_id"] for r in runs.frequent(5).collect()} == want != {}
+    assert spark.catalog.listTables() == [] or not any(t.name.startswith("line_run") for t in spark.catalog.listTables())
+    clash = frame(spark).withColumn("line_result", F.lit("old")).withColumn("_ld_drop", F.col("score"))
+    got = line_dedup(clash, batches=2).collect()
+    assert sorted(str(r["_ld_drop"]) for r in got) == sorted(str(r[9]) for r in rows) and all(r["line_result"] != "old" for r in got)
