@@ -15,11 +15,15 @@ from __future__ import annotations
 
 
 def suffix_array(text: list[int]) -> list[int]:
-    """Order of the suffixes of text, whose last symbol must be its single least one."""
+    """Order of the suffixes of text, whose last symbol must be its single least one;
+    linear in the text and its largest symbol."""
     n = len(text)
     if n <= 1:
         return list(range(n))
-    order = sorted(range(n), key=text.__getitem__)
+    buckets: list[list[int]] = [[] for _ in range(max(text) + 1)]
+    for s in range(n):
+        buckets[text[s]].append(s)
+    order = [s for bucket in buckets for s in bucket]
     place = [0] * n  # where a suffix lies in order
     start = [0] * n  # first place of a suffix's group
     end = [0] * (n + 1)  # by first place: past the group's last place
@@ -31,19 +35,25 @@ def suffix_array(text: list[int]) -> list[int]:
             first = at
         start[s] = first
     end[first] = n
-    before = [-1] * n  # previous-smaller pointers
+    before: list[int | None] = [None] * n  # previous-smaller pointers
     high = n
     while high > 0:
         low = start[order[high - 1]]
-        members = sorted(order[low:high])
         pointed: dict[int, int] = {}
-        for s in members:
-            j = s - 1
+        for s in order[low:high]:
+            if before[s] is not None:
+                continue  # found on the way from a later one of its group
+            path, j = [s], s - 1
             while j >= 0 and start[j] >= low:
-                j = before[j]
-            before[s] = j
+                if before[j] is None:  # of the same group: the same pointer
+                    path.append(j)
+                    j -= 1
+                else:
+                    j = before[j]
+            for k in path:
+                before[k] = j
             if j >= 0:
-                pointed[j] = pointed.get(j, 0) + 1
+                pointed[j] = pointed.get(j, 0) + len(path)
         if pointed:
             by_count: dict[int, list[int]] = {}
             for j, c in pointed.items():

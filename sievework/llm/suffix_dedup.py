@@ -16,11 +16,14 @@ share symbols worth at least `length` bytes repeat each other there. Because all
 maximal common ranges begin and end at such cuts, this is exact to the byte.
 
 Texts that repeat as a whole are taken once; a copy's bytes are all repeated. Texts
-are told apart by a 64-bit hash.
+are told apart by two independent 64-bit hashes and their length. Only the search
+for cores with more than one text goes by the first hash alone.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -192,16 +195,26 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+#: What two rows with one text agree in.
+_SAME = ["_id", "_id2", "_n"]
+
+
+def _same(text):
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text), F.octet_length(text)
+
+
 def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """(id, _text_id, spans array<struct<lo, hi>>) of the rows with repeated bytes.
+    """(_doc, _id, _id2, _n, spans array<struct<lo, hi>>) of the rows with repeated
+    bytes: id, the text's two hashes and length, and the ranges.
 
     See suffix_dedup for what counts as repeated.
     """
     if not 50 <= length <= 1000:
         raise ValueError("length must be between 50 and 1000")
-    base = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_id", F.xxhash64("_text"))
-    small = base.where(F.octet_length("_text") >= length).select("_doc", "_id", F.octet_length("_text").alias("_n"))
-    texts = stored(small.groupBy("_id").agg(F.count(F.lit(1)).alias("_copies"), F.min("_doc").alias("_first"), F.max("_n").alias("_n")), "suffix-texts")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("_doc"), text.alias("_text"), *[x.alias(c) for c, x in zip(_SAME, _same(text))])
+    small = base.where(F.col("_n") >= length).drop("_text")
+    texts = stored(small.groupBy(*_SAME).agg(F.count(F.lit(1)).alias("_copies"), F.min("_doc").alias("_first")), "suffix-texts")
 
     def anchored(batches):
         """Each core of a text once, and whether the text has it more than once."""
@@ -239,16 +252,16 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         if last is not None and last[2]:
             yield pa.record_batch([pa.array([int(x)], pa.int64()) for x in last[:2]], ["_key", "_id"])
 
-    runs = base.where(F.octet_length("_text") >= length).select("_id", "_text").mapInArrow(anchored, "_key long, _id long, _many boolean")
+    runs = base.where(F.col("_n") >= length).select("_id", "_text").mapInArrow(anchored, "_key long, _id long, _many boolean")
     candidates = runs.repartition("_key").sortWithinPartitions("_key", "_id").mapInArrow(met, "_key long, _id long")
-    wanted = candidates.groupBy("_id").agg(F.collect_list("_key").alias("_keys")).join(texts.select("_id", "_first"), "_id")
+    wanted = candidates.groupBy("_id").agg(F.collect_list("_key").alias("_keys")).join(texts.select(*_SAME, "_first"), "_id")
 
     def cut_out(batches):
         """The runs of the wanted cores; equal runs of a text go as one row."""
         cut = Anchors(length)
         for batch in batches:
-            keys, ids, far, segs, places = [], [], [], [], []
-            for i, t, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            keys, ids, more, far, segs, places = [], [], [], [], [], []
+            for i, i2, t, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 raw = t.as_py().encode()
                 found, at = cut.runs(raw)
                 ok = np.isin(found, np.asarray(own.values))
@@ -259,16 +272,17 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                 for (key, hi, seg), p in runs.items():
                     keys.append(key)
                     ids.append(i)
+                    more.append(i2)
                     far.append(hi)
                     segs.append(seg)
                     places.append(p)
             yield pa.record_batch(
-                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(far, pa.int32()), pa.array(segs, pa.binary()), pa.array(places, pa.list_(pa.int64()))],
-                ["_key", "_id", "_far", "_seg", "_places"],
+                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(more, pa.int64()), pa.array(far, pa.int32()), pa.array(segs, pa.binary()), pa.array(places, pa.list_(pa.int64()))],
+                ["_key", "_id", "_id2", "_far", "_seg", "_places"],
             )
 
-    chosen = base.alias("b").join(wanted.alias("w"), (F.col("b._id") == F.col("w._id")) & F.col("b._doc").eqNullSafe(F.col("w._first")))
-    segments = chosen.select("b._id", "_text", "_keys").mapInArrow(cut_out, "_key long, _id long, _far int, _seg binary, _places array<long>")
+    chosen = base.alias("b").join(wanted.withColumnRenamed("_first", "_doc").alias("w"), [F.col(f"b.{c}") == F.col(f"w.{c}") for c in _SAME] + [F.col("b._doc").eqNullSafe(F.col("w._doc"))])
+    segments = chosen.select("b._id", "b._id2", "_text", "_keys").mapInArrow(cut_out, "_key long, _id long, _id2 long, _far int, _seg binary, _places array<long>")
 
     def compared(batches):
         align = Aligner(length)
@@ -278,35 +292,36 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
         def out():
             found = align.ranges()
-            return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], ["_id", "lo", "hi"])
+            columns = zip(*((*i, lo, hi) for i, lo, hi in found)) if found else [[]] * 4
+            return pa.record_batch([pa.array(x, pa.int64()) for x in columns], ["_id", "_id2", "lo", "hi"])
 
         for batch in batches:
-            for key, i, far, seg, places in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, i, i2, far, seg, places in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != at:
                     align.add(group)
                     if len(align.text) >= BATCH_SYMBOLS:
                         yield out()
                     group, seen, at = {}, set(), key
-                if (i, far, places[0]) in seen:
+                if (i, i2, far, places[0]) in seen:
                     continue  # the same text, met twice
-                seen.add((i, far, places[0]))
-                group.setdefault((far, seg), []).extend((i, p) for p in places)
+                seen.add((i, i2, far, places[0]))
+                group.setdefault((far, seg), []).extend(((i, i2), p) for p in places)
         align.add(group)
         yield out()
 
-    ranges = segments.repartition("_key").sortWithinPartitions("_key").mapInArrow(compared, "_id long, lo long, hi long")
-    own = ranges.groupBy("_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    ranges = segments.repartition("_key").sortWithinPartitions("_key").mapInArrow(compared, "_id long, _id2 long, lo long, hi long")
+    own = ranges.groupBy("_id", "_id2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("_n").cast("long").alias("hi")))
     judged = stored(
-        texts.join(own, "_id", "left")
-        .select("_id", "_first", "_copies", F.when(F.col("_copies") > 1, whole).otherwise(F.col("spans")).alias("spans"))
+        texts.join(own, ["_id", "_id2"], "left")
+        .select(*_SAME, "_first", "_copies", F.when(F.col("_copies") > 1, whole).otherwise(F.col("spans")).alias("spans"))
         .where("spans IS NOT NULL"),
         "suffix-spans",
     )
-    single = judged.where("_copies = 1").select(F.col("_first").alias(id_col), F.col("_id").alias("_text_id"), "spans")
-    copies = small.join(judged.where("_copies > 1").select("_id", "spans"), "_id").select(F.col("_doc").alias(id_col), F.col("_id").alias("_text_id"), "spans")
+    single = judged.where("_copies = 1").select(F.col("_first").alias("_doc"), *_SAME, "spans")
+    copies = small.join(judged.where("_copies > 1").select(*_SAME, "spans"), _SAME).select("_doc", *_SAME, "spans")
     forget(texts)
-    return single.unionByName(copies.dropDuplicates([id_col, "_text_id"]))
+    return single.unionByName(copies.dropDuplicates(["_doc", *_SAME]))
 
 
 def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH) -> DataFrame:
@@ -317,9 +332,12 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     in the same one, overlaps included; strings never reach across texts and are
     judged on the input. spans are the maximal removed ranges, kept the remaining
     bytes (which may cut a character). Shorter texts keep everything. Rows that
-    repeat id and text are copies of each other. Empty tables give empty results.
+    repeat id and text are copies of each other. Other columns stay, but one already
+    named suffix_result is replaced. Empty tables give empty results.
     """
-    spans = repeated_spans(docs, text_col, id_col, length).select(F.col(id_col).alias("_sd_doc"), F.col("_text_id").alias("_sd_text"), F.col("spans").alias("_sd_spans"))
+    own = {c: f"_{uuid.uuid4().hex}" for c in ("_doc", *_SAME, "spans")}  # no name of the input's
+    spans = repeated_spans(docs, text_col, id_col, length)
+    spans = spans.select(*[spans[c].alias(x) for c, x in own.items()])
 
     @F.arrow_udf("struct<n_bytes:long,n_removed:long,spans:array<struct<lo:long,hi:long>>,kept:binary>")
     def applied(texts: pa.Array, found: pa.Array) -> pa.Array:
@@ -338,9 +356,11 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(cut, kind), pa.array(kept, pa.binary())], ["n_bytes", "n_removed", "spans", "kept"])
 
-    text_id = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    both = docs.join(spans, docs[id_col].eqNullSafe(spans["_sd_doc"]) & (text_id == spans["_sd_text"]), "left")
-    return both.withColumn("suffix_result", applied(docs[text_col], F.col("_sd_spans"))).drop("_sd_doc", "_sd_text", "_sd_spans")
+    same = docs[id_col].eqNullSafe(spans[own["_doc"]])
+    for c, x in zip(_SAME, _same(F.coalesce(docs[text_col], F.lit("")))):
+        same &= x == spans[own[c]]
+    both = docs.join(spans, same, "left")
+    return both.withColumn("suffix_result", applied(docs[text_col], spans[own["spans"]])).drop(*own.values())
 
 
 def op8_suffix_dedup(spark, sf_dir):

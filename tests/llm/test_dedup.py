@@ -8,6 +8,7 @@ import pytest
 from helpers import corpus, frame, lower
 from pyspark.sql import functions as F
 
+from sievework.llm import suffix_dedup as module
 from sievework.llm.components import components
 from sievework.llm.exact_dedup import exact_dedup
 from sievework.llm.grouping_sa import common_prefixes, suffix_array
@@ -171,3 +172,18 @@ def test_line_runs_hold_each_key_once(spark):
     clash = frame(spark).withColumn("line_result", F.lit("old")).withColumn("_ld_drop", F.col("score"))
     got = line_dedup(clash, batches=2).collect()
     assert sorted(str(r["_ld_drop"]) for r in got) == sorted(str(r[9]) for r in rows) and all(r["line_result"] != "old" for r in got)
+
+
+def test_colliding_hashes_remove_nothing_else(spark, monkeypatch):
+    rows = corpus()
+    right = {(r["doc_id"], r["text"]): r["suffix_result"] for r in suffix_dedup(frame(spark)).collect()}
+    monkeypatch.setattr(module, "_same", lambda text: (F.lit(7).cast("long"), F.xxhash64(F.lit(1), text), F.octet_length(text)))
+    clash = frame(spark).withColumn("suffix_result", F.lit("old")).withColumn("spans", F.col("score"))
+    got = suffix_dedup(clash).collect()
+    assert len(got) == len(rows) and sorted(str(r["spans"]) for r in got) == sorted(str(r[9]) for r in rows)
+    whole = 0
+    for r in got:
+        want, have = right[r["doc_id"], r["text"]], r["suffix_result"]
+        assert all(any(a["lo"] <= x["lo"] and x["hi"] <= a["hi"] for a in want["spans"]) for x in have["spans"])
+        whole += have["n_removed"] == have["n_bytes"] > 0
+    assert whole >= 3
