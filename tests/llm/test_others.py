@@ -186,12 +186,33 @@ def test_toxicity_balanced_labels(spark, clean_for_toxic):
     assert len(model.index) > 0 and hits > 0.85 * sum(r["mark"] for r in rows) and hits > 0.95 * sum(r["toxic"] for r in rows)
 
 
+def test_chain_folds_see_no_label_of_their_own():
+    """Feature 1 is the mark itself, but only the view of all rows has it: out-of-fold
+    inputs of the second model must not know it."""
+    rng = np.random.default_rng(4)
+    y = rng.random(600) < 0.5
+    marks = np.column_stack([y, y])
+    without, full = [np.array([0])] * 600, [np.array([0, 1] if t else [0]) for t in y]
+    chain = toxicity.fit_chain([(without, marks)] * 5 + [(full, marks)], np.arange(600) % 5, 2)
+    assert chain[0][1] > 1 and chain[1][2] < 1  # what is left is the share of the other folds, which speaks against the own
+
+
+def test_classifiers_replace_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, f"some words of text {k}", -7.0, "x", k) for k in range(20)], "doc_id long, text string, score double, toxic string, _chain int")
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, toxicity.fit_toxicity(docs, labels))
+    assert got.columns == ["doc_id", "text", "_chain", "score", "toxic", "p_dense", "p_sparse"]
+    assert all(0 <= r["score"] <= 1 and r["_chain"] == r["doc_id"] for r in got.collect())
+    got = quality.quality_scores(docs, labels)
+    assert got.columns == [*docs.columns, "held_out", "predicted"] and all(0 <= r["score"] <= 1 and r["toxic"] == "x" for r in got.collect())
+
+
 def test_chain_feeds_forward():
     rng = np.random.default_rng(3)
     rows = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(800)]
     first = np.array([0 in r for r in rows])
     marks = np.column_stack([first, first & np.array([1 in r for r in rows])])
-    chain = toxicity.fit_chain(rows, marks, 6)
+    chain = toxicity.fit_chain([(rows, marks)] * 6, np.arange(800) % 5, 6)
     assert len(chain[0]) == 7 and len(chain[1]) == 8 and chain[1][6] > 0
     p = toxicity.apply_chain(chain, rows, 6)
     assert ((p > 0.5) == marks).mean() > 0.97
