@@ -208,8 +208,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, text_col: str, label_col:
     the id; rows without a label or an id are left out. The drawn ids are
     broadcast (max_rows at most), so no text is shuffled."""
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("_label"))
-    share = min(1.0, max_rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20))).limit(max_rows)
+    drawn = known.orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").limit(max_rows)
 
     @F.arrow_udf("array<float>")
     def vectors(texts: pa.Array) -> pa.Array:
@@ -217,7 +216,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, text_col: str, label_col:
         flat = np.concatenate(rows) if rows else np.zeros(0, np.float32)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(FEATURES)), pa.int32()), pa.array(flat, pa.float32()))
 
-    rows = docs.select("doc_id", F.col(text_col).alias("_text")).join(F.broadcast(drawn), "doc_id").select(vectors("_text").alias("x"), "_label").limit(max_rows).toArrow()
+    rows = docs.select("doc_id", F.col(text_col).alias("_text")).join(F.broadcast(drawn), "doc_id").select("doc_id", vectors("_text").alias("x"), "_label")
+    rows = rows.orderBy("doc_id", F.xxhash64("x")).limit(max_rows).select("x", "_label").toArrow()
     if not rows.num_rows:
         return np.zeros((0, len(FEATURES)), np.float32), np.zeros(0)
     x = np.asarray(rows.column(0).combine_chunks().flatten(), np.float32).reshape(-1, len(FEATURES))
@@ -235,7 +235,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text_col: str = "text", l
     One row for each document. score is the model's probability that the label is
     1; predicted is 1 where score >= threshold. Null and empty texts share one
     score. Rows that repeat an id are scored one by one; a null id is never held
-    out and never trained on. Empty documents give an empty result, empty labels
+    out and never trained on. Columns of the input that have one of the three names
+    are replaced. Empty documents give an empty result, empty labels
     a score of 0.5 everywhere.
     """
     model = pickle.dumps(fit(*training_rows(docs, labels.where(~held_out("doc_id")), text_col, label_col, max_rows)))
@@ -249,7 +250,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text_col: str = "text", l
             return pa.array([], pa.float64())
         return pa.array(held[0].score(np.stack([features(t.as_py()) for t in texts])), pa.float64())
 
-    scored = docs.withColumn("held_out", held_out("doc_id")).withColumn("score", score(F.col(text_col)))
+    new = {"held_out": held_out("doc_id"), "score": score(F.col(text_col))}
+    scored = docs.withColumns(new)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
