@@ -2,8 +2,8 @@
 
 A text is escaped as the model asks and cut where no piece can reach across (line
 feeds that no piece holds, and before each run of space marks). In each unit an
-Aho-Corasick automaton reports the pieces that end at every position. Byte-pair
-merging gives each prefix exactly one last piece: the one that stays unmerged
+Aho-Corasick automaton reports the pieces of two characters or more that end at
+every position. Byte-pair merging gives each prefix exactly one last piece: the one that stays unmerged
 next to the last piece of the prefix before it. The table holds these last
 pieces, and the ids are read off it backwards. Units repeat a lot, so their ids
 are kept in a bounded memo for each worker.
@@ -31,6 +31,8 @@ MEMO_CHARS = 64
 MEMO_PAIRS = 300_000
 
 
+#: The table's entry of the empty prefix: text, characters, memo of pair tests, packed ids.
+_START = ("", 0, None, b"")
 _ALWAYS, _NEVER = float("inf"), float("-inf")
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 
@@ -64,10 +66,12 @@ class PieceCodec:
         self.end = next(i for i, p in enumerate(model.pieces) if p.piece == "</s>")
         self.machine = ahocorasick.Automaton()
         for piece in self.score:
-            self.machine.add_word(piece, (piece, len(piece), {}))
+            if len(piece) > 1:
+                self.machine.add_word(piece, (piece, len(piece), {}, array("I", [self.ids[piece]]).tobytes()))
         self.machine.make_automaton()
         alone = "" if any("\n" in p for p in self.score) else "\n"
         self.unit = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + ("|\n" if alone else ""))
+        self.singles: dict[str, tuple] = {}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pairs = 0
@@ -158,51 +162,56 @@ class PieceCodec:
         """apart(), kept in the right piece's own memo."""
         if self.pairs >= MEMO_PAIRS:
             self.pairs = 0
-            for _, _, memo in self.machine.values():
-                memo.clear()
+            for entry in self.machine.values():
+                entry[2].clear()
         self.pairs += 1
         answer = known[left] = self.apart(left, right)
         return answer
 
-    def pieces(self, unit: str) -> list[str]:
-        """The unit's pieces: fill the prefix table, then read it backwards."""
-        last = [""] * (len(unit) + 1)
+    def _single(self, char: str) -> tuple[str, int, None, bytes]:
+        """The table's entry of one character: its own id, or those of its bytes."""
+        ids = [self.ids[char]] if char in self.ids else [self.byte_ids[b] for b in char.encode()]
+        entry = self.singles[char] = (char, 1, None, array("I", ids).tobytes())
+        return entry
+
+    def _entries(self, unit: str) -> list[tuple]:
+        """The entries of the unit's pieces, last one first: fill the prefix table,
+        then read it backwards. Exactly one piece is a prefix's last one, so where
+        none of two characters or more is, it is the single character."""
+        single = self.singles.get
+        last: list = [_START]
         done = 0  # prefixes up to this length have their last piece
-        for end, (piece, size, known) in self.machine.iter(unit):
-            end += 1
-            if end == done:
+        for end, entry in self.machine.iter(unit):
+            if end < done:
                 continue
-            while done < end - 1:  # a character that no piece holds stays alone
+            while done < end:
+                last.append(single(unit[done]) or self._single(unit[done]))
                 done += 1
-                last[done] = unit[done - 1]
-            left = last[end - size]
+            piece, size, known, _ = entry
+            left = last[end + 1 - size][0]
             fits = known.get(left)
-            if fits is None:
-                fits = self._stable(left, piece, known)
-            if fits:
-                last[end] = piece
-                done = end
-        while done < len(unit):
-            done += 1
-            last[done] = unit[done - 1]
+            if fits or fits is None and self._stable(left, piece, known):
+                last.append(entry)
+                done = end + 1
+        for char in unit[done:]:
+            last.append(single(char) or self._single(char))
         out, at = [], len(unit)
         while at:
-            piece = last[at]
-            out.append(piece)
-            at -= len(piece)
-        out.reverse()
+            entry = last[at]
+            out.append(entry)
+            at -= entry[1]
         return out
 
+    def pieces(self, unit: str) -> list[str]:
+        return [entry[0] for entry in reversed(self._entries(unit))]
+
     def _packed(self, unit: str) -> bytes:
+        packed = self.memo.get(unit)
+        if packed is not None:  # the text holds it twice
+            return packed
         packed = self.older.get(unit)
         if packed is None:
-            try:
-                ids = [self.ids[p] for p in self.pieces(unit)]
-            except KeyError:
-                ids = []
-                for p in self.pieces(unit):
-                    ids.extend([self.ids[p]] if p in self.ids else [self.byte_ids[b] for b in p.encode()])
-            packed = array("I", ids).tobytes()
+            packed = b"".join([entry[3] for entry in reversed(self._entries(unit))])
         if len(unit) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_UNITS:
                 # Two generations: what is still in use moves on to the new one.
@@ -215,8 +224,13 @@ class PieceCodec:
         out = [struct.pack("<I", self.begin)] if ends else []
         if text:
             escaped = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
-            get, pack = self.memo.get, self._packed
-            out.extend([get(u) or pack(u) for u in self.unit.findall(escaped)])
+            units = self.unit.findall(escaped)
+            found = list(map(self.memo.get, units))
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                found[at] = self._packed(units[at])
+            out += found
         if ends:
             out.append(struct.pack("<I", self.end))
         return b"".join(out)
