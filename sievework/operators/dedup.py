@@ -23,6 +23,21 @@ def fuzzy_duplicates(df: DataFrame, key: str, source: str, order: list[Column],
     return df.withColumn("_f", first).withColumn("duplicate_of", F.when(F.col("_f.s") != F.col(source), F.col("_f.i"))).drop("_f")
 
 
+def stored_duplicates(rows: DataFrame, stored: DataFrame, key: str = "fuzzy_hash", source: str = "source", id_col: str = "hash", order_col: str = "first_seen_at") -> DataFrame:
+    """New rows with duplicate_of: the oldest row of their key among the active stored
+    ones and themselves, where its source is another one. Stored rows come first, so
+    a new row never becomes the canonical one of a stored one; a row that is stored
+    already is seen again and duplicates nothing."""
+    old = stored.where("is_active").select(F.col(key), F.col(source), F.col(id_col), F.col(order_col), F.lit(0).alias("_new"))
+    known = old.select(F.col(id_col).alias("_known"))
+    fresh = rows.join(known, rows[id_col] == known["_known"], "left_anti")
+    new = fresh.select(F.col(key), F.col(source), F.col(id_col), F.col(order_col), F.lit(1).alias("_new"))
+    order = [F.col("_new"), F.col(order_col), F.col(id_col)]
+    marked = fuzzy_duplicates(old.unionByName(new).where(F.col(key).isNotNull()), key, source, order, id_col).where("_new = 1 AND duplicate_of IS NOT NULL")
+    marked = marked.select(F.col(id_col).alias("_i"), F.col("duplicate_of"))
+    return rows.join(marked, rows[id_col] == marked["_i"], "left").drop("_i")
+
+
 def semantic_duplicates(df: DataFrame, threshold: float, id_col: str, vector: str, order_col: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, duplicate_of): rows with an older row of cosine over the threshold, and
     the oldest such row. Order ties go by id.

@@ -69,3 +69,8 @@ def title_suggestions(counts: DataFrame, group: list[str], least: int = 2) -> Da
 
     picked = scored.groupBy(*group).applyInPandas(choose, scored.schema)
     return picked.withColumn("confidence", F.round(confidence(F.col("rate"), F.col("rejected")), 3))
+
+
+def most_confident(suggestions: DataFrame, most: int = MOST) -> DataFrame:
+    """The suggestions of all types together, the most confident first."""
+    return suggestions.orderBy(F.desc("confidence"), F.desc("rejected"), "pattern").limit(most)

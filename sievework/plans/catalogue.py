@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import enrich as E
 from ..functions import score as S
 from ..functions import text as X
-from ..operators import dedup, lifecycle, matching, merge, patterns, search, watchlist
+from ..operators import dedup, lifecycle, matching, merge, patterns, search, views, watchlist
 from ..sources import readers, sinks
 from ..streaming import incremental
 
@@ -442,7 +442,7 @@ def tag_rejection(spark, sf_dir):
 @_query()
 def pattern_suggestions(spark, sf_dir):
     counts = patterns.ngram_counts(_labelled(spark, sf_dir), "text", "rejected", ["lang"])
-    return patterns.title_suggestions(counts, ["lang"])
+    return patterns.most_confident(patterns.title_suggestions(counts, ["lang"]))
 
 
 @_query("SELECT p_partkey FROM part WHERE NOT contains(lower(p_name), 'ring') AND NOT contains(lower(p_name), 'red') AND p_type <> 'ECONOMY'")
@@ -702,6 +702,129 @@ def saved_search_run(spark, sf_dir):
     return watchlist.run_saved_searches(s, jobs, F.timestamp_seconds(F.lit(5000)))
 
 
+# --- views, predicates and text helpers --------------------------------------
+
+
+def _feedback(c):
+    """Event types stand for feedback: errors are dismissals, purchases applications."""
+    return F.when(c == "error", "dismissed").when(c == "purchase", "applied").when(c == "click", "thumbs_up")
+
+
+_FEEDBACK_SQL = "CASE event_type WHEN 'error' THEN 'dismissed' WHEN 'purchase' THEN 'applied' WHEN 'click' THEN 'thumbs_up' END"
+
+
+@_query(f"WITH f AS (SELECT event_id, {_FEEDBACK_SQL} AS feedback FROM events) SELECT event_id, feedback, coalesce(feedback, '') IN ('thumbs_up', 'applied') AS positive FROM f WHERE feedback IS NULL OR feedback NOT IN ('dismissed', 'thumbs_down')")
+def feedback_filters(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").select("event_id", _feedback(F.col("event_type")).alias("feedback"))
+    return e.where(views.not_negative(F.col("feedback"))).withColumn("positive", F.coalesce(views.positive(F.col("feedback")), F.lit(False)))
+
+
+@_query(f"SELECT user_id, count(*) FILTER (WHERE {_FEEDBACK_SQL} IN ('dismissed', 'thumbs_down')) AS rejected FROM events GROUP BY user_id")
+def rejected_per_user(spark, sf_dir):
+    return views.rejected_count(_read(spark, sf_dir, "events"), _feedback(F.col("event_type")), ["user_id"])
+
+
+@_query("SELECT o_orderkey, o_orderstatus, 'F' AS wanted FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_orderstatus, 'all' FROM orders")
+def optional_status(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return views.with_status(o, "F", "o_orderstatus").withColumn("wanted", F.lit("F")).unionByName(views.with_status(o, "all", "o_orderstatus").withColumn("wanted", F.lit("all")))
+
+
+@_query("SELECT p_partkey FROM part WHERE (contains(lower(p_name), 'an') OR contains(lower(p_type), 'an')) AND NOT contains(lower(p_brand), '#1')")
+def source_query_filter(spark, sf_dir):
+    return views.query_matches(_read(spark, sf_dir, "part"), "AN", ["p_name", "p_type"], ["#1"], "p_brand").select("p_partkey")
+
+
+@_query("""
+SELECT o_orderkey AS match_id, c_name, n_name, o_totalprice AS score_final
+FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 1) ON c_nationkey = n_nationkey
+WHERE o_totalprice >= 150000
+""")
+def match_cards(spark, sf_dir):
+    m = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("match_id"), F.col("o_custkey").alias("job_hash"), F.col("o_totalprice").alias("score_final"), F.lit(0.5).alias("score_embedding"))
+    j = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_hash"), "c_name", F.col("c_nationkey").alias("school_id"))
+    s = _read(spark, sf_dir, "nation").where("n_regionkey <> 1").select(F.col("n_nationkey").alias("school_id"), "n_name")
+    return views.match_cards(m, j, s, 150_000.0).select("match_id", "c_name", "n_name", "score_final")
+
+
+@_query("SELECT row_number() OVER (ORDER BY round(o_totalprice / 1000, 2) + CASE o_orderpriority WHEN '1-URGENT' THEN 100 ELSE 0 END DESC, o_orderkey) AS place, o_orderkey FROM orders QUALIFY place <= 200")
+def urgency_order(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 1000, 2).alias("score_final"), F.when(F.col("o_orderpriority") == "1-URGENT", 100.0).alias("urgency_score"))
+    return views.by_urgency(o, "o_orderkey").limit(200).withColumn("_i", F.monotonically_increasing_id()).select((F.col("_i") + 1).alias("place"), "o_orderkey")
+
+
+@_query("""
+SELECT l_orderkey, l_linenumber, o_orderstatus, strftime(l_shipdate, '%Y-%m-%d') AS created FROM lineitem
+LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') ON l_orderkey = o_orderkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 500
+""")
+def generated_documents(spark, sf_dir):
+    d = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_hash"), "l_orderkey", "l_linenumber", "l_shipdate")
+    j = _read(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("job_hash"), "o_orderstatus")
+    key = d.withColumn("_key", F.struct("l_orderkey", "l_linenumber"))
+    return views.newest(views.documents_of(key, j), "l_shipdate", "_key").limit(500).select("l_orderkey", "l_linenumber", "o_orderstatus", F.date_format("l_shipdate", "yyyy-MM-dd").alias("created"))
+
+
+@_query("SELECT c_custkey AS user_id, c_name, n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) ON c_custkey = o_custkey")
+def users_with_profiles(spark, sf_dir):
+    users = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return views.users_with_profile(users, _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@_query("""
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS fetched, count(*) FILTER (WHERE event_type = 'signup') AS "new", count(*) FILTER (WHERE event_type = 'view') AS updated,
+  count(*) FILTER (WHERE event_type = 'click') AS duplicates, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY ALL
+""")
+def run_counters(spark, sf_dir):
+    names = F.create_map(*[F.lit(x) for x in ("signup", "new", "view", "updated", "click", "duplicate", "error", "error", "purchase", "skipped")])
+    e = _events(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), names[F.col("event_type")].alias("outcome"))
+    return views.run_counters(e, ["day"])
+
+
+@_query(r"""
+WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace('“' || text || '” 5€' || chr(10) || chr(10) || chr(10) || '[x=1]  Привет?', '[^\x20-\x7E\nÀ-ÿĀ-ſ]', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g') AS t FROM documents)
+SELECT doc_id, md5(trim(t, ' ' || chr(10))) AS cv_md5 FROM c
+""")
+def cv_cleanup(spark, sf_dir):
+    raw = F.concat(F.lit("“"), "text", F.lit("” 5€\n\n\n[x=1]  Привет?"))
+    return _read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.md5(X.clean_cv(raw)).alias("cv_md5"))
+
+
+@_query("""
+SELECT doc_id, md5(concat_ws(chr(10), nullif(lang, ''), CASE WHEN length(text) <= 500 THEN nullif(text, '') ELSE left(text, 400) || chr(10) || '...' || chr(10) || right(text, 100) END, 'a, B')) AS profile_md5,
+  array_to_string(list_sort(list_distinct([source, 'b', 'a'])), '|') AS skills FROM documents
+""")
+def profile_text(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents")
+    text = X.profile_text(F.col("lang"), X.head_and_tail(F.col("text"), 400, 100), F.array(F.lit("a"), F.lit("B")))
+    skills = X.skill_union(F.array("source", F.lit("b")), F.array(F.lit("a"), F.lit("b")))
+    return d.select("doc_id", F.md5(text).alias("profile_md5"), F.array_join(skills, "|").alias("skills"))
+
+
+@_query(r"""
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size || ' - ' || (p_size + 20) || ' %' END AS workload, CASE WHEN p_size % 3 = 0 THEN 'Unknown' ELSE trim(p_brand) END AS employer FROM part
+""")
+def workload_and_employer(spark, sf_dir):
+    p = _read(spark, sf_dir, "part")
+    size = F.col("p_size")
+    title = F.concat("p_name", F.when(size % 2 == 0, F.concat(F.lit(" ("), size, F.lit(" - "), size + 20, F.lit(" %) "))).otherwise(F.lit(" (80)")))
+    name = F.when(size % 3 == 0, F.concat(F.lit("1. "), "p_brand")).otherwise(F.col("p_brand"))
+    html = F.concat(F.lit("<b>x</b><div> <strong> "), name, F.lit(" </strong></div><p><strong>Other name</strong>"))
+    return p.select("p_partkey", X.workload(title).alias("workload"), X.employer(html).alias("employer"))
+
+
+@_query("""
+WITH old AS (SELECT doc_id, source, md5(lower(trim(text))) AS k FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 0),
+fresh AS (SELECT doc_id, source, md5(lower(trim(text))) AS k FROM documents WHERE doc_id % 3 <> 0),
+a AS (SELECT *, 0 AS n FROM old UNION ALL SELECT *, 1 FROM fresh),
+f AS (SELECT *, first_value(source) OVER w AS s, first_value(doc_id) OVER w AS i FROM a WHERE k IS NOT NULL WINDOW w AS (PARTITION BY k ORDER BY n, doc_id))
+SELECT r.doc_id, CASE WHEN f.s <> f.source THEN f.i END AS duplicate_of FROM fresh r LEFT JOIN f ON r.doc_id = f.doc_id AND f.n = 1
+""")
+def stored_duplicates(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.lower(F.trim("text"))).alias("k"), F.col("doc_id").alias("seen"))
+    old = d.where("doc_id % 3 = 0").withColumn("is_active", F.col("doc_id") % 2 == 0)
+    return dedup.stored_duplicates(d.where("doc_id % 3 <> 0"), old, "k", "source", "doc_id", "seen").select("doc_id", "duplicate_of")
+
+
 # --- extras over events, absent upstream -------------------------------------
 
 

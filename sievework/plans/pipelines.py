@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.enrich import normalised
 from ..functions.text import fuzzy_hash, identity_hash
-from ..operators.dedup import fuzzy_duplicates, mark_duplicates, semantic_duplicates
+from ..operators.dedup import mark_duplicates, semantic_duplicates, stored_duplicates
 from ..operators.merge import upsert
 from ..schema import POSTING, conform, valid_rows
 
@@ -19,12 +19,13 @@ def blocked_titles(df: DataFrame, words: list[str]) -> DataFrame:
 
 def ingest(raw: DataFrame, jobs: DataFrame, now: Column, blocked: list[str] = (), rules: dict | None = None, similar: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """(the jobs table after this run, rows set aside): block list, normalisation,
-    hashes, fuzzy duplicates among the new rows, upsert, semantic duplicates."""
+    hashes, fuzzy duplicates of stored active postings and among the new rows, upsert,
+    semantic duplicates."""
     rows = conform(blocked_titles(raw, list(blocked)), POSTING)
     rows = rows.withColumns({"hash": identity_hash(F.col("title"), F.col("company"), F.col("url")), "fuzzy_hash": fuzzy_hash(F.col("title"), F.col("company"))})
     good, bad = valid_rows(normalised(rows, rules))
     good = good.withColumns({"first_seen_at": F.coalesce("first_seen_at", now), "last_seen_at": now, "is_active": F.lit(True)}).dropDuplicates(["hash"])
-    good = fuzzy_duplicates(good.drop("duplicate_of"), "fuzzy_hash", "source", [F.col("first_seen_at"), F.col("hash")], "hash")
+    good = stored_duplicates(good.drop("duplicate_of"), jobs)
     good = good.withColumn("is_active", F.col("duplicate_of").isNull()).select(*POSTING.names)
     merged = upsert(jobs, good, "hash", now)
     alive = merged.where("is_active AND embedding IS NOT NULL").select(F.xxhash64("hash").alias("_i"), "hash", "embedding", F.unix_timestamp("first_seen_at").alias("_o"))

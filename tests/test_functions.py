@@ -98,3 +98,9 @@ def test_conform(spark):
     df = spark.createDataFrame([("h", "s", "t", "c", "u", 1), ("h", "s", " ", "c", "u", 2)], "hash string, source string, title string, company string, url string, odd int")
     good, bad = valid_rows(conform(df))
     assert good.columns == POSTING.names and good.count() == 1 and bad.count() == 1
+
+
+def test_clean_cv(spark):
+    raw = 'Ready! "C++" [x=1] 5\u20ac \u041f\u0440\u0438? \tÄ\u0142\n\n\n\nend  '
+    got = spark.createDataFrame([(raw,), (None,), (" \n ",)], "t string").select(X.clean_cv(F.col("t")).alias("c")).collect()
+    assert [r["c"] for r in got] == ['Ready! "C++" [x=1] 5 ? Ä\u0142\n\nend', None, ""]

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sievework.operators import dedup, lifecycle, matching, merge, patterns, search, watchlist
+from sievework.operators.dedup import stored_duplicates
 from sievework.plans.pipelines import ingest
 from sievework.schema import POSTING
 from sievework.sources import readers, sinks
@@ -177,3 +178,11 @@ def test_user_filters_alike_at_every_size(spark):
         assert [r["id"] for r in matching.without_user_filters(jobs, filters, tags=None, limit=0).orderBy("id").collect()] == [
             r["id"] for r in matching.without_user_filters(jobs, filters, tags=None).orderBy("id").collect()
         ]
+
+
+def test_stored_duplicates(spark):
+    schema = "hash string, source string, fuzzy_hash string, first_seen_at int, is_active boolean"
+    old = spark.createDataFrame([("a", "s1", "f", 1, True), ("b", "s1", "g", 1, False), ("c", "s1", "h", 5, True)], schema)
+    new = spark.createDataFrame([("n1", "s2", "f", 0, True), ("n2", "s1", "f", 9, True), ("n3", "s2", "g", 9, True), ("n4", "s3", "g", 10, True), ("c", "s1", "h", 7, True), ("n5", "s9", None, 1, True)], schema)
+    got = {r["hash"]: r["duplicate_of"] for r in stored_duplicates(new, old).collect()}
+    assert got == {"n1": "a", "n2": None, "n3": None, "n4": "n3", "c": None, "n5": None}
