@@ -185,7 +185,8 @@ def line_dedup(
             [pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_lines", "n_dropped", "kept_text"]
         )
 
-    both = docs.join(drops, docs[id_col].cast("long") == drops[own_id], "left")
+    # The same join at every size: where drops were small, Spark would broadcast them.
+    both = docs.join(drops.hint("merge"), docs[id_col].cast("long") == drops[own_id], "left")
     return both.withColumn("line_result", applied(docs[text_col], drops[own_drop])).drop(own_id, own_drop)
 
 
