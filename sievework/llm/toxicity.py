@@ -174,11 +174,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", lab
     counts = stored(counts, "toxic-counts")
     chosen = [_chosen(counts, totals, f, max_features) for f in (*range(FOLDS), None)]
     keys = list(dict.fromkeys(k for own in reversed(chosen) for k in own))  # those of all rows come first
-    wanted = docs.sparkSession.createDataFrame([(keys,)], "_wanted array<bigint>")
-    picked = rows.join(F.broadcast(wanted)).select("doc_id", "_mark", "_fold", "n", F.array_intersect("keys", "_wanted").alias("keys"))
-    sample = picked.orderBy("doc_id", F.xxhash64("keys")).limit(max_rows).toArrow().to_pylist()
     index = {k: i for i, k in enumerate(keys)}
-    sparse = [np.array([index[k] for k in r["keys"]], np.int64) for r in sample]
+
+    @F.arrow_udf("array<int>")
+    def columns_of(found: pa.Array) -> pa.Array:
+        return pa.array([sorted(index[k] for k in own if k in index) for own in found.to_pylist()], pa.list_(pa.int32()))
+
+    picked = rows.select("doc_id", "_mark", "_fold", "n", columns_of("keys").alias("columns"))
+    sample = picked.orderBy("doc_id", F.xxhash64("columns")).limit(max_rows).toArrow().to_pylist()
+    sparse = [np.array(r["columns"], np.int64) for r in sample]
     toxic, folds = (np.array([r[c] for r in sample], int) for c in ("_mark", "_fold"))
     views = []
     for f, own in enumerate(chosen):
