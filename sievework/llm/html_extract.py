@@ -76,13 +76,21 @@ _SPACES = re.compile(r"\s+")
 
 
 class _Node:
-    """An element. suspect: 0, or 1 to 3, the later the surer it is furniture."""
+    """An element. suspect: 0, or 1 to 3, the later the surer it is furniture.
 
-    __slots__ = ("tag", "parent", "furniture", "suspect", "chars", "article")
+    block is the innermost element around it, itself included, that is not inline;
+    doubt the outermost suspect of the inline elements between.
+    """
+
+    __slots__ = ("tag", "parent", "furniture", "suspect", "chars", "article", "main", "block", "doubt")
 
     def __init__(self, tag, parent, furniture, suspect, article):
         self.tag, self.parent, self.furniture, self.suspect, self.article = tag, parent, furniture, suspect, article
         self.chars = 0
+        self.main = tag == "main" or (parent is not None and parent.main)
+        inline = tag in INLINE
+        self.block = parent.block if inline else self
+        self.doubt = (parent.doubt or (self if suspect else None)) if inline else None
 
 
 def _is_furniture(tag: str, attrs: list, in_article: bool) -> bool:
@@ -139,11 +147,11 @@ def _settle(lines: list[tuple[str, int, _Node]], nodes: list[_Node]) -> None:
     are judged first, without the text of graver ones; those are judged only if no
     prose is clear without them. nodes are in page order, parents first.
     """
-    for x in nodes:
-        if x.tag == "main" and not x.furniture:
-            while x is not None:
-                x.suspect = 0
-                x = x.parent
+    holds = set()
+    for x in reversed(nodes):
+        if id(x) in holds or (x.tag == "main" and not x.furniture):
+            x.suspect = 0
+            holds.add(id(x.parent))
     if any(x.suspect for x in nodes):
         articles: dict[int, bool] = {}
         for x in nodes:
@@ -193,9 +201,10 @@ def _clear(prose, nodes, grade) -> None:
         k = depth.get(id(node), 0)
         if k >= 0:
             own[k] += n
-    inside = 0
+    inside, outside = 0, sum(own)
     for k in range(len(chain), 0, -1):
-        if 4 * sum(own[:k]) < inside + own[k]:
+        outside -= own[k]
+        if 4 * outside < inside + own[k]:
             inside += own[k]
             chain[k - 1].suspect = 0
         else:
@@ -219,13 +228,11 @@ class _Lines(HTMLParser):
     def flush(self):
         """End the line. Hidden inline elements give no words to it. Suspect ones do,
         and are its place only where all of its words are theirs."""
-        place = self.at
-        while place.tag in INLINE:
-            place = place.parent
+        place = self.at.block
         if any(node.tag in INLINE for _, node in self.text):
             kept = [(s, node) for s, node in self.text if node.tag not in INLINE or not node.furniture or place.furniture]
             worded = [node for s, node in kept if s.strip()]
-            suspects = [self._suspect(node) for node in worded]
+            suspects = [node.doubt for node in worded]
             if worded and all(suspects):
                 place = suspects[0]
         else:
@@ -235,19 +242,10 @@ class _Lines(HTMLParser):
             self.lines.append((text, self.tags, place))
         self.text, self.tags = [], 0
 
-    @staticmethod
-    def _suspect(node):
-        """The outermost suspect inline element around the words."""
-        found = None
-        while node.tag in INLINE:
-            found = node if node.suspect else found
-            node = node.parent
-        return found
-
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
             self.flush()
-            while self.at.parent is not None and tag in CLOSED_BY.get(self._block().tag, ()):
+            while self.at.parent is not None and tag in CLOSED_BY.get(self.at.block.tag, ()):
                 while self.at.tag in INLINE:
                     self._pop()
                 self._pop()
@@ -265,12 +263,6 @@ class _Lines(HTMLParser):
         self.nodes.append(self.at)
         self.open[tag] = self.open.get(tag, 0) + 1
 
-    def _block(self):
-        node = self.at
-        while node.tag in INLINE:
-            node = node.parent
-        return node
-
     def _pop(self):
         self.open[self.at.tag] -= 1
         self.at = self.at.parent
@@ -282,6 +274,8 @@ class _Lines(HTMLParser):
             return
         self.tags += 1
         if tag in INLINE:
+            if not self.open.get(tag):
+                return
             # An inline end tag ends no block.
             node = self.at
             while node.tag in INLINE and node.tag != tag:
@@ -290,7 +284,7 @@ class _Lines(HTMLParser):
                 while self.at is not node:
                     self._pop()
                 self._pop()
-            elif self.open.get(tag):
+            else:
                 self._end(tag)
             return
         if not self.open.get(tag):
@@ -336,12 +330,6 @@ def _threshold(values: list[float]) -> float:
     return t
 
 
-def _in_main(node: _Node) -> bool:
-    while node is not None and node.tag != "main":
-        node = node.parent
-    return node is not None
-
-
 def content_lines(html: str, sigma: float = SIGMA, cover: float = COVER) -> list[str]:
     """The page's content, a string for each block, in page order."""
     parser = _Lines()
@@ -362,7 +350,7 @@ def content_lines(html: str, sigma: float = SIGMA, cover: float = COVER) -> list
     chosen = [(t, node) for (t, _, node), s in zip(lines, smooth) if t and not node.furniture and math.log1p(s) > limit] or clear
     named = [(t, node) for t, node in chosen if node.article]
     most = sum(len(t) for t, _ in chosen)
-    inner = [(t, node) for t, node in named if _in_main(node)]
+    inner = [(t, node) for t, node in named if node.main]
     if 4 * sum(len(t) for t, _ in inner) >= most:
         voters = inner
     else:
@@ -370,9 +358,9 @@ def content_lines(html: str, sigma: float = SIGMA, cover: float = COVER) -> list
     total = 0
     for t, node in voters:
         total += len(t)
-        while node is not None:
-            node.chars += len(t)
-            node = node.parent
+        node.chars += len(t)
+    for x in reversed(parser.nodes):
+        x.parent.chars += x.chars
     region = max((node for _, node in voters), key=lambda x: x.chars)
     while region.parent is not None and region.chars < cover * total:
         region = region.parent
@@ -383,13 +371,15 @@ def content_lines(html: str, sigma: float = SIGMA, cover: float = COVER) -> list
     if region.article:
         while region.parent is not None and region.parent.article:
             region = region.parent
-    held_chars: dict[int, list[int]] = {}
+    held_chars = {id(x): [0, 0] for x in (parser.root, *parser.nodes)}
     for t, node, prose in clear_prose:
-        while node is not None:
-            sums = held_chars.setdefault(id(node), [0, 0])
-            sums[0] += len(t)
-            sums[1] += prose * len(t)
-            node = node.parent
+        sums = held_chars[id(node)]
+        sums[0] += len(t)
+        sums[1] += prose * len(t)
+    for x in reversed(parser.nodes):
+        sums, up = held_chars[id(x)], held_chars[id(x.parent)]
+        up[0] += sums[0]
+        up[1] += sums[1]
     at = region
     while at.parent is not None and not region.article:
         at = at.parent
@@ -424,8 +414,10 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text", sig
     """Add the main text of every page as out_col.
 
     Null and empty html give the empty text, as does a page of nothing but elements
-    that are furniture by their tag or role. Pages are independent: one row in, one row out, no shuffle. Other
-    columns stay; a column already named out_col is replaced.
+    that are furniture by their tag or role. Pages are independent: one row in, one row out, no shuffle;
+    repeated rows stay repeated and an empty table gives an empty one. The time is
+    linear in the page's length, however deep its elements nest. Other columns stay;
+    a column already named out_col is replaced.
     """
 
     @F.arrow_udf("string")

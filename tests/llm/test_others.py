@@ -125,6 +125,7 @@ def test_html(spark):
 def test_html_pages(spark, sf_dir):
     import html
     import re
+import time
 
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
         inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
@@ -342,3 +343,23 @@ def test_html_inline_suspects():
 def test_html_comment_articles():
     text, more = (" ".join(f"Sentence {k} {by}." for k in range(n)) for by, n in (("of the author", 20), ("of a reader", 60)))
     assert extract_text(f"<body><div id=x><p>{text}</p></div><div><article class=comment><p>{more}</p></article></div></body>") == text
+
+
+@pytest.mark.parametrize("opened", ["<div>", "<div class=sidebar>", "<main>", "<span class=notice>"])
+def test_html_unclosed_nesting_is_linear(opened):
+    def seconds(n):
+        start = time.process_time()
+        extract_text(f"{opened}some words " * n)
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40000) < 20 * max(seconds(4000), 0.05)
+    if opened == "<div>":
+        assert extract_text(f"{opened}some words " * 3000) == " ".join(["some words"] * 3000)
+
+
+def test_html_frame_awkward(spark):
+    schema = "page_id int, html string, block string"
+    twice = extract(spark.createDataFrame([(1, "<p>a &amp; b</p>", "x")] * 2, schema)).collect()
+    assert [(r.text, r.block) for r in twice] == [("a & b", "x")] * 2
+    assert extract(spark.createDataFrame([], schema)).count() == 0
