@@ -1,6 +1,7 @@
 """Codec, sharding, extraction, classifiers, decontamination, pipeline."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -125,7 +126,6 @@ def test_html(spark):
 def test_html_pages(spark, sf_dir):
     import html
     import re
-import time
 
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
         inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
