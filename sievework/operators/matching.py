@@ -35,10 +35,25 @@ def without_user_filters(jobs: DataFrame, filters: DataFrame, title: str = "titl
     return jobs
 
 
-def score_matches(jobs: DataFrame, profiles: DataFrame, now: Column, threshold: float = 35.0, times: Column | None = None) -> DataFrame:
-    """Every profile with every posting that reaches the threshold. Profiles are the
-    small side (one row a user); the join is a nested loop over them by intent."""
-    j = jobs.where(F.col("embedding").isNotNull()).crossJoin(F.broadcast(profiles.where("cv_embedding IS NOT NULL")))
+def every_pair(jobs: DataFrame, profiles: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every posting with every profile, the work of scoring them. Up to `most`
+    profiles are broadcast. More of them meet the postings in a grid: profiles are
+    dealt into blocks of about `most` rows and postings into as many slices, and each
+    cell of the grid is one key of a join by shuffle, so that no task holds more than
+    a block and a slice."""
+    n = profiles.count()
+    if n <= most:
+        return jobs.crossJoin(F.broadcast(profiles))
+    cells = -(-n // most)
+    numbers = F.sequence(F.lit(0), F.lit(cells - 1))
+    left = jobs.withColumn("_slice", F.pmod(F.xxhash64("hash"), F.lit(cells)).cast("int")).withColumn("_block", F.explode(numbers))
+    right = profiles.withColumn("_block", F.pmod(F.xxhash64("user_id"), F.lit(cells)).cast("int")).withColumn("_slice", F.explode(numbers))
+    return left.join(right, ["_block", "_slice"]).drop("_block", "_slice")
+
+
+def score_matches(jobs: DataFrame, profiles: DataFrame, now: Column, threshold: float = 35.0, times: Column | None = None, most: int = 10_000) -> DataFrame:
+    """Every profile with every posting that reaches the threshold."""
+    j = every_pair(jobs.where(F.col("embedding").isNotNull()), profiles.where("cv_embedding IS NOT NULL"), most)
     parts = {
         "embedding": S.embedding_score(F.col("cv_embedding"), F.col("embedding")),
         "salary": S.pay_score(F.col("salary_min"), F.col("salary_max"), F.col("salary_min_chf"), F.col("salary_max_chf")),

@@ -40,7 +40,7 @@ def samples(df: DataFrame, title: str, rejected: str, order: str, patterns: Data
     """The first n rejected titles of each pattern, one a document."""
     cut = df.where(F.col(rejected)).select(order, F.col(title).alias("_t"), tokens(F.col(title)).alias("_w"))
     grams = F.array_distinct(F.concat(*[ngrams(F.col("_w"), k) for k in (1, 2, 3)]))
-    rows = cut.select(order, "_t", F.explode(grams).alias("pattern")).join(F.broadcast(patterns.select("pattern")), "pattern", "left_semi")
+    rows = cut.select(order, "_t", F.explode(grams).alias("pattern")).join(patterns.select("pattern"), "pattern", "left_semi")
     rank = F.row_number().over(Window.partitionBy("pattern").orderBy(order))
     top = rows.withColumn("_n", rank).where(F.col("_n") <= n)
     return top.groupBy("pattern").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_t"))), lambda x: x["_t"]).alias("samples"))

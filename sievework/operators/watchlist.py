@@ -41,12 +41,19 @@ def advance(status: Column, wanted: Column, drafting: Column) -> Column:
 def run_saved_searches(searches: DataFrame, jobs: DataFrame, now: Column, seen: str = "first_seen_at") -> DataFrame:
     """(search id, job hash) of due searches over jobs seen since their last run.
     filters: source, canton, language as a map; an absent key filters nothing.
-    Searches are the small side of the theta join."""
+    An equality join: a posting appears once for each set of keys that some search
+    filters by (eight at most), with null for the keys outside the set."""
+    keys = ("source", "canton", "language")
     active = searches.where(due(F.col("notify_frequency"), F.col("last_run_at"), now))
-    same = lambda k: F.col("filters")[k].isNull() | (F.col("filters")[k] == F.col(k))
-    on = (F.col("last_run_at").isNull() | (F.col(seen) > F.col("last_run_at"))) & same("source") & same("canton") & same("language")
-    left = active.select(F.col("id").alias("search_id"), "filters", "last_run_at")
-    return jobs.join(left, on, "inner").select("search_id", "hash")
+    asked = active.select(F.col("id").alias("search_id"), F.col("last_run_at").alias("_ran"), *[F.col("filters")[k].alias(f"_{k}") for k in keys])
+    asked = asked.withColumn("_set", sum(F.col(f"_{k}").isNotNull().cast("int") * 2**i for i, k in enumerate(keys)))
+    sets = sorted(r[0] for r in asked.select("_set").distinct().collect())
+    rows = jobs.select("hash", F.col(seen).alias("_seen"), *keys, F.explode(F.array(*[F.lit(x) for x in sets]).cast("array<int>")).alias("set"))
+    rows = rows.select("hash", "_seen", "set", *[F.when(F.col("set").bitwiseAND(2**i) > 0, F.col(k)).alias(k) for i, k in enumerate(keys)])
+    on = F.col("set") == F.col("_set")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(asked, on).where(F.col("_ran").isNull() | (F.col("_seen") > F.col("_ran"))).select("search_id", "hash")
 
 
 def after_run(searches: DataFrame, found: DataFrame, now: Column) -> DataFrame:

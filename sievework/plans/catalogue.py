@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..operators import dedup, lifecycle, matching, merge, patterns, search, views, watchlist
 from ..sources import readers, sinks
 from ..streaming import incremental
+from . import pipelines
 
 NOW = "2001-08-01 00:00:00"
 EVENT_NOW = "2024-01-31 00:00:00"
@@ -825,6 +826,245 @@ def stored_duplicates(spark, sf_dir):
     return dedup.stored_duplicates(d.where("doc_id % 3 <> 0"), old, "k", "source", "doc_id", "seen").select("doc_id", "duplicate_of")
 
 
+# --- stored rows: reviews, states, caches, feeds ------------------------------
+
+
+def _suggestions(spark, sf_dir) -> DataFrame:
+    key = F.col("p_partkey")
+    kind = F.when(F.col("p_size") % 2 == 0, "tag_category").otherwise("title_ngram")
+    return _read(spark, sf_dir, "part").select(
+        key.alias("id"), F.concat(F.lit("u"), F.col("p_size") % 5).alias("user_id"), kind.alias("suggestion_type"),
+        F.concat(F.lit("  "), F.upper("p_name"), F.lit(" ")).alias("pattern"), F.when(key % 3 == 0, "rejected").otherwise("pending").alias("status"),
+    )
+
+
+@_query("""
+WITH s AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'rejected' ELSE 'pending' END AS status, CASE p_partkey % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' END AS d FROM part)
+SELECT id, CASE WHEN status = 'pending' AND d IS NOT NULL THEN d ELSE status END AS status FROM s
+""")
+def reviewed_suggestions(spark, sf_dir):
+    return merge.review(_suggestions(spark, sf_dir), _decisions(spark, sf_dir))[0].select("id", "status")
+
+
+def _decisions(spark, sf_dir) -> DataFrame:
+    key = F.col("p_partkey")
+    return _read(spark, sf_dir, "part").where(key % 4 < 2).select(key.alias("id"), F.when(key % 4 == 0, "approved").otherwise("rejected").alias("decision"))
+
+
+@_query("""
+SELECT 'u' || p_size % 5 AS user_id, CASE WHEN p_size % 2 = 0 THEN 'tag_contains' ELSE 'title_contains' END AS filter_type, lower(p_name) AS pattern, true AS is_active, 'auto' AS source
+FROM part WHERE p_partkey % 4 = 0 AND p_partkey % 3 <> 0
+""")
+def filters_of_reviews(spark, sf_dir):
+    return merge.review(_suggestions(spark, sf_dir), _decisions(spark, sf_dir))[1]
+
+
+@_query("""
+SELECT p_partkey AS id, 'rejected' AS status FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT s_suppkey + 1000000, 'pending' FROM supplier
+""")
+def pending_replaced(spark, sf_dir):
+    new = _read(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1_000_000).alias("id"), F.lit("pending").alias("status"))
+    return merge.replace_pending(_suggestions(spark, sf_dir), new).select("id", "status")
+
+
+@_query("""
+WITH a AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN strftime(o_orderdate, '%Y-%m-%d') END AS applied_at, CASE o_orderstatus WHEN 'F' THEN 'applied' ELSE 'saved' END AS status,
+  CASE o_orderkey % 3 WHEN 0 THEN 'applied' WHEN 1 THEN 'interview' END AS s FROM orders)
+SELECT id, CASE WHEN s = 'applied' THEN coalesce(applied_at, '2001-08-01') ELSE applied_at END AS applied, coalesce(s, status) AS status, CASE WHEN s IS NOT NULL THEN '2001-08-01' ELSE '1990-01-01' END AS updated FROM a
+""")
+def application_status(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders")
+    done, key = F.col("o_orderstatus") == "F", F.col("o_orderkey")
+    apps = o.select(key.alias("id"), F.when(done, F.col("o_orderdate").cast("timestamp")).alias("applied_at"), F.when(done, "applied").otherwise("saved").alias("status"), _now("1990-01-01").alias("updated_at"))
+    changes = o.where(key % 3 < 2).select(key.alias("id"), F.when(key % 3 == 0, "applied").otherwise("interview").alias("new_status"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return merge.set_application_status(apps, changes, _now()).select("id", day("applied_at").alias("applied"), "status", day("updated_at").alias("updated"))
+
+
+@_query("""
+SELECT 'orders' AS name, count(*) FILTER (WHERE o_custkey IS DISTINCT FROM 7) AS kept, count(*) FILTER (WHERE o_custkey = 7) AS exported FROM orders
+UNION ALL SELECT 'events', count(*) FILTER (WHERE user_id IS DISTINCT FROM 7), count(*) FILTER (WHERE user_id = 7) FROM events
+""")
+def user_erase_and_export(spark, sf_dir):
+    tables = {"orders": _read(spark, sf_dir, "orders").withColumn("user_id", F.col("o_custkey").cast("string")), "events": _read(spark, sf_dir, "events").withColumn("user_id", F.col("user_id").cast("string"))}
+    kept, out = merge.erase_user(tables, "7"), merge.export_user(tables, "7")
+    parts = []
+    for name in tables:
+        k = kept[name].select(F.lit(name).alias("name"), F.lit(1).alias("k"), F.lit(0).alias("e"))
+        parts.append(k.unionByName(out[name].select(F.lit(name).alias("name"), F.lit(0).alias("k"), F.lit(1).alias("e"))))
+    return parts[0].unionByName(parts[1]).groupBy("name").agg(F.sum("k").alias("kept"), F.sum("e").alias("exported"))
+
+
+@_query("""
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_size <= 24 THEN upper(p_name) END AS value, NOT (p_partkey % 2 = 0 AND p_size <= 24) AS asked FROM part
+""")
+def cached_answers(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    text = F.concat_ws("|", "p_name", "p_partkey")
+    aged = _now() - F.make_interval(hours=F.col("p_size"))
+    cache = part.where("p_partkey % 2 = 0").select(F.md5(text).alias("key"), F.upper("p_name").alias("value"), aged.alias("stored_at"))
+    found, asked = sinks.cached(part, cache, text, _now(), 24 * 3600)
+    return found.select("p_partkey", "value", F.lit(False).alias("asked")).unionByName(asked.select("p_partkey", F.lit(None).cast("string").alias("value"), F.lit(True).alias("asked")))
+
+
+@_query(r"""
+SELECT 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || o_orderkey || chr(13) || chr(10) || 'DTSTART;VALUE=DATE:' || strftime(o_orderdate, '%Y%m%d') || chr(13) || chr(10)
+  || 'SUMMARY:' || o_orderpriority || '\; a\, b\\c\nd' || chr(13) || chr(10) || 'END:VEVENT' AS value FROM orders
+""")
+def calendar_entries(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("uid"), "o_orderdate", F.concat("o_orderpriority", F.lit("; a, b\\c\nd")).alias("summary"))
+    return sinks.calendar(o, "uid", "o_orderdate", "summary")
+
+
+@_query("SELECT 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS value FROM events WHERE event_type IS NOT NULL AND props IS NOT NULL")
+def event_stream(spark, sf_dir):
+    return sinks.event_stream(_events(spark, sf_dir).where("event_type IS NOT NULL AND props IS NOT NULL"), "event_type", "props")
+
+
+def _order_postings(spark, sf_dir) -> DataFrame:
+    o, key, i = _read(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    level = F.when(key % 7 == 0, "intern").when(key % 7 != 1, "senior")
+    contract = F.when(key % 11 == 0, "internship").when(key % 11 == 1, "apprenticeship").when(key % 11 != 2, "permanent")
+    return o.select(
+        i.alias("hash"), F.col("o_orderpriority").alias("title"), F.lit("d").alias("description"), F.concat(F.lit("C"), F.col("o_custkey")).alias("company"), F.concat(F.lit("s"), key % 4).alias("source"),
+        F.lit("x").alias("location"), F.when(key % 5 != 0, F.lit("ZH")).otherwise("BE").alias("canton"), F.when(key % 2 == 0, "de").otherwise("en").alias("language"), level.alias("seniority"),
+        contract.alias("contract_type"), (key % 3 == 0).alias("remote"), F.col("o_totalprice").alias("salary_min_chf"), F.when(key % 6 != 0, F.col("o_totalprice") + 10_000).alias("salary_max_chf"),
+        F.col("o_orderdate").cast("timestamp").alias("first_seen_at"), F.col("o_orderdate").cast("timestamp").alias("last_seen_at"), (key % 13 != 0).alias("is_active"), F.when(key % 17 == 0, "0").alias("duplicate_of"),
+    )
+
+
+_SHOWN = "o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 > 1"
+
+
+@_query(f"SELECT o_orderkey::VARCHAR AS hash, 'C' || o_custkey AS company FROM orders WHERE {_SHOWN} AND o_orderkey % 4 IN (1, 3) AND o_orderkey % 5 = 0 AND o_totalprice <= 300000 ORDER BY o_orderdate DESC, hash LIMIT 100")
+def search_newest(spark, sf_dir):
+    p = search.SearchParams(source="s1, s3", canton="be", salary_max=300_000, limit=100)
+    return search.search(_order_postings(spark, sf_dir), p)[0].select("hash", "company")
+
+
+@_query(f"SELECT o_orderkey::VARCHAR AS hash FROM orders WHERE {_SHOWN} AND o_orderkey % 2 = 1 AND o_orderkey % 3 = 0 AND o_orderkey % 6 <> 0 AND o_totalprice + 10000 >= 50000 ORDER BY o_orderdate, hash LIMIT 50 OFFSET 20")
+def search_oldest(spark, sf_dir):
+    p = search.SearchParams(language="en", is_remote=True, salary_min=50_000, sort="oldest", limit=50, offset=20)
+    return search.search(_order_postings(spark, sf_dir), p)[0].select("hash")
+
+
+@_query(f"SELECT count(*) AS total, count(*) > 40 AS has_more FROM orders WHERE {_SHOWN} AND o_orderkey % 7 <> 1 AND o_orderkey % 11 > 2 AND o_orderpriority = '1-URGENT'")
+def search_total(spark, sf_dir):
+    p = search.SearchParams(q="urgent", seniority="senior", contract_type="permanent", limit=30, offset=10)
+    return search.search(_order_postings(spark, sf_dir), p)[1]
+
+
+@_query("SELECT p_partkey FROM part WHERE NOT contains(lower(p_name), 'ring') AND NOT contains(lower(p_name), 'cold')")
+def blocked_titles(spark, sf_dir):
+    return pipelines.blocked_titles(_read(spark, sf_dir, "part").withColumn("title", F.upper("p_name")), ["Ring", "cold"]).select("p_partkey")
+
+
+@_query("SELECT p_partkey, p_size % 2 = 0 AND (contains(lower(p_name), 'ring') OR p_type = 'ECONOMY' OR contains(lower(p_type), 'cold')) AS marked FROM part")
+def level_markers(spark, sf_dir):
+    tags = F.when(F.col("p_type") == "ECONOMY", F.array("p_type"))
+    marked = watchlist.has_marker(F.col("p_name"), tags, F.when(F.col("p_size") % 2 == 0, "H").otherwise("A"), ["RING", "economy"])
+    return _read(spark, sf_dir, "part").select("p_partkey", marked.alias("marked"))
+
+
+@_query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'archived' WHEN o_orderkey % 2 = 0 AND o_orderstatus <> 'P' THEN 'drafted' ELSE s END AS state
+FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'detected' WHEN 'O' THEN 'reviewed' ELSE 'offer' END AS s FROM orders)
+""")
+def match_states(spark, sf_dir):
+    key, o = F.col("o_orderkey"), F.col("o_orderstatus")
+    state = F.when(o == "F", "detected").when(o == "O", "reviewed").otherwise("offer")
+    wanted = F.when(key % 5 == 0, "archived").when(key % 3 == 0, "no such state")
+    return _read(spark, sf_dir, "orders").select("o_orderkey", watchlist.advance(state, wanted, key % 2 == 0).alias("state"))
+
+
+@_query("""
+WITH n AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY ALL), s AS (SELECT c_custkey AS id, c_custkey % 3 AS total, c_custkey % 4 <> 0 AS ran FROM customer)
+SELECT id, total + CASE WHEN ran THEN coalesce(n, 0) ELSE 0 END AS total_matches, CASE WHEN ran THEN '2001-08-01 00:00' ELSE '2001-07-31 01:00' END AS last_run FROM s LEFT JOIN n USING (id)
+""")
+def search_bookkeeping(spark, sf_dir):
+    key = F.col("c_custkey")
+    s = _read(spark, sf_dir, "customer").select(key.alias("id"), (key % 3).alias("total_matches"), F.when(key % 4 == 0, "daily").otherwise("instant").alias("notify_frequency"), _now("2001-07-31 01:00:00").alias("last_run_at"))
+    found = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("search_id"))
+    return watchlist.after_run(s, found, _now()).select("id", "total_matches", F.date_format("last_run_at", "yyyy-MM-dd HH:mm").alias("last_run"))
+
+
+@_query("SELECT p_partkey, lower(p_name) AS pattern, true AS is_active, 'manual' AS source FROM part WHERE p_size % 5 <> 0")
+def stored_filters(spark, sf_dir):
+    rows = _read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 5 == 0, "   ").otherwise(F.concat(F.lit(" "), F.upper("p_name"))).alias("pattern"))
+    return watchlist.new_filter(rows)
+
+
+@_query("SELECT o_orderkey AS hash, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey // 2 WHEN o_orderkey % 9 = 0 THEN 1 END::VARCHAR AS duplicate_of, o_orderkey % 4 <> 0 AND o_orderstatus <> 'F' AS is_active FROM orders")
+def marked_duplicates(spark, sf_dir):
+    key = F.col("o_orderkey")
+    jobs = _read(spark, sf_dir, "orders").select(key.alias("hash"), F.when(key % 9 == 0, F.lit(1).cast("bigint")).alias("duplicate_of"), (F.col("o_orderstatus") != "F").alias("is_active"))
+    found = jobs.where("hash % 4 = 0").select("hash", F.expr("hash div 2").alias("duplicate_of"))
+    return dedup.mark_duplicates(jobs, found).withColumn("duplicate_of", F.col("duplicate_of").cast("string"))
+
+
+@_query("""
+WITH w AS (SELECT p_partkey, p_name, list_filter(string_split(lower(p_name), ' '), lambda x: length(x) > 1) AS w FROM part WHERE p_size % 3 = 0),
+g AS (SELECT DISTINCT p_partkey, p_name, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS pattern FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY p_partkey) AS n FROM g WHERE pattern IN (SELECT lower(p_name) FROM part WHERE p_size < 3) OR pattern IN ('ring', 'widget'))
+SELECT pattern, string_agg(p_name, '|' ORDER BY n) AS samples FROM r WHERE n <= 5 GROUP BY pattern
+""")
+def pattern_samples(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    wanted = part.where("p_size < 3").select(F.lower("p_name").alias("pattern")).unionByName(spark.createDataFrame([("ring",), ("widget",)], "pattern string")).distinct()
+    found = patterns.samples(part.withColumn("rejected", F.col("p_size") % 3 == 0), "p_name", "rejected", "p_partkey", wanted)
+    return found.select("pattern", F.array_join("samples", "|").alias("samples"))
+
+
+@_query(r"""
+SELECT doc_id, nullif(left(text, 200), '') AS snippet, md5(replace(replace(replace(replace(replace(text || '<&>"''', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS markup_md5,
+  CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN lang ELSE '' END AS identity FROM documents
+""")
+def snippets_and_escapes(spark, sf_dir):
+    third = F.col("doc_id") % 3
+    identity = X.url_identity(F.when(third == 0, F.col("source")).otherwise(""), F.when(third == 1, F.col("lang")), F.lit(None).cast("string"), F.lit(""))
+    markup = F.md5(X.escape_markup(F.concat("text", F.lit("<&>\"'"))))
+    return _read(spark, sf_dir, "documents").select("doc_id", X.snippet(F.col("text")).alias("snippet"), markup.alias("markup_md5"), identity.alias("identity"))
+
+
+@_query("""
+SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'ECONOMY|' || p_brand || '|x' ELSE p_type || '|' || p_brand || '|economy|x' END AS tags FROM part
+""")
+def merged_tags(spark, sf_dir):
+    tags = X.merge_tags(F.array("p_type", F.lit(" "), F.concat(F.lit(" "), "p_brand")), F.array(F.lower("p_brand"), F.lit("economy"), F.lit("x")))
+    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(tags, "|").alias("tags"))
+
+
+@_query("""
+WITH d AS (SELECT CASE WHEN doc_id % 10 <> 0 THEN lang END AS lang FROM documents)
+SELECT count(*) FILTER (WHERE lang IS NULL) + count(DISTINCT lang) AS n, count(DISTINCT lang) AS keys FROM d
+""")
+def repeats_dropped(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 10 != 0, F.col("lang")).alias("lang"))
+    return dedup.drop_repeats(d, "lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("lang").alias("keys"))
+
+
+@_query("SELECT p_partkey, CASE WHEN contains(p_name, 'ring') AND contains(p_name, 'cold') THEN 'cold|ring' WHEN contains(p_name, 'ring') THEN 'ring' WHEN contains(p_name, 'cold') THEN 'cold' ELSE '' END AS terms, CASE WHEN p_type = 'ECONOMY' THEN 'EC' WHEN contains(p_type, 'STAND') THEN 'ST' END AS code FROM part")
+def terms_and_regions(spark, sf_dir):
+    terms = X.regex_terms(F.concat_ws(" ", "p_name", F.upper("p_name")), ["ring", "COLD"])
+    code = X.region_code(F.concat(F.lit(" "), "p_type"), {"economy": "EC", "stand": "ST"})
+    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(terms, "|").alias("terms"), code.alias("code"))
+
+
+@_query("""
+SELECT 'parts' AS source, count(*) FILTER (WHERE p_size % 4 <> 0) AS good, count(*) FILTER (WHERE p_size % 4 = 0) AS bad FROM part
+UNION ALL SELECT 'customers', count(*), 0 FROM customer
+""")
+def sources_united(spark, sf_dir):
+    known = readers.Registry()
+    row = lambda key, title: [F.col(key).cast("string").alias("hash"), F.col(title).alias("title"), F.lit("c").alias("company"), F.lit("u").alias("url")]
+    known.add("parts", lambda s: _read(s, sf_dir, "part").select(*row("p_partkey", "p_name")[:3], F.when(F.col("p_size") % 4 == 0, " ").otherwise("u").alias("url")))
+    known.add("customers", lambda s: _read(s, sf_dir, "customer").select(*row("c_custkey", "c_name"), F.col("c_acctbal").alias("extra")), needs=("key",))
+    known.add("orders", lambda s: _read(s, sf_dir, "orders"), needs=("absent",))
+    good, bad = known.load(spark, {"key": "k"})
+    marked = good.select("source", F.lit(1).alias("g")).unionByName(bad.select("source", F.lit(0).alias("g")))
+    return marked.groupBy("source").agg(F.count_if(F.col("g") == 1).alias("good"), F.count_if(F.col("g") == 0).alias("bad"))
+
+
 # --- extras over events, absent upstream -------------------------------------
 
 

@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,7 +129,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType = POSTING) -
 
 def read_documents(spark: SparkSession, path: str, to_text: Callable[[bytes], str]) -> DataFrame:
     """(path, text) of binary files (PDF, DOCX); the extractor is injected."""
-    text = F.udf(to_text, "string")
+    @F.arrow_udf("string")
+    def text(content: pa.Array) -> pa.Array:
+        return pa.array((None if x is None else to_text(x) for x in content.to_pylist()), pa.string())
+
     return spark.read.format("binaryFile").load(path).select("path", text("content").alias("text"))
 
 

@@ -186,3 +186,34 @@ def test_stored_duplicates(spark):
     new = spark.createDataFrame([("n1", "s2", "f", 0, True), ("n2", "s1", "f", 9, True), ("n3", "s2", "g", 9, True), ("n4", "s3", "g", 10, True), ("c", "s1", "h", 7, True), ("n5", "s9", None, 1, True)], schema)
     got = {r["hash"]: r["duplicate_of"] for r in stored_duplicates(new, old).collect()}
     assert got == {"n1": "a", "n2": None, "n3": None, "n4": "n3", "c": None, "n5": None}
+
+
+def test_every_pair_alike_in_blocks(spark):
+    jobs = spark.range(50).select(F.col("id").cast("string").alias("hash"))
+    users = spark.range(23).select(F.col("id").cast("string").alias("user_id"))
+    small, blocks = matching.every_pair(jobs, users), matching.every_pair(jobs, users, 4)
+    assert "BroadcastNestedLoopJoin" not in blocks._jdf.queryExecution().toString()
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, blocks.collect())) and small.count() == 1150
+    assert matching.every_pair(jobs, users.limit(0)).count() == 0
+
+
+def test_saved_searches_equal_brute_force(spark):
+    rnd = random.Random(4)
+    now = datetime(2024, 1, 31)
+    pick = lambda *v: rnd.choice((None, *v))
+    jobs = [(str(i), pick("a", "b"), pick("ZH", "BE"), pick("de", "en"), now - timedelta(days=rnd.randint(0, 9))) for i in range(200)]
+    searches = []
+    for i in range(30):
+        asked = {"source": pick("a", "b"), "canton": pick("ZH"), "language": pick("de", "fr")}
+        searches.append((i, {k: v for k, v in asked.items() if v}, None if i % 4 == 0 else now - timedelta(days=rnd.randint(1, 8)), "daily"))
+    j = spark.createDataFrame(jobs, "hash string, source string, canton string, language string, first_seen_at timestamp")
+    s = spark.createDataFrame(searches, "id int, filters map<string,string>, last_run_at timestamp, notify_frequency string")
+    found = {tuple(r) for r in watchlist.run_saved_searches(s, j, F.lit(now)).collect()}
+    want = set()
+    for i, asked, ran, _ in searches:
+        for h, source, canton, language, seen in jobs:
+            has = {"source": source, "canton": canton, "language": language}
+            if (ran is None or seen > ran) and all(has[k] == v for k, v in asked.items()):
+                want.add((i, h))
+    assert found == want and want
+    assert watchlist.run_saved_searches(s.limit(0), j, F.lit(now)).count() == 0
