@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import enrich as E
 from ..functions import score as S
 from ..functions import text as X
-from ..operators import dedup, lifecycle, matching, merge, patterns, search, views, watchlist
+from ..operators import dedup, lifecycle, matching, merge, models, patterns, search, views, watchlist
 from ..sources import readers, sinks
 from ..streaming import incremental
 from . import pipelines
@@ -1065,6 +1065,95 @@ def sources_united(spark, sf_dir):
     return marked.groupBy("source").agg(F.count_if(F.col("g") == 1).alias("good"), F.count_if(F.col("g") == 0).alias("bad"))
 
 
+# --- injected models -----------------------------------------------------------
+
+
+@_query("""
+WITH d AS (SELECT doc_id, length(text)::DOUBLE AS a, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS b FROM documents)
+SELECT doc_id, round(CASE WHEN doc_id % 2 = 0 THEN 0.5 WHEN a > 0 THEN (a / sqrt(a * a + b * b))::FLOAT::DOUBLE ELSE a END, 6) AS first FROM d
+""")
+def pending_embedded(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").withColumn("embedding", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(0.5), F.lit(0.5)).cast("array<float>")))
+    out = models.embedded(d, F.col("text"), lambda texts: [[len(t), t.count("e")] for t in texts])
+    return out.select("doc_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+@_query("""
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'xx' WHEN length(trim(source || ' ' || left(text, 60 - doc_id % 30))) >= 50 AND doc_id % 10 >= 7 AND lang IN ('de', 'fr', 'en', 'it') THEN lang END AS language FROM documents
+""")
+def languages_detected(spark, sf_dir):
+    key = F.col("doc_id")
+    guess = F.struct(F.col("lang").alias("lang"), ((key % 10) / 10.0).alias("prob"))
+    body = F.expr("substring(text, 1, CAST(60 - doc_id % 30 AS INT))")
+    return _read(spark, sf_dir, "documents").select("doc_id", models.language(F.when(key % 5 == 0, "xx").otherwise(""), F.col("source"), body, guess).alias("language"))
+
+
+@_query("SELECT doc_id, left(text, 800) AS description, array_to_string(list_slice(regexp_split_to_array(text, ' '), 1, 15), '|') AS tags FROM documents")
+def rerank_candidates(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("description"), F.split("text", " ").alias("tags"))
+    return models.candidates(d).withColumn("tags", F.array_join("tags", "|"))
+
+
+_HEAD_SQL = """
+WITH r AS (SELECT o_custkey % 40 AS user_id, o_orderkey, row_number() OVER w AS n, count(*) OVER (PARTITION BY o_custkey % 40) AS total
+  FROM orders WHERE o_custkey % 40 < 20 OR o_orderkey % 9 = 0 WINDOW w AS (PARTITION BY o_custkey % 40 ORDER BY o_totalprice DESC, o_orderkey)),
+h AS (SELECT user_id, o_orderkey, (n - 1) // 10 AS batch, (n - 1) % 10 AS place FROM r WHERE total <= 150 OR n <= 50)
+"""
+
+
+def _head(spark, sf_dir) -> DataFrame:
+    o = _read(spark, sf_dir, "orders").where("o_custkey % 40 < 20 OR o_orderkey % 9 = 0").withColumn("user_id", F.col("o_custkey") % 40)
+    return models.rerank_head(o, "user_id", [F.desc("o_totalprice"), F.asc("o_orderkey")])
+
+
+@_query(_HEAD_SQL + "SELECT user_id, o_orderkey, batch::INTEGER AS batch, place::INTEGER AS place FROM h")
+def rerank_heads(spark, sf_dir):
+    return _head(spark, sf_dir).select("user_id", "o_orderkey", "batch", "place")
+
+
+@_query(_HEAD_SQL + "SELECT h.o_orderkey, n_name AS answer FROM h LEFT JOIN nation ON n_nationkey = user_id AND batch = n_regionkey AND place = n_nationkey % 10")
+def answers_by_place(spark, sf_dir):
+    answers = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("user_id"), F.col("n_regionkey").alias("batch"), (F.col("n_nationkey") % 10).alias("place"), F.col("n_name").alias("answer"))
+    return models.by_place(_head(spark, sf_dir), answers, "user_id").select("o_orderkey", "answer")
+
+
+@_query("""
+WITH m AS (SELECT p_partkey, p_size / 53.0::DOUBLE AS e, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 100 > 0 THEN round((p_partkey % 100) / 100.0::DOUBLE, 4) END AS l FROM part)
+SELECT p_partkey, CASE WHEN l IS NULL THEN 1 ELSE round_even(round_even((0.35::DOUBLE * e + 0.15::DOUBLE * 0.5 + 0.1::DOUBLE * 0.5 + 0.15::DOUBLE * 0.5 + 0.15::DOUBLE * l + 0.1::DOUBLE * 0.5) * 100, 1) * 1.1::DOUBLE, 2) END AS score_final,
+  CASE WHEN l IS NULL THEN 'own' WHEN p_partkey % 2 = 0 THEN 'theirs' ELSE 'own' END AS matching, CASE WHEN l IS NULL THEN '' ELSE 'why' END AS explanation FROM m
+""")
+def results_applied(spark, sf_dir):
+    part, key = _read(spark, sf_dir, "part"), F.col("p_partkey")
+    half = {f"score_{k}": F.lit(0.5) for k in S.DEFAULT_WEIGHTS if k not in ("embedding", "llm")}
+    m = part.select("p_partkey", (F.col("p_size") / 53.0).alias("score_embedding"), F.lit(0.0).alias("score_llm"), F.lit(1.0).alias("score_final"), F.lit("").alias("explanation"))
+    m = m.withColumns(half | {"score_weights": F.lit(None).cast("map<string,double>"), "matching_skills": F.array(F.lit("own")), "missing_skills": F.array(F.lit("own"))})
+    theirs = F.when(key % 2 == 0, F.array(F.lit("theirs"))).otherwise(F.array().cast("array<string>"))
+    r = part.where("p_partkey % 3 = 0").select("p_partkey", (key % 100).alias("llm"), F.lit("why").alias("explanation"), theirs.alias("matching"), theirs.alias("missing"))
+    return models.apply_results(m, r, ["p_partkey"], F.lit(1.1)).select("p_partkey", "score_final", F.col("matching_skills")[0].alias("matching"), "explanation")
+
+
+@_query("""
+SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN NULL WHEN 4 THEN NULL ELSE 1000 + p_size END::VARCHAR AS lo, CASE p_size % 5 WHEN 1 THEN 2000 + p_size WHEN 2 THEN 1000 + p_size END::VARCHAR AS hi,
+  CASE p_size % 5 WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' WHEN 3 THEN 'EUR' END AS currency, CASE p_size % 5 WHEN 1 THEN 'yearly' WHEN 2 THEN 'hourly' WHEN 3 THEN 'monthly' END AS period FROM part
+""")
+def shown_pay(spark, sf_dir):
+    n = F.col("p_size")
+    text = (
+        F.when(n % 5 == 0, "€ Not Disclosed").when(n % 5 == 1, F.format_string("€1,%03d.00 - €%d per annum", n, n + 2000))
+        .when(n % 5 == 2, F.format_string("£1,%03d an hour", n)).when(n % 5 == 3, F.format_string("€%d - €00 a month", n + 1000)).otherwise("€0.00")
+    )
+    pay = E.parse_shown_pay(text)
+    return _read(spark, sf_dir, "part").select("p_partkey", pay["lo"].cast("string").alias("lo"), pay["hi"].cast("string").alias("hi"), pay["currency"].alias("currency"), pay["period"].alias("period"))
+
+
+@_query(f"""
+SELECT user_id, count(*) AS n, string_agg('- ' || event_type || ' /e/' || event_id, chr(10) ORDER BY event_id) AS text FROM events WHERE ts >= TIMESTAMP '{EVENT_NOW}' - INTERVAL 24 HOUR GROUP BY user_id
+""")
+def daily_digest(spark, sf_dir):
+    e = sinks.of_last_hours(_events(spark, sf_dir), "ts", _now(EVENT_NOW)).withColumn("url", F.concat(F.lit("/e/"), "event_id"))
+    return sinks.digest(e, "user_id", "event_type", "url", ["event_id"]).select("user_id", "n", "text")
+
+
 # --- extras over events, absent upstream -------------------------------------
 
 

@@ -18,6 +18,11 @@ def event_stream(events: DataFrame, event: str, data: str) -> DataFrame:
     return events.select(F.format_string("event: %s\ndata: %s\n\n", F.col(event), F.col(data)).alias("value"))
 
 
+def of_last_hours(df: DataFrame, ts: str, now: Column, hours: int = 24) -> DataFrame:
+    """Rows of the trailing window, its start included, for a daily digest."""
+    return df.where(F.col(ts) >= now - F.make_interval(hours=F.lit(hours)))
+
+
 def digest(matches: DataFrame, user: str, title: str, url: str, order: list[str]) -> DataFrame:
     """One text and one HTML body for each user, items in order."""
     item = F.struct(*order, F.col(title).alias("_t"), F.col(url).alias("_u"))

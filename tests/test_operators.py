@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from sievework.operators import dedup, lifecycle, matching, merge, patterns, search, watchlist
+from sievework.operators import dedup, lifecycle, matching, merge, models, patterns, search, watchlist
 from sievework.operators.dedup import stored_duplicates
 from sievework.plans.pipelines import ingest
 from sievework.schema import POSTING
@@ -217,3 +217,27 @@ def test_saved_searches_equal_brute_force(spark):
                 want.add((i, h))
     assert found == want and want
     assert watchlist.run_saved_searches(s.limit(0), j, F.lit(now)).count() == 0
+
+
+def test_embedded_awkward(spark):
+    asked = []
+    rows = [(1, None, None), (2, "ab", None), (3, "kept", [1.0, 0.0]), (4, "", None), (5, "ab", None)]
+    df = spark.createDataFrame(rows, "id int, text string, embedding array<float>").coalesce(1)
+
+    def model(texts):
+        return [[len(t), len(t)] for t in texts]
+
+    found = {r.id: r.embedding for r in models.embedded(df, F.col("text"), model, batch=2).collect()}
+    assert found[1] is None and found[3] == [1.0, 0.0] and found[4] == [0.0, 0.0]
+    assert found[2] == found[5] and abs(found[2][0] ** 2 + found[2][1] ** 2 - 1) < 1e-6
+    assert models.embedded(df.limit(0), F.col("text"), model).count() == 0
+
+
+def test_rerank_head_sizes(spark):
+    rows = [("few", i) for i in range(150)] + [("many", i) for i in range(151)]
+    head = models.rerank_head(spark.createDataFrame(rows, "user_id string, n int"), "user_id", [F.asc("n")])
+    found = {}
+    for r in head.collect():
+        found.setdefault(r.user_id, []).append((r.n, r.batch, r.place))
+    assert len(found["few"]) == 150
+    assert sorted(found["many"]) == [(i, i // 10, i % 10) for i in range(50)]
