@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, quality, sharding, spm_codec, suffix_dedup, toxicity
+from . import byte_bpe, centroids, decontaminate, exact_dedup, html_extract, line_dedup, merkle, ngram_join, quality, sharding, spm_codec, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
-SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op9_line_dedup": line_dedup.OP9_SQL, "op11_merkle_manifest": merkle.OP11_SQL, "op13_centroid_clustering": centroids.OP13_SQL}
