@@ -37,8 +37,17 @@ from .common import table
 #: this length those of the decoding tree.
 LEAF_BYTES, LEAF_IDS = 4, 1024
 #: Matches kept by a worker, and the longest one kept.
-MEMO_MATCHES = 200_000
+MEMO_MATCHES = 300_000
 MEMO_CHARS = 64
+#: Merged windows kept by a worker, and the longest one kept.
+MEMO_WINDOWS = 300_000
+MEMO_WINDOW_BYTES = 32
+#: Longest half of a match that is kept.
+MEMO_HALF_BYTES = 6
+#: Byte strings up to this length are merged by scans, longer ones by a heap.
+SHORT = 64
+#: Above every rank.
+NONE = 1 << 40
 #: Matches of a text that are held at a time.
 BATCH_MATCHES = 100_000
 
@@ -61,11 +70,25 @@ class ByteCodec:
         self.leaf_bytes = max(leaf_bytes, 1)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.windows: dict[bytes, list[int]] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Byte-pair merging by its definition: the lowest rank first, the leftmost of
         equals, until no neighbours make a token. Takes n log n steps."""
         n, rank = len(data), self.ranks.get
+        if n <= SHORT:
+            parts = [data[i : i + 1] for i in range(n)]
+            pairs = [rank(data[i : i + 2], NONE) for i in range(n - 1)]
+            while pairs and (least := min(pairs)) != NONE:
+                at = pairs.index(least)
+                own = parts[at] + parts.pop(at + 1)
+                parts[at] = own
+                del pairs[at]
+                if at:
+                    pairs[at - 1] = rank(parts[at - 1] + own, NONE)
+                if at < len(pairs):
+                    pairs[at] = rank(own + parts[at + 1], NONE)
+            return [self.ranks[p] for p in parts]
         ends = list(range(1, n + 1))  # of the part that begins here
         before = list(range(-1, n))  # where the part to the left begins
         heap = []
@@ -92,6 +115,18 @@ class ByteCodec:
             i = ends[i]
         return out
 
+    def _window(self, data: bytes) -> list[int]:
+        """merged(), kept for short strings: windows and leaves repeat far more than
+        matches do. Its lists are shared, and never changed."""
+        found = self.windows.get(data)
+        if found is None:
+            found = self.merged(data)
+            if len(data) <= MEMO_WINDOW_BYTES:
+                if len(self.windows) >= MEMO_WINDOWS:
+                    self.windows.clear()
+                self.windows[data] = found
+        return found
+
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """The monoid's operation: the encoding of two byte strings one after the
         other, from their encodings."""
@@ -99,7 +134,10 @@ class ByteCodec:
             return left or right
         i = j = 1
         while True:
-            window = self.merged(b"".join([self.shown[t] for t in left[-i:] + right[:j]]))
+            some = left[-i:] + right[:j]
+            data = b"".join([self.shown[t] for t in some])
+            # A window over everything is a string that does not repeat.
+            window = self._window(data) if len(some) < len(left) + len(right) else self.merged(data)
             left_open = i < len(left) and window[0] != left[-i]
             right_open = j < len(right) and window[-1] != right[j - 1]
             if not left_open and not right_open:
@@ -110,11 +148,16 @@ class ByteCodec:
                 j = min(2 * j, len(right))
 
     def reduced(self, data: bytes) -> list[int]:
-        """Encode halves, join them."""
+        """Encode halves, join them. Short halves repeat, and are kept with the windows."""
         if len(data) <= self.leaf_bytes:
-            return self.merged(data)
-        half = len(data) // 2
-        return self.joined(self.reduced(data[:half]), self.reduced(data[half:]))
+            return self._window(data)
+        found = self.windows.get(data)
+        if found is None:
+            half = len(data) // 2
+            found = self.joined(self.reduced(data[:half]), self.reduced(data[half:]))
+            if len(data) <= MEMO_HALF_BYTES:
+                self.windows[data] = found
+        return found
 
     def _packed(self, match: str) -> bytes:
         packed = self.memo.get(match) or self.older.get(match)
