@@ -37,7 +37,7 @@ from .common import table
 #: this length those of the decoding tree.
 LEAF_BYTES, LEAF_IDS = 4, 1024
 #: Matches kept by a worker, and the longest one kept.
-MEMO_MATCHES = 300_000
+MEMO_MATCHES = 400_000
 MEMO_CHARS = 64
 #: Merged windows kept by a worker, and the longest one kept.
 MEMO_WINDOWS = 300_000
@@ -55,17 +55,24 @@ assert array("I").itemsize == 4 and sys.byteorder == "little"
 
 
 class ByteCodec:
-    """Encoder and decoder for one file of ranks and one pattern."""
+    """Encoder and decoder for one table of ranks and one pattern."""
 
-    def __init__(self, ranks_path: str, pattern: str, leaf_bytes: int = LEAF_BYTES):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_bytes: int = LEAF_BYTES):
         import regex
 
-        with open(ranks_path, "rb") as f:
-            pairs = [line.split() for line in f if line.strip()]
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        self.ranks = ranks
         if any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("only vocabularies that hold all single bytes are supported")
         self.shown = {rank: token for token, rank in self.ranks.items()}
+        self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
+        #: Every two tokens that make a token, packed, with that token.
+        self.shift = max(self.shown).bit_length()
+        self.pair_ids = {}
+        for token, own in self.ranks.items():
+            for cut in range(1, len(token)):
+                x, y = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if x is not None and y is not None:
+                    self.pair_ids[x << self.shift | y] = own
         self.pattern = regex.compile(pattern)
         self.leaf_bytes = max(leaf_bytes, 1)
         self.memo: dict[str, bytes] = {}
@@ -77,18 +84,18 @@ class ByteCodec:
         equals, until no neighbours make a token. Takes n log n steps."""
         n, rank = len(data), self.ranks.get
         if n <= SHORT:
-            parts = [data[i : i + 1] for i in range(n)]
-            pairs = [rank(data[i : i + 2], NONE) for i in range(n - 1)]
+            pair, shift = self.pair_ids.get, self.shift
+            ids = [self.byte_ids[b] for b in data]
+            pairs = [pair(x << shift | y, NONE) for x, y in zip(ids, ids[1:])]
             while pairs and (least := min(pairs)) != NONE:
                 at = pairs.index(least)
-                own = parts[at] + parts.pop(at + 1)
-                parts[at] = own
-                del pairs[at]
+                ids[at] = least
+                del ids[at + 1], pairs[at]
                 if at:
-                    pairs[at - 1] = rank(parts[at - 1] + own, NONE)
+                    pairs[at - 1] = pair(ids[at - 1] << shift | least, NONE)
                 if at < len(pairs):
-                    pairs[at] = rank(own + parts[at + 1], NONE)
-            return [self.ranks[p] for p in parts]
+                    pairs[at] = pair(least << shift | ids[at + 1], NONE)
+            return ids
         ends = list(range(1, n + 1))  # of the part that begins here
         before = list(range(-1, n))  # where the part to the left begins
         heap = []
@@ -202,9 +209,15 @@ class ByteCodec:
         return self.decode_packed(packed[:half]) + self.decode_packed(packed[half:])
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        pairs = [line.split() for line in f if line.strip()]
+    return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
 @lru_cache(2)
 def codec(ranks_path: str, pattern: str) -> ByteCodec:
-    return ByteCodec(ranks_path, pattern)
+    return ByteCodec(read_ranks(ranks_path), pattern)
 
 
 def encode_bytes(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids_le") -> DataFrame:

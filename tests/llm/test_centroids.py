@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 from hashlib import sha256
 
 import numpy as np
@@ -12,7 +13,7 @@ from sievework.llm.registry import QUERIES
 
 
 def brute(rows, k, rounds, components, scale=64):
-    kept = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if v is not None and len(v) == components and all(x is not None and math.isfinite(x) for x in v)]
+    kept = [(i, [math.floor(Fraction(x) * scale) for x in v]) for i, v in rows if v is not None and len(v) == components and all(x is not None and math.isfinite(x) for x in v)]
     seeds = sorted((sha256(f"1:{i}".encode()).hexdigest(), v) for i, v in kept if i is not None)[:k]
     centroids = [v for _, v in seeds]
     far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
