@@ -20,6 +20,19 @@ DEADLINE_PATTERN = (
 # End of fixed values.
 
 
+def rounded(c: Column, digits: int = 2) -> Column:
+    """A double from 0 to 1e15 rounded to some decimals by its exact binary value,
+    halves to even: 2.675 gives 2.67, as it is stored a little below."""
+    scale, unit = 10**digits, F.lit(2**60).cast("decimal(38,0)")
+    whole = F.floor(c)
+    part = ((c - whole) * float(2**60)).cast("bigint").cast("decimal(20,0)") * F.lit(scale)
+    steps = F.floor(part.cast("decimal(38,0)") / unit).cast("bigint")
+    steps = F.when(steps * unit > part, steps - 1).otherwise(steps)
+    twice = 2 * (part - steps * unit)
+    up = (twice > unit) | ((twice == unit) & (steps % 2 == 1))
+    return (whole * scale + steps + up.cast("bigint")) / float(scale)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

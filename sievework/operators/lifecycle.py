@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Intervals of saved searches in seconds.
-INTERVALS = {"instant": 300, "daily": 86_400, "weekly": 604_800}
+from ..functions.enrich import literal_map
+from ..functions.score import rounded
+
+# Intervals of saved searches in seconds, the weight of a new run in averages.
+INTERVALS = {"realtime": 300, "daily": 86_400, "weekly": 604_800}
+ALPHA = 0.3
+# End of fixed values.
 
 
 def status_counts(apps: DataFrame, status: str) -> DataFrame:
@@ -28,11 +33,10 @@ def funnel(apps: DataFrame, status: str, saved: str = "saved", applied: str = "a
 
 
 def due(frequency: Column, last_run: Column, now: Column) -> Column:
-    """A search that never ran is due; unknown frequencies count as daily."""
-    from ..functions.enrich import literal_map
-
-    wait = F.coalesce(literal_map(INTERVALS)[frequency], F.lit(86_400))
-    return last_run.isNull() | (F.unix_timestamp(now) - F.unix_timestamp(last_run) >= wait)
+    """A search that never ran is due, whatever its frequency; one of an unknown
+    frequency that ran is not due again."""
+    wait = literal_map(INTERVALS)[frequency]
+    return last_run.isNull() | F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(last_run) >= wait, F.lit(False))
 
 
 def rolling_cap(events: DataFrame, user: str, ts: str, hours: int, cap: int) -> DataFrame:
@@ -65,10 +69,12 @@ def health_issues(sources: DataFrame, now: Column, silent_hours: int = 24) -> Da
     return sources.select("source_key", F.explode(issues).alias("issue"))
 
 
-def ema(df: DataFrame, key: list[str], order: list[str], value: str, alpha: float = 0.3) -> DataFrame:
-    """Final running average, rounded to two decimals at every step, from the first value on."""
+def ema(df: DataFrame, key: list[str], order: list[str], value: str, alpha: float = ALPHA) -> DataFrame:
+    """Final running average from 0.0 on, rounded to two decimals at every step. It
+    needs a key's runs in their order, so they are one array: keys are sources, whose
+    runs are few; for a stream of runs see streaming.incremental.cursor_states."""
     steps = F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda x: x["_v"].cast("double"))
-    fold = lambda a: F.aggregate(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.element_at(a, 1), lambda s, x: F.floor((alpha * x + (1 - alpha) * s) * 100 + 0.5) / 100)
+    fold = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: rounded((1 - alpha) * s + alpha * x))
     return df.groupBy(*key).agg(steps.alias("_a")).select(*key, fold(F.col("_a")).alias("ema"))
 
 
@@ -79,13 +85,15 @@ def empty_streak(df: DataFrame, key: list[str], order: list[str], value: str) ->
     return back.groupBy(*key).agg(F.sum(F.when(F.col("_hit") == 0, 1).otherwise(0)).alias("streak"))
 
 
-def block_counters(events: DataFrame, key: str, order: list[str], blocked: str, threshold: int = 3) -> DataFrame:
-    """Consecutive blocks at the end, and whether the threshold was ever reached."""
+def block_counters(events: DataFrame, key: str, order: list[str], blocked: str, threshold: int = 3, may_disable: str | None = None) -> DataFrame:
+    """Consecutive blocks at the end, and whether the threshold was ever reached by a
+    block whose source may be disabled (a column; all may, without one)."""
     w = Window.partitionBy(key).orderBy(*order)
     g = events.withColumn("_g", F.sum(F.when(F.col(blocked), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     g = g.withColumn("_c", F.sum(F.when(F.col(blocked), 1).otherwise(0)).over(Window.partitionBy(key, "_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     last = F.max_by("_c", F.struct(*order))
-    return g.groupBy(key).agg(last.alias("consecutive_blocks"), (F.max("_c") >= threshold).alias("auto_disabled"))
+    reached = (F.col("_c") >= threshold) & (F.coalesce(F.col(may_disable), F.lit(False)) if may_disable else F.lit(True))
+    return g.groupBy(key).agg(last.alias("consecutive_blocks"), F.bool_or(reached).alias("auto_disabled"))
 
 
 def pages_until_known(pages: DataFrame, source: str, page: str, known: str) -> DataFrame:

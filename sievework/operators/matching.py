@@ -8,24 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import score as S
+from .user_filters import pattern_hits
 
+PROFILE = ["user_id", "cv_embedding", "salary_min", "salary_max", "locations", "languages", "skills", "score_weights"]
 
-def without_user_filters(jobs: DataFrame, filters: DataFrame, title: str = "title", tags: str | None = "tags", limit: int = 10_000) -> DataFrame:
+
+def without_user_filters(jobs: DataFrame, filters: DataFrame, title: str = "title", tags: str | None = "tags", limit: int = 200) -> DataFrame:
     """Postings that no active filter hits: title filters ignore case and contain
     literally, tag filters are exact and let null tags pass. As in SQL, a null title
     passes no title filter and an array with a null tag no tag filter; filters
     without a pattern hit nothing. Up to `limit` filters become one predicate
-    without a join, more of them anti-joins with the same result."""
+    without a join. More of them are searched for in the distinct titles by one
+    automaton, and looked up among the distinct tag lists; what they hit leaves by
+    equality anti joins, with the same result."""
     active = filters.where("is_active AND pattern IS NOT NULL").select("filter_type", "pattern")
     rows = active.limit(limit + 1).collect()
     if len(rows) > limit:
         by_title = F.col("filter_type").eqNullSafe("title_contains")
-        titles = active.where(by_title).select(F.lower("pattern").alias("_pattern")).distinct()
-        out = jobs.join(titles, F.coalesce(F.contains(F.lower(title), F.col("_pattern")), F.lit(True)), "left_anti")
-        if tags:
-            wanted = active.where(~by_title).select(F.col("pattern").alias("_pattern")).distinct()
-            hit = F.col(tags).isNotNull() & F.coalesce(F.array_contains(tags, F.col("_pattern")), F.lit(True))
-            out = out.join(wanted, hit, "left_anti")
+        titles, wanted = active.where(by_title).select(F.lower("pattern").alias("pattern")), active.where(~by_title).select("pattern").distinct()
+        out = jobs
+        if titles.limit(1).count():
+            hit = pattern_hits(jobs.select(title).distinct(), titles, title, title).select(title).distinct()
+            out = out.where(F.col(title).isNotNull()).join(hit, title, "left_anti").select(*jobs.columns)
+        if tags and wanted.limit(1).count():
+            lists = jobs.select(tags).where(F.size(tags) > 0).distinct()
+            hit = lists.withColumn("pattern", F.explode(tags)).join(wanted, "pattern", "left_semi").select(tags).distinct()
+            out = out.where(F.col(tags).isNull() | ~F.exists(tags, lambda x: x.isNull())).join(hit, tags, "left_anti").select(*jobs.columns)
         return out
     for kind, pattern in rows:
         if kind == "title_contains":
@@ -35,16 +43,17 @@ def without_user_filters(jobs: DataFrame, filters: DataFrame, title: str = "titl
     return jobs
 
 
-def every_pair(jobs: DataFrame, profiles: DataFrame, most: int = 10_000) -> DataFrame:
+def every_pair(jobs: DataFrame, profiles: DataFrame, most: int = 10_000, most_bytes: int = 64 << 20) -> DataFrame:
     """Every posting with every profile, the work of scoring them. Up to `most`
-    profiles are broadcast. More of them meet the postings in a grid: profiles are
-    dealt into blocks of about `most` rows and postings into as many slices, and each
-    cell of the grid is one key of a join by shuffle, so that no task holds more than
-    a block and a slice."""
-    n = profiles.count()
-    if n <= most:
+    profiles of `most_bytes` in all (as JSON) are broadcast. More of them meet the
+    postings in a grid: profiles are dealt into blocks of about that size and postings
+    into as many slices, and each cell of the grid is one key of a join by shuffle, so
+    that no task holds more than a block and a slice."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))
+    n, held = profiles.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    if n <= most and held <= most_bytes:
         return jobs.crossJoin(F.broadcast(profiles))
-    cells = -(-n // most)
+    cells = max(-(-n // most), -(-held // most_bytes))
     numbers = F.sequence(F.lit(0), F.lit(cells - 1))
     left = jobs.withColumn("_slice", F.pmod(F.xxhash64("hash"), F.lit(cells)).cast("int")).withColumn("_block", F.explode(numbers))
     right = profiles.withColumn("_block", F.pmod(F.xxhash64("user_id"), F.lit(cells)).cast("int")).withColumn("_slice", F.explode(numbers))
@@ -52,8 +61,9 @@ def every_pair(jobs: DataFrame, profiles: DataFrame, most: int = 10_000) -> Data
 
 
 def score_matches(jobs: DataFrame, profiles: DataFrame, now: Column, threshold: float = 35.0, times: Column | None = None, most: int = 10_000) -> DataFrame:
-    """Every profile with every posting that reaches the threshold."""
-    j = every_pair(jobs.where(F.col("embedding").isNotNull()), profiles.where("cv_embedding IS NOT NULL"), most)
+    """Every profile with every posting that reaches the threshold. Of a profile, only
+    what the score needs travels (PROFILE)."""
+    j = every_pair(jobs.where(F.col("embedding").isNotNull()), profiles.where("cv_embedding IS NOT NULL").select(*PROFILE), most)
     parts = {
         "embedding": S.embedding_score(F.col("cv_embedding"), F.col("embedding")),
         "salary": S.pay_score(F.col("salary_min"), F.col("salary_max"), F.col("salary_min_chf"), F.col("salary_max_chf")),

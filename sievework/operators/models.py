@@ -86,3 +86,16 @@ def apply_results(matches: DataFrame, results: DataFrame, key: list[str], times:
     parts = {k: F.col(f"score_{k}") for k in S.DEFAULT_WEIGHTS}
     final = F.bround(S.final_score(parts, F.col("score_weights")) * (times if times is not None else F.lit(1.0)), 2)
     return j.withColumn("score_final", F.when(hit, final).otherwise(F.col("score_final"))).select(*matches.columns)
+
+
+def rejoined(matches: DataFrame, reranked: DataFrame, user: str, key: list[str], order: list[Column], score: str = "score_final") -> DataFrame:
+    """All of a user's matches after a re-ranker saw some of them: rows of `reranked`
+    (columns of matches) stand in for their match, the tail stays as it was, and both
+    are ranked together: by score, those of equal score in their order before."""
+    place = F.row_number().over(Window.partitionBy(user).orderBy(*order))
+    before = matches.withColumn("_place", place)
+    head = reranked.select(*matches.columns).join(before.select(*key, "_place"), key)
+    tail = before.join(reranked.select(*key), key, "left_anti")
+    both = head.select(*matches.columns, "_place").unionByName(tail)
+    rank = F.row_number().over(Window.partitionBy(user).orderBy(F.desc(score), "_place"))
+    return both.withColumn("rank", rank).drop("_place")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ngrams, tokens
 
 MIN_RATE = 0.55
-MOST_PER_TYPE, MOST = 10, 20
+MOST_TAGS, MOST_PER_TYPE, MOST = 50, 10, 20
 
 
 def confidence(rate: Column, n: Column) -> Column:
@@ -71,6 +71,31 @@ def title_suggestions(counts: DataFrame, group: list[str], least: int = 2) -> Da
     return picked.withColumn("confidence", F.round(confidence(F.col("rate"), F.col("rejected")), 3))
 
 
+def tag_suggestions(counts: DataFrame, group: list[str], least: int = 2) -> DataFrame:
+    """Of the 50 most rejected tags of a group, the first ten with a high rate; ties
+    go by the tag. counts: tag_counts of the group's documents."""
+    w = Window.partitionBy(*group).orderBy(F.desc("rejected"), "pattern")
+    top = counts.where(F.col("rejected") >= least).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MOST_TAGS)
+    high = top.withColumn("rate", F.col("rejected") / F.col("total")).where(F.col("rate") >= MIN_RATE)
+    first = high.withColumn("_m", F.row_number().over(w)).where(F.col("_m") <= MOST_PER_TYPE).drop("_n", "_m")
+    return first.withColumn("confidence", confidence(F.col("rate"), F.col("rejected")))
+
+
+def suggestions(df: DataFrame, title: str, tags: str, rejected: str, group: list[str], least: int = 2) -> DataFrame:
+    """(group, type, pattern, rejected, total, rate, confidence, rank): title patterns
+    and tags of each group together, the most confident 20. Of equal confidence, titles
+    come before tags, then the more rejected, then the pattern. Groups with fewer than
+    `least` rejected documents have none."""
+    enough = df.groupBy(*group).agg(F.count_if(F.col(rejected)).alias("_r")).where(F.col("_r") >= least).drop("_r")
+    kept = df.join(enough, group, "left_semi")
+    titles = title_suggestions(ngram_counts(kept, title, rejected, group), group, least).withColumn("type", F.lit("title_pattern"))
+    by_tag = tag_suggestions(tag_counts(kept, tags, rejected, group), group, least).withColumn("type", F.lit("tag_category"))
+    both = titles.withColumn("confidence", confidence(F.col("rate"), F.col("rejected"))).unionByName(by_tag)
+    order = [F.desc("confidence"), F.desc("type"), F.desc("rejected"), F.asc("pattern")]
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= MOST)
+    return ranked.withColumn("confidence", F.round("confidence", 3))
+
+
 def most_confident(suggestions: DataFrame, most: int = MOST) -> DataFrame:
     """The suggestions of all types together, the most confident first."""
     return suggestions.orderBy(F.desc("confidence"), F.desc("rejected"), "pattern").limit(most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Feedback by sign.
@@ -25,11 +25,11 @@ def with_status(df: DataFrame, status: str | None, column: str = "status") -> Da
 
 
 def query_matches(df: DataFrame, query: str, columns: list[str], blocked: list[str] = (), source: str = "company") -> DataFrame:
-    """Rows of a source that cannot search by itself: the query is contained in one
-    of the columns, whatever the case, and the source column holds no blocked word."""
-    hit = F.lit(False)
-    for c in columns:
-        hit = hit | F.coalesce(F.contains(F.lower(c), F.lit(query.lower())), F.lit(False))
+    """Rows of a source that cannot search by itself: the query is contained in the
+    columns joined by spaces, whatever the case, and the source column holds no
+    blocked word."""
+    text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
+    hit = F.contains(text, F.lit(query.lower()))
     for word in blocked:
         hit = hit & ~F.coalesce(F.contains(F.lower(source), F.lit(word.lower())), F.lit(False))
     return df.where(hit) if query or blocked else df
@@ -44,9 +44,14 @@ def match_cards(matches: DataFrame, jobs: DataFrame, schools: DataFrame | None =
     return out.orderBy(F.desc("score_final"), F.desc("score_embedding"), "job_hash")
 
 
-def by_urgency(df: DataFrame, key: str) -> DataFrame:
-    """Highest sum of score and urgency first; a missing urgency is none."""
-    return df.orderBy(F.desc(F.col("score_final") + F.coalesce("urgency_score", F.lit(0.0))), key)
+def by_urgency(df: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """Highest sum of score and urgency first; a missing urgency is none. With `most`,
+    that many rows and their place in the order."""
+    order = [F.desc(F.col("score_final") + F.coalesce("urgency_score", F.lit(0.0))), F.asc(key)]
+    if most is None:
+        return df.orderBy(*order)
+    # The window's one partition holds `most` rows, taken before it.
+    return df.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
 def newest(df: DataFrame, moment: str, key: str) -> DataFrame:

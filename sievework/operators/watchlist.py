@@ -38,30 +38,75 @@ def advance(status: Column, wanted: Column, drafting: Column) -> Column:
     return F.coalesce(asked, F.when(drafting & status.isin("detected", "reviewed"), "drafted"), status)
 
 
-def run_saved_searches(searches: DataFrame, jobs: DataFrame, now: Column, seen: str = "first_seen_at") -> DataFrame:
-    """(search id, job hash) of due searches over jobs seen since their last run.
-    filters: source, canton, language as a map; an absent key filters nothing.
-    An equality join: a posting appears once for each set of keys that some search
-    filters by (eight at most), with null for the keys outside the set."""
-    keys = ("source", "canton", "language")
-    active = searches.where(due(F.col("notify_frequency"), F.col("last_run_at"), now))
-    asked = active.select(F.col("id").alias("search_id"), F.col("last_run_at").alias("_ran"), *[F.col("filters")[k].alias(f"_{k}") for k in keys])
-    asked = asked.withColumn("_set", sum(F.col(f"_{k}").isNotNull().cast("int") * 2**i for i, k in enumerate(keys)))
-    sets = sorted(r[0] for r in asked.select("_set").distinct().collect())
-    rows = jobs.select("hash", F.col(seen).alias("_seen"), *keys, F.explode(F.array(*[F.lit(x) for x in sets]).cast("array<int>")).alias("set"))
-    rows = rows.select("hash", "_seen", "set", *[F.when(F.col("set").bitwiseAND(2**i) > 0, F.col(k)).alias(k) for i, k in enumerate(keys)])
-    on = F.col("set") == F.col("_set")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return rows.join(asked, on).where(F.col("_ran").isNull() | (F.col("_seen") > F.col("_ran"))).select("search_id", "hash")
+def search_conditions(searches: DataFrame) -> DataFrame:
+    """The inverted index of saved searches: a row (search_id, key, value, of) for each
+    value that a condition accepts, `of` being the number of the search's conditions.
+    Lists of sources and cantons are split at commas, cantons in upper case; empty
+    values, and keys that are absent, are no conditions. A search without conditions
+    has the one row (any, '')."""
+    f = F.col("filters")
+    listed = lambda c: F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
+    one = lambda c: F.filter(F.array(c), lambda x: x != "")
+    on = ~F.lower(F.coalesce(f["remote_only"], F.lit(""))).isin("", "false", "0", "no")
+    none = F.array().cast("array<string>")
+    accepted = {"source": listed(f["source"]), "canton": F.transform(listed(f["canton"]), lambda x: F.upper(x)), "language": one(F.coalesce(f["language"], F.lit(""))), "remote": F.when(on, F.array(F.lit("true"))).otherwise(none)}
+    keyed = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("values")) for k, v in accepted.items()]), lambda x: F.size(x["values"]) > 0)
+    rows = searches.select(F.col("id").alias("search_id"), keyed.alias("c"))
+    any_ = F.array(F.struct(F.lit("any").alias("key"), F.array(F.lit("")).alias("values")))
+    rows = rows.select("search_id", F.explode(F.when(F.size("c") > 0, F.col("c")).otherwise(any_)).alias("c"), F.greatest(F.size("c"), F.lit(1)).alias("of"))
+    return rows.select("search_id", "c.key", F.explode("c.values").alias("value"), "of")
+
+
+def due_searches(searches: DataFrame, now: Column) -> DataFrame:
+    """Active searches that are due."""
+    return searches.where(F.coalesce("is_active", F.lit(False)) & due(F.col("notify_frequency"), F.col("last_run_at"), now))
+
+
+def run_saved_searches(searches: DataFrame, jobs: DataFrame, now: Column, seen: str = "last_seen_at") -> DataFrame:
+    """(search_id, hash) of active, due searches over visible postings seen at their
+    last run or later (all of them, for a search that never ran).
+
+    A posting meets a search where it meets all of its conditions. Of these, the one
+    whose values are rarest among the postings joins both, by equality; the posting
+    then counts how many of the search's conditions it meets. So no posting meets
+    searches that it would only match in a frequent language or source.
+    """
+    active = due_searches(searches, now).select("id", "filters", F.col("last_run_at").alias("_ran"))
+    keys = {"source": F.col("source"), "canton": F.col("canton"), "language": F.col("language"), "remote": F.when(F.col("remote"), "true")}
+    terms = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in keys.items()], F.struct(F.lit("any").alias("key"), F.lit("").alias("value"))), lambda x: x["value"].isNotNull())
+    shown = jobs.where(F.col("is_active") & F.col("duplicate_of").isNull()).select("hash", F.col(seen).alias("_seen"), terms.alias("_terms"))
+    rows = shown.withColumn("_t", F.explode("_terms"))
+    frequent = rows.groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
+    index = search_conditions(active)
+    index = index.join(frequent, (index["key"] == F.col("_t.key")) & (index["value"] == F.col("_t.value")), "left")
+    condition = index.groupBy("search_id", "key", "of").agg(F.sum(F.coalesce("_n", F.lit(0))).alias("_n"), F.collect_list("value").alias("_values"))
+    asked = condition.groupBy("search_id", "of").agg(
+        F.min_by("key", F.struct("_n", "key")).alias("_lead"), F.collect_list(F.struct("key", "_values")).alias("_conditions")
+    )
+    asked = asked.join(active.select(F.col("id").alias("search_id"), "_ran"), "search_id")
+    led = asked.withColumn("_value", F.explode(F.filter("_conditions", lambda x: x["key"] == F.col("_lead"))[0]["_values"]))
+    hits = rows.join(led, (F.col("_t.key") == F.col("_lead")) & (F.col("_t.value") == F.col("_value")))
+    met = F.size(F.filter("_conditions", lambda c: F.exists("_terms", lambda t: (t["key"] == c["key"]) & F.array_contains(c["_values"], t["value"]))))
+    return hits.where((met == F.col("of")) & (F.col("_ran").isNull() | (F.col("_seen") >= F.col("_ran")))).select("search_id", "hash")
 
 
 def after_run(searches: DataFrame, found: DataFrame, now: Column) -> DataFrame:
-    """Bookkeeping of due searches: the run's time and the matches so far."""
+    """Bookkeeping of active, due searches: the run's time and the matches so far."""
     n = found.groupBy(F.col("search_id").alias("_i")).agg(F.count(F.lit(1)).alias("_n"))
-    ran = due(F.col("notify_frequency"), F.col("last_run_at"), now)
+    ran = F.coalesce("is_active", F.lit(False)) & due(F.col("notify_frequency"), F.col("last_run_at"), now)
     j = searches.join(n, searches["id"] == n["_i"], "left")
-    return j.withColumns({"total_matches": F.col("total_matches") + F.when(ran, F.coalesce("_n", F.lit(0))).otherwise(0), "last_run_at": F.when(ran, now).otherwise(F.col("last_run_at"))}).drop("_i", "_n")
+    more = F.when(ran, F.coalesce("_n", F.lit(0))).otherwise(0)
+    return j.withColumns({"total_matches": F.coalesce("total_matches", F.lit(0)) + more, "last_run_at": F.when(ran, now).otherwise(F.col("last_run_at"))}).drop("_i", "_n")
+
+
+def search_notifications(searches: DataFrame, found: DataFrame, least: int = 50) -> DataFrame:
+    """(user_id, search_id, title, body, match_count) of searches with enough matches:
+    their own least number, but never under `least`."""
+    n = found.groupBy("search_id").agg(F.count(F.lit(1)).alias("match_count"))
+    j = searches.join(n, searches["id"] == n["search_id"]).where(F.col("match_count") >= F.greatest(F.coalesce("min_score", F.lit(0)), F.lit(least)))
+    title = F.concat(F.lit("New matches for '"), F.col("name"), F.lit("'"))
+    body = F.concat(F.lit("Found "), F.col("match_count"), F.lit(" new jobs matching your saved search."))
+    return j.select("user_id", "search_id", title.alias("title"), body.alias("body"), "match_count")
 
 
 def new_filter(filters: DataFrame) -> DataFrame:

@@ -5,45 +5,22 @@ The clock is never read: queries that need a present moment take NOW.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import enrich as E
 from ..functions import score as S
 from ..functions import text as X
-from ..operators import dedup, lifecycle, matching, merge, models, patterns, search, views, watchlist
+from ..operators import dedup, fulltext, lifecycle, matching, merge, models, patterns, search, views, watchlist
 from ..sources import readers, sinks
+from ..storage import shared_dir
 from ..streaming import incremental
 from . import pipelines
-
-NOW = "2001-08-01 00:00:00"
-EVENT_NOW = "2024-01-31 00:00:00"
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _now(text: str = NOW):
-    return F.lit(text).cast("timestamp")
-
-
-def _events(spark, sf_dir) -> DataFrame:
-    return _read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-
+from .registry import EVENT_NOW, QUERIES, SQL
+from .registry import events as _events
+from .registry import moment as _now
+from .registry import query as _query
+from .registry import read as _read
 
 def _words(c):
     return F.filter(F.split(F.lower(c), r"(?U)[^\w]+"), lambda t: t != "")
@@ -77,10 +54,14 @@ def search_salary_nulls_last(spark, sf_dir):
     return search.page_of(c, F.col("c_mktsegment") == "BUILDING", [F.desc_nulls_last("pay"), F.asc("c_custkey")], 100).select("c_custkey", "pay")
 
 
+def _text_index(spark, sf_dir) -> fulltext.TextIndex:
+    """The stored index of the documents' texts; the first query makes it."""
+    return fulltext.index_of(spark, shared_dir(spark), _read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @_query(rf"SELECT doc_id FROM documents WHERE list_has_all({_WORD_SQL}, ['the', 'of', 'and'])")
 def fulltext_conjunctive(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
-    return docs.where(X.contains_all(X.search_tokens(F.col("text")), "The of AND")).select("doc_id")
+    return _text_index(spark, sf_dir).containing("The of AND").select(F.col("id").alias("doc_id"))
 
 
 @_query(rf"""
@@ -89,10 +70,7 @@ SELECT doc_id, round(len(list_filter(w, lambda x: x = 'the' OR x = 'der')) / (1
 FROM t ORDER BY rank DESC, doc_id LIMIT 50
 """)
 def fulltext_ranked(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
-    none = F.array().cast("array<string>")
-    ranked = docs.select("doc_id", F.round(search.term_rank(none, _words(F.col("text")), "the der"), 6).alias("rank"))
-    return ranked.orderBy(F.desc("rank"), "doc_id").limit(50)
+    return _text_index(spark, sf_dir).ranked("the der", 50).select(F.col("id").alias("doc_id"), "rank")
 
 
 @_query(rf"""
@@ -351,43 +329,41 @@ def page_cards(spark, sf_dir):
     return readers.html_cards(_read(spark, sf_dir, "pages"), "ad").select("page_id", "pos", "url", "title", F.array_join(F.map_values("fields"), " ").alias("text"))
 
 
-_PAY = [(1, "100000-120000 EUR", "yearly"), (2, "8000 USD", "monthly"), (3, "50 GBP", "hourly"), (4, "80k - 95k CHF", None), (5, "nach Vereinbarung", None), (6, "22.50 EUR", "hourly"), (7, "90 to 110k", "yearly")]
-_PAY_ROWS = ", ".join(f"({i}, '{t}', {'NULL' if p is None else repr(p)})" for i, t, p in _PAY)
-_NUMBER_SQL = "(CASE WHEN contains(lower(t), 'k') AND v < 1000 THEN v * 1000 ELSE v END)"
-
-
-@_query(rf"""
-WITH r AS (SELECT * FROM (VALUES {_PAY_ROWS}) x(id, t, period)),
-m AS (SELECT *, regexp_matches(t, '{E._RANGE}') AS ranged, nullif(upper(regexp_extract(t, '(?i)\b(CHF|EUR|USD|GBP)\b', 1)), '') AS currency FROM r),
-n AS (SELECT *, CASE WHEN ranged THEN regexp_extract(t, '{E._RANGE}', 1) ELSE regexp_extract(t, '{E._SINGLE}', 1) END AS a,
-  CASE WHEN ranged THEN regexp_extract(t, '{E._RANGE}', 2) ELSE regexp_extract(t, '{E._SINGLE}', 1) END AS b FROM m),
-v AS (SELECT *, try_cast(replace(replace(a, '.', ''), ',', '') AS DOUBLE) AS lo, try_cast(replace(replace(b, '.', ''), ',', '') AS DOUBLE) AS hi FROM n),
-k AS (SELECT *, CASE WHEN contains(lower(t), 'k') AND lo < 1000 THEN lo * 1000 ELSE lo END AS lo2, CASE WHEN contains(lower(t), 'k') AND hi < 1000 THEN hi * 1000 ELSE hi END AS hi2,
-  CASE currency WHEN 'EUR' THEN 0.96 WHEN 'USD' THEN 0.88 WHEN 'GBP' THEN 1.12 ELSE 1 END::DOUBLE * CASE period WHEN 'monthly' THEN 12 WHEN 'hourly' THEN 2080 ELSE 1 END AS f FROM v)
-SELECT id, floor(lo2 * f)::INTEGER::VARCHAR AS lo, floor(hi2 * f)::INTEGER::VARCHAR AS hi, currency FROM k
+@_query("""
+SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN floor((p_size + 40) * 1000 * 0.96::DOUBLE) WHEN 1 THEN floor(p_size * 100 * 0.88::DOUBLE * 12) WHEN 2 THEN floor((p_size + 10) * 1.12::DOUBLE * 2080)
+    WHEN 3 THEN (p_size + 30) * 1000 WHEN 4 THEN NULL ELSE (p_size + 20) * 1000 END::INTEGER::VARCHAR AS lo,
+  CASE p_size % 6 WHEN 0 THEN floor((p_size + 60) * 1000 * 0.96::DOUBLE) WHEN 1 THEN floor(p_size * 100 * 0.88::DOUBLE * 12) WHEN 2 THEN floor((p_size + 10) * 1.12::DOUBLE * 2080)
+    WHEN 3 THEN (p_size + 45) * 1000 WHEN 4 THEN NULL ELSE (p_size + 35) * 1000 END::INTEGER::VARCHAR AS hi,
+  CASE p_size % 6 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' WHEN 3 THEN 'CHF' END AS currency FROM part
 """)
 def salary_parse(spark, sf_dir):
-    rows = spark.createDataFrame(_PAY, "id int, t string, period string").withColumn("p", E.parse_pay(F.col("t")))
+    n = F.col("p_size")
+    text = (
+        F.when(n % 6 == 0, F.format_string("%d000-%d000 EUR", n + 40, n + 60)).when(n % 6 == 1, F.format_string("%d USD", n * 100)).when(n % 6 == 2, F.format_string("gbp %d an hour", n + 10))
+        .when(n % 6 == 3, F.format_string("%dk - %dk CHF", n + 30, n + 45)).when(n % 6 == 4, "nach Vereinbarung").otherwise(F.format_string("%d to %dk", n + 20, n + 35))
+    )
+    period = E.valid_period(F.when(n % 6 == 1, "per_month").when(n % 6 == 2, "Hour").when(n % 6 == 3, "fortnight").otherwise("annual"))
+    rows = _read(spark, sf_dir, "part").select("p_partkey", E.parse_pay(text).alias("p"), period.alias("period"))
     pay = lambda c: E.annual_chf(F.col(f"p.{c}"), F.col("p.currency"), F.col("period"))
-    return rows.select("id", pay("lo").cast("string").alias("lo"), pay("hi").cast("string").alias("hi"), F.col("p.currency").alias("currency"))
-
+    return rows.select("p_partkey", pay("lo").cast("string").alias("lo"), pay("hi").cast("string").alias("hi"), F.col("p.currency").alias("currency"))
 
-_LEVELS = [(1, "Head of Sales", None), (2, "Senior Editor 80%", None), (3, "Praktikum Marketing", "internship"), (4, "International Lead", None), (5, "Teilzeit Lehrer", None), (6, "Koch", "temporary")]
 
+_LEVELS = [
+    ("Head of Sales", None, None), ("Senior Editor 80%", None, None), ("Praktikum Marketing", None, "internship"), ("International Lead", None, None),
+    ("Teilzeit Gärtner", None, "no such kind"), ("Koch", "director", "temporary"), ("Koch", "no such level", None), ("Stage en édition, CDD", None, None),
+]
 
-def _rule_sql(rules: dict[str, list[str]]) -> str:
-    return "CASE " + " ".join("WHEN " + " OR ".join("contains(t, '{}')".format(w.replace("'", "''")) for w in words) + f" THEN '{k}'" for k, words in rules.items()) + " END"
 
-
-@_query(f"""
-WITH r AS (SELECT id, title, kind, lower(title) AS t FROM (VALUES {", ".join(f"({i}, '{t}', {'NULL' if k is None else repr(k)})" for i, t, k in _LEVELS)}) x(id, title, kind))
-SELECT id, {_rule_sql(E.SENIORITY_WORDS)} AS seniority, coalesce(kind, {_rule_sql(E.CONTRACT_WORDS)}) AS contract FROM r
+@_query("""
+SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'head' WHEN 1 THEN 'senior' WHEN 2 THEN 'intern' WHEN 3 THEN 'lead' WHEN 5 THEN 'director' WHEN 7 THEN 'intern' END AS seniority,
+  CASE p_partkey % 8 WHEN 1 THEN 'part_time' WHEN 2 THEN 'internship' WHEN 4 THEN 'part_time' WHEN 5 THEN 'temporary' WHEN 7 THEN 'internship' END AS contract FROM part
 """)
 def level_and_contract(spark, sf_dir):
-    rows = spark.createDataFrame(_LEVELS, "id int, title string, kind string")
-    kind = E.valid_or_null(F.col("kind"), E.CONTRACT_VALID)
-    none = F.lit(None).cast("string")
-    return rows.select("id", E.seniority(none, F.col("title")).alias("seniority"), E.contract_type(kind, none, F.col("title"), none).alias("contract"))
+    rows = F.array(*[F.struct(*[F.lit(x).cast("string").alias(c) for c, x in zip("tlk", r)]) for r in _LEVELS])
+    p = _read(spark, sf_dir, "part").select("p_partkey", rows[(F.col("p_partkey") % 8).cast("int")].alias("r"))
+    none, title = F.lit(None).cast("string"), F.concat("r.t", F.lit(" x"), "p_partkey")
+    level, kind = E.valid_or_null(F.col("r.l"), E.SENIORITY_VALID), E.valid_or_null(F.col("r.k"), E.CONTRACT_VALID)
+    return p.select("p_partkey", E.seniority(level, title).alias("seniority"), E.contract_type(kind, none, title, none).alias("contract"))
 
 
 @_query(r"""
@@ -421,11 +397,11 @@ WITH t AS (SELECT quality = 0 AS r, list_filter(regexp_split_to_array(regexp_rep
 g AS (SELECT r, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))], [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])) AS pattern FROM t),
 c AS (SELECT pattern, sum(r::INTEGER)::BIGINT AS rejected, count(*) AS total FROM g GROUP BY pattern)
 """
-    + _RATED_SQL.format(least=20)
+    + _RATED_SQL.format(least=2)
 )
 def ngram_rejection(spark, sf_dir):
     counts = patterns.ngram_counts(_labelled(spark, sf_dir), "text", "rejected")
-    return patterns.rated(counts, 20).withColumns({"rate": F.round("rate", 6), "confidence": F.round("confidence", 6)})
+    return patterns.rated(counts).withColumns({"rate": F.round("rate", 6), "confidence": F.round("confidence", 6)})
 
 
 @_query(
@@ -440,12 +416,6 @@ def tag_rejection(spark, sf_dir):
     return patterns.rated(counts, 2, 0.05).withColumns({"rate": F.round("rate", 6), "confidence": F.round("confidence", 6)})
 
 
-@_query()
-def pattern_suggestions(spark, sf_dir):
-    counts = patterns.ngram_counts(_labelled(spark, sf_dir), "text", "rejected", ["lang"])
-    return patterns.most_confident(patterns.title_suggestions(counts, ["lang"]))
-
-
 @_query("SELECT p_partkey FROM part WHERE NOT contains(lower(p_name), 'ring') AND NOT contains(lower(p_name), 'red') AND p_type <> 'ECONOMY'")
 def user_title_filters(spark, sf_dir):
     rows = [("title_contains", "RING", True), ("title_contains", "red", True), ("tag_contains", "ECONOMY", True), ("title_contains", "widget", False)]
@@ -534,7 +504,7 @@ def _per_day(spark, sf_dir) -> DataFrame:
 @_query("""
 WITH d AS (SELECT event_type, ts::DATE AS day, count(*) FILTER (WHERE value > 60)::DOUBLE AS n FROM events GROUP BY ALL),
 l AS (SELECT event_type, list(n ORDER BY day) AS a FROM d GROUP BY event_type)
-SELECT event_type, list_reduce(a, lambda s, x: floor((0.3::DOUBLE * x + 0.7::DOUBLE * s) * 100 + 0.5::DOUBLE) / 100) AS ema FROM l
+SELECT event_type, list_reduce([0::DOUBLE] || a, lambda s, x: printf('%.2f', 0.7::DOUBLE * s + 0.3::DOUBLE * x)::DOUBLE) AS ema FROM l
 """)
 def ema_runs(spark, sf_dir):
     return lifecycle.ema(_per_day(spark, sf_dir), ["event_type"], ["day"], "n")
@@ -572,11 +542,11 @@ def cursor_window(spark, sf_dir):
 @_query("""
 WITH g AS (SELECT user_id, event_id, ts, event_type = 'error' AS b, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events),
 c AS (SELECT *, sum(b::INTEGER) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS c FROM g)
-SELECT user_id, arg_max(c, (ts, event_id))::BIGINT AS consecutive_blocks, max(c) >= 3 AS auto_disabled FROM c GROUP BY user_id
+SELECT user_id, arg_max(c, (ts, event_id))::BIGINT AS consecutive_blocks, max(c) >= 3 AND user_id % 2 = 0 AS auto_disabled FROM c GROUP BY user_id
 """)
 def block_counters(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("blocked", F.col("event_type") == "error")
-    return lifecycle.block_counters(e, "user_id", ["ts", "event_id"], "blocked")
+    return lifecycle.block_counters(e.withColumn("may", F.col("user_id") % 2 == 0), "user_id", ["ts", "event_id"], "blocked", may_disable="may")
 
 
 @_query("""
@@ -611,16 +581,16 @@ def health_issues(spark, sf_dir):
     return lifecycle.health_issues(sources, _now(EVENT_NOW))
 
 
-_SEARCHES = [(1, "instant", "2024-01-30 23:56:00"), (2, "instant", "2024-01-30 23:54:00"), (3, "daily", "2024-01-30 01:00:00"), (4, "weekly", "2024-01-20 00:00:00"), (5, "daily", None), (6, "odd", "2024-01-29 00:00:00")]
-
-
-@_query(f"""
-SELECT id, ran IS NULL OR epoch(TIMESTAMP '{EVENT_NOW}') - epoch(ran) >= CASE f WHEN 'instant' THEN 300 WHEN 'weekly' THEN 604800 ELSE 86400 END AS due
-FROM (VALUES {", ".join(f"({i}, '{f}', {'NULL' if t is None else f"TIMESTAMP '{t}'"})" for i, f, t in _SEARCHES)}) x(id, f, ran)
+@_query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN true WHEN o_orderkey % 4 = 0 THEN o_orderkey % 11 >= 5 WHEN o_orderkey % 4 = 1 THEN o_orderkey % 2900 >= 1440
+  WHEN o_orderkey % 4 = 2 THEN o_orderkey % 20000 >= 10080 ELSE false END AS due FROM orders
 """)
 def saved_search_due(spark, sf_dir):
-    rows = spark.createDataFrame(_SEARCHES, "id int, f string, at string").withColumn("at", F.col("at").cast("timestamp"))
-    return rows.select("id", lifecycle.due(F.col("f"), F.col("at"), _now(EVENT_NOW)).alias("due"))
+    key = F.col("o_orderkey")
+    kind = F.when(key % 4 == 0, "realtime").when(key % 4 == 1, "daily").when(key % 4 == 2, "weekly").when(key % 3 == 0, "instant")
+    minutes = F.when(key % 4 == 0, key % 11).when(key % 4 == 1, key % 2900).when(key % 4 == 2, key % 20_000).otherwise(10**6)
+    ran = F.when(key % 7 != 0, F.timestamp_seconds(F.unix_timestamp(_now()) - 60 * minutes))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", lifecycle.due(kind, ran, _now()).alias("due"))
 
 
 @_query(f"SELECT count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events WHERE ts > TIMESTAMP '{EVENT_NOW}' - INTERVAL 7 DAY AND ts <= TIMESTAMP '{EVENT_NOW}'")
@@ -650,11 +620,16 @@ def embedding_batches(spark, sf_dir):
 
 
 @_query(r"""
-SELECT doc_id, CASE WHEN regexp_matches(text, '[äöüßÄÖÜ]') THEN 'de' WHEN regexp_matches(text, '[àâçèéêëîïôùûœÀÂÇÈÉÊËÎÏÔÙÛŒ]') THEN 'fr' WHEN regexp_matches(text, '[ìòÌÒ]') THEN 'it'
-  WHEN len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) > 12)) > 0 THEN 'de' END AS guess FROM documents
+WITH t AS (SELECT doc_id, lang, left(text, 40) AS t, (doc_id % 10) / 10.0 AS prob, CASE doc_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'es' ELSE 'pt' END AS guess FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(t, '[äöüÄÖÜß]') THEN 'de' WHEN regexp_matches(t, '[éèêëàâîïùûçœæÉÈÊÀÂÎÙÛÇ]') THEN 'fr' WHEN regexp_matches(t, '[àèéìíîòóùúÀÈÉÌÍÎÒÓÙÚ]') THEN 'it'
+  WHEN len(list_filter(regexp_split_to_array(replace(replace(t, '*', ''), '/', ' '), '\s+'), lambda w: length(w) > 12)) > 0 THEN 'de'
+  WHEN lang IN ('en', 'es') THEN CASE WHEN prob >= 0.7 AND guess <> 'pt' THEN guess END WHEN prob >= 0.35 THEN guess END AS guess FROM t
 """)
 def title_language(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", E.title_language(F.col("text")).alias("guess"))
+    key = F.col("doc_id")
+    guess = F.struct(F.when(key % 3 == 0, "en").when(key % 3 == 1, "es").otherwise("pt").alias("lang"), ((key % 10) / 10.0).alias("prob"))
+    d = _read(spark, sf_dir, "documents").withColumn("title", F.left("text", F.lit(40)))
+    return d.select("doc_id", E.title_language(F.col("title"), F.upper("lang"), guess).alias("guess"))
 
 
 @_query("""
@@ -691,18 +666,6 @@ def grouped_view(spark, sf_dir):
     return view.join(c.groupBy("c_mktsegment").agg(F.count(F.when(flag, 1)).alias("priority")), "c_mktsegment")
 
 
-@_query("""
-WITH s AS (SELECT * FROM (VALUES (1, 'src0', NULL, NULL), (2, NULL, 'de', 500), (3, 'src1', 'fr', 800)) x(search_id, source, lang, since))
-SELECT search_id, doc_id::VARCHAR AS hash FROM documents d JOIN s ON (s.source IS NULL OR s.source = d.source) AND (s.lang IS NULL OR s.lang = d.lang) AND (since IS NULL OR doc_id > since) WHERE search_id <> 3
-""")
-def saved_search_run(spark, sf_dir):
-    rows = [(1, {"source": "src0"}, None, "daily"), (2, {"language": "de"}, 500, "instant"), (3, {"source": "src1", "language": "fr"}, 800, "weekly")]
-    s = spark.createDataFrame(rows, "id int, filters map<string,string>, since long, notify_frequency string").withColumn("last_run_at", F.timestamp_seconds("since"))
-    d = _read(spark, sf_dir, "documents")
-    jobs = d.select(F.col("doc_id").cast("string").alias("hash"), "source", F.lit(None).cast("string").alias("canton"), F.col("lang").alias("language"), F.timestamp_seconds("doc_id").alias("first_seen_at"))
-    return watchlist.run_saved_searches(s, jobs, F.timestamp_seconds(F.lit(5000)))
-
-
 # --- views, predicates and text helpers --------------------------------------
 
 
@@ -731,9 +694,9 @@ def optional_status(spark, sf_dir):
     return views.with_status(o, "F", "o_orderstatus").withColumn("wanted", F.lit("F")).unionByName(views.with_status(o, "all", "o_orderstatus").withColumn("wanted", F.lit("all")))
 
 
-@_query("SELECT p_partkey FROM part WHERE (contains(lower(p_name), 'an') OR contains(lower(p_type), 'an')) AND NOT contains(lower(p_brand), '#1')")
+@_query("SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_type), 't e') AND NOT contains(lower(p_brand), '#1')")
 def source_query_filter(spark, sf_dir):
-    return views.query_matches(_read(spark, sf_dir, "part"), "AN", ["p_name", "p_type"], ["#1"], "p_brand").select("p_partkey")
+    return views.query_matches(_read(spark, sf_dir, "part"), "T E", ["p_name", "p_type"], ["#1"], "p_brand").select("p_partkey")
 
 
 @_query("""
@@ -751,7 +714,7 @@ def match_cards(spark, sf_dir):
 @_query("SELECT row_number() OVER (ORDER BY round(o_totalprice / 1000, 2) + CASE o_orderpriority WHEN '1-URGENT' THEN 100 ELSE 0 END DESC, o_orderkey) AS place, o_orderkey FROM orders QUALIFY place <= 200")
 def urgency_order(spark, sf_dir):
     o = _read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 1000, 2).alias("score_final"), F.when(F.col("o_orderpriority") == "1-URGENT", 100.0).alias("urgency_score"))
-    return views.by_urgency(o, "o_orderkey").limit(200).withColumn("_i", F.monotonically_increasing_id()).select((F.col("_i") + 1).alias("place"), "o_orderkey")
+    return views.by_urgency(o, "o_orderkey", 200).select(F.col("place").cast("long").alias("place"), "o_orderkey")
 
 
 @_query("""
@@ -791,14 +754,13 @@ def cv_cleanup(spark, sf_dir):
 
 
 @_query("""
-SELECT doc_id, md5(concat_ws(chr(10), nullif(lang, ''), CASE WHEN length(text) <= 500 THEN nullif(text, '') ELSE left(text, 400) || chr(10) || '...' || chr(10) || right(text, 100) END, 'a, B')) AS profile_md5,
+SELECT doc_id, CASE WHEN text <> '' THEN md5(CASE WHEN lang <> '' THEN lang || ' ' ELSE '' END || text || CASE WHEN doc_id % 2 = 0 THEN ' a B' ELSE '' END) END AS profile_md5,
   array_to_string(list_sort(list_distinct([source, 'b', 'a'])), '|') AS skills FROM documents
 """)
 def profile_text(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents")
-    text = X.profile_text(F.col("lang"), X.head_and_tail(F.col("text"), 400, 100), F.array(F.lit("a"), F.lit("B")))
+    own = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("B")))
     skills = X.skill_union(F.array("source", F.lit("b")), F.array(F.lit("a"), F.lit("b")))
-    return d.select("doc_id", F.md5(text).alias("profile_md5"), F.array_join(skills, "|").alias("skills"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(X.profile_text(F.col("lang"), F.col("text"), own)).alias("profile_md5"), F.array_join(skills, "|").alias("skills"))
 
 
 @_query(r"""
@@ -816,9 +778,9 @@ def workload_and_employer(spark, sf_dir):
 @_query("""
 WITH old AS (SELECT doc_id, source, md5(lower(trim(text))) AS k FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 0),
 fresh AS (SELECT doc_id, source, md5(lower(trim(text))) AS k FROM documents WHERE doc_id % 3 <> 0),
-a AS (SELECT *, 0 AS n FROM old UNION ALL SELECT *, 1 FROM fresh),
-f AS (SELECT *, first_value(source) OVER w AS s, first_value(doc_id) OVER w AS i FROM a WHERE k IS NOT NULL WINDOW w AS (PARTITION BY k ORDER BY n, doc_id))
-SELECT r.doc_id, CASE WHEN f.s <> f.source THEN f.i END AS duplicate_of FROM fresh r LEFT JOIN f ON r.doc_id = f.doc_id AND f.n = 1
+o AS (SELECT f.doc_id, min(old.doc_id) AS i FROM fresh f JOIN old ON old.k = f.k AND old.source <> f.source GROUP BY f.doc_id),
+n AS (SELECT k, min(doc_id) AS i, arg_min(source, doc_id) AS s FROM fresh WHERE k NOT IN (SELECT k FROM old WHERE k IS NOT NULL) GROUP BY k)
+SELECT f.doc_id, coalesce(o.i, CASE WHEN n.s <> f.source THEN n.i END) AS duplicate_of FROM fresh f LEFT JOIN o USING (doc_id) LEFT JOIN n ON n.k = f.k
 """)
 def stored_duplicates(spark, sf_dir):
     d = _read(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.lower(F.trim("text"))).alias("k"), F.col("doc_id").alias("seen"))
@@ -978,12 +940,12 @@ def match_states(spark, sf_dir):
 
 
 @_query("""
-WITH n AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY ALL), s AS (SELECT c_custkey AS id, c_custkey % 3 AS total, c_custkey % 4 <> 0 AS ran FROM customer)
+WITH n AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY ALL), s AS (SELECT c_custkey AS id, c_custkey % 3 AS total, c_custkey % 4 <> 0 AND c_custkey % 9 <> 0 AS ran FROM customer)
 SELECT id, total + CASE WHEN ran THEN coalesce(n, 0) ELSE 0 END AS total_matches, CASE WHEN ran THEN '2001-08-01 00:00' ELSE '2001-07-31 01:00' END AS last_run FROM s LEFT JOIN n USING (id)
 """)
 def search_bookkeeping(spark, sf_dir):
     key = F.col("c_custkey")
-    s = _read(spark, sf_dir, "customer").select(key.alias("id"), (key % 3).alias("total_matches"), F.when(key % 4 == 0, "daily").otherwise("instant").alias("notify_frequency"), _now("2001-07-31 01:00:00").alias("last_run_at"))
+    s = _read(spark, sf_dir, "customer").select(key.alias("id"), (key % 3).alias("total_matches"), F.when(key % 4 == 0, "daily").otherwise("realtime").alias("notify_frequency"), _now("2001-07-31 01:00:00").alias("last_run_at"), (key % 9 != 0).alias("is_active"))
     found = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("search_id"))
     return watchlist.after_run(s, found, _now()).select("id", "total_matches", F.date_format("last_run_at", "yyyy-MM-dd HH:mm").alias("last_run"))
 
@@ -1171,3 +1133,6 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n F
 def session_counts(spark, sf_dir):
     out = incremental.session_counts(_events(spark, sf_dir), "ts", "user_id", "60 minutes")
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+from . import stored_queries, user_queries  # noqa: E402, F401 - they register their queries

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import balanced_literal
 from ..schema import POSTING, conform, valid_rows
 
 
@@ -88,30 +87,72 @@ def parse_cards(html: str | None, card: str) -> list[dict]:
 
 def html_cards(pages: DataFrame, card: str, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """(page_id, pos, url, title, fields) for every card of every page."""
-    kind = "array<struct<url:string,title:string,fields:map<string,string>>>"
-    cards = F.pandas_udf(lambda s: s.map(lambda h: parse_cards(h, card)), kind)
+    kind = pa.list_(pa.struct([("url", pa.string()), ("title", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))]))
+
+    @F.arrow_udf("array<struct<url:string,title:string,fields:map<string,string>>>")
+    def cards(texts: pa.Array) -> pa.Array:
+        found = ([c | {"fields": list(c["fields"].items())} for c in parse_cards(t, card)] for t in texts.to_pylist())
+        return pa.array(found, kind)
+
     return pages.select(page_id, F.posexplode(cards(F.col(html)))).select(page_id, "pos", "col.*")
 
 
-def script_state(html: str | None, anchor: str) -> str | None:
-    """The first JSON literal after a match of anchor that parses; decoys are passed over."""
+def literals(html: str | None, anchor: str) -> Iterator[tuple[str, str]]:
+    """(anchor's text, JSON text) for every match of anchor with a JSON value right
+    after it, up to 40 characters before an object or list. What does not parse is
+    passed over."""
+    decoder = json.JSONDecoder()
     for m in re.finditer(anchor, html or ""):
-        start = re.compile(r"[\[{]").search(html, m.end())
-        if start and start.start() - m.end() <= 40:
-            literal = balanced_literal(html, start.start())
-            if literal:
-                try:
-                    json.loads(literal)
-                except ValueError:
-                    continue
-                return literal
-    return None
+        gap = re.compile(r"\s*").match(html, m.end()).end()
+        opening = re.compile(r"[\[{]").search(html, m.end(), m.end() + 41)
+        for start in dict.fromkeys([gap, *([opening.start()] if opening else [])]):
+            try:
+                _, end = decoder.raw_decode(html, start)
+            except (ValueError, RecursionError):
+                continue
+            yield m[0], html[start:end]
+            break
+
+
+@F.udtf(returnType="pos int, anchor string, literal string")
+class ScriptLiterals:
+    """A row for each literal of a page, for a lateral join."""
+
+    def eval(self, html: str, anchor: str):
+        for pos, (found, literal) in enumerate(literals(html, anchor)):
+            yield pos, found, literal
+
+
+def script_literals(pages: DataFrame, anchor: str, html: str = "html") -> DataFrame:
+    """pages with pos, anchor and literal: a row for each JSON literal that follows a
+    match of anchor in the page's scripts. Pages without one have no row."""
+    return pages.lateralJoin(ScriptLiterals(F.col(html).outer(), F.lit(anchor)))
 
 
 def html_state(pages: DataFrame, anchor: str, schema: str, html: str = "html") -> DataFrame:
-    """Add state: the page's embedded JSON, parsed by the schema (null without one)."""
-    state = F.pandas_udf(lambda s: s.map(lambda h: script_state(h, anchor)), "string")
-    return pages.withColumn("state", F.from_json(state(F.col(html)), schema))
+    """Add state: the page's first embedded JSON object or list, parsed by the schema
+    (null without one)."""
+
+    @F.arrow_udf("string")
+    def first(texts: pa.Array) -> pa.Array:
+        found = ((x for _, x in literals(t, anchor) if x[0] in "[{") for t in texts.to_pylist())
+        return pa.array((next(x, None) for x in found), pa.string())
+
+    return pages.withColumn("state", F.from_json(first(F.col(html)), schema))
+
+
+def with_details(stubs: DataFrame, details: DataFrame, key: str, fields: str = "fields") -> DataFrame:
+    """Listing rows with what their detail page says: details(key, fields map) replace
+    the listing's columns of those names, null values included; other columns, and
+    rows without a detail page, stay. Of several details of one key, the one with the
+    most fields counts."""
+    one = details.groupBy(F.col(key).alias("_key")).agg(F.max_by(fields, F.size(fields)).alias("_fields"))
+    j = stubs.join(one, stubs[key] == F.col("_key"), "left")
+    out = [
+        F.when(F.coalesce(F.map_contains_key("_fields", F.lit(f.name)), F.lit(False)), F.col("_fields")[f.name].cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name)
+        for f in stubs.schema
+    ]
+    return j.select(*out)
 
 
 def links(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import enrich as E
 from sievework.functions import score as S
+from sievework.functions import tables as W
 from sievework.functions import text as X
 from sievework.schema import POSTING, conform, valid_rows
 
@@ -53,8 +54,6 @@ def test_strings(spark):
     assert one(spark, X.ngrams(F.array(F.lit("a"), F.lit("b")), 3)) == []
     assert one(spark, X.escape_markup(F.lit("<a&b>"))) == "&lt;a&amp;b&gt;"
     assert one(spark, X.escape_calendar(F.lit("a;b,c\n"))) == "a\\;b\\,c\\n"
-    assert X.balanced_literal('x={"a": "}", "b": [1]};', 2) == '{"a": "}", "b": [1]}'
-    assert X.balanced_literal("{", 0) is None
 
 
 def test_rules(spark):
@@ -63,7 +62,37 @@ def test_rules(spark):
     rules = {"A": ["translator"], "F": ["ngo"], "H": ["teacher"]}
     got = [one(spark, E.category(F.lit(t), F.array().cast("array<string>"), rules)) for t in ("Django Developer", "Translator and Teacher", "NGO officer")]
     assert got == ["otros", "A", "F"]
-    assert [one(spark, E.title_language(F.lit(t))) for t in ("Softwareentwickler Zürich", "Développeur", "Sviluppatore però", "Cook")] == ["de", "fr", "it", None]
+    titles = ("Softwareentwickler Zürich", "Développeur", "Sviluppatore però", "Cook", "Asesor económico", "Rôle", "Rôle ô", "Engineer/Developer", "Mitarbeiter*innen", "Krankenpfleger**", "œuvre")
+    assert [one(spark, E.title_language(F.lit(t))) for t in titles] == ["de", "fr", "it", None, "it", None, None, None, "de", "de", "fr"]
+
+
+def test_title_language_guesses(spark):
+    cases = [("en", "en", 0.7, "en"), ("en", "en", 0.69, None), ("en", "es", 0.9, "es"), ("en", "nl", 0.99, None), ("de", "nl", 0.35, "nl"), ("de", "nl", 0.34, None), (None, "pt", 0.5, "pt"), ("EN", "nl", 0.99, None)]
+    df = spark.createDataFrame(cases, "known string, lang string, prob double, want string")
+    got = df.select("want", E.title_language(F.lit("Cook"), F.col("known"), F.struct("lang", "prob")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_rounded_as_stored(spark):
+    values = [0.0, 2.675, 0.125, 0.375, 1.005, 0.005, 0.015, 2.5, 1e-9, 123456.785, 1e9 + 0.125, 0.994999, 0.995, 99.995] + [round(0.7 * a / 100 + 0.3 * b, 9) for a in range(1, 400, 7) for b in (0, 1, 5)]
+    values += [0.7 * a / 100 + 0.3 * b for a in range(1, 900) for b in range(4)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r["r"] for r in df.select(S.rounded(F.col("v")).alias("r")).collect()] == [round(v, 2) for v in values]
+
+
+def test_profile_text(spark):
+    skills = F.array(F.lit("a"), F.lit("b"))
+    none = F.lit(None).cast("string")
+    assert one(spark, X.profile_text(F.lit("T"), F.lit("cv\ntext"), skills)) == "T cv\ntext a b"
+    assert one(spark, X.profile_text(F.lit(""), F.lit("x" * 900), F.array().cast("array<string>"))) == "x" * 900
+    assert one(spark, X.profile_text(F.lit("T"), F.lit(""), skills)) is None and one(spark, X.profile_text(none, none, skills)) is None
+
+
+def test_word_tables(spark):
+    assert len(set(W.SKILLS)) == len(W.SKILLS) == 99 and len(W.CANTONS) == 70 and set(map(len, W.CANTONS.values())) == {2}
+    assert one(spark, X.dictionary_terms(F.lit("AGILE teams use Scrum and a CRM in English"), W.SKILLS)) == ["english", "crm", "agile", "scrum"]
+    assert one(spark, X.region_code(F.lit("Basel-Landschaft"), W.CANTONS)) == "BL" and one(spark, X.region_code(F.lit("4001 Basel-Stadt CH"), W.CANTONS)) == "BS"
+    assert one(spark, X.regex_terms(F.lit("CELTA and tesol, L&D; SEN"), W.CV_PATTERNS)) == ["CELTA", "L&D", "SEN", "tesol"]
 
 
 def test_scores(spark):

@@ -12,6 +12,7 @@ from sievework.operators.dedup import stored_duplicates
 from sievework.plans.pipelines import ingest
 from sievework.schema import POSTING
 from sievework.sources import readers, sinks
+from sievework.storage import Snapshots
 from sievework.streaming import incremental
 
 T0 = datetime(2024, 1, 1)
@@ -72,7 +73,9 @@ def test_cursor_window_and_streak(spark):
     assert lifecycle.recent_identities(df, ["k"], "i", "p", 3).first()["recent"] == ["a", "b", "c"]
     runs = spark.createDataFrame([("s", i, n) for i, n in enumerate([3, 0, 0])], "k string, r int, n int")
     assert lifecycle.empty_streak(runs, ["k"], ["r"], "n").first()["streak"] == 2
-    assert lifecycle.ema(runs, ["k"], ["r"], "n").first()["ema"] == 1.47
+    # 0.9, 0.63, 0.44: averages start at 0.
+    assert lifecycle.ema(runs, ["k"], ["r"], "n").first()["ema"] == 0.44
+    assert lifecycle.ema(spark.createDataFrame([("s", 1, 100)], "k string, r int, n int"), ["k"], ["r"], "n").first()["ema"] == 30.0
 
 
 def test_suggestions(spark):
@@ -134,19 +137,22 @@ def test_ingest(spark):
 
 
 def test_streams(spark, tmp_path):
-    schema = "source_key string, run_at timestamp, n_new int"
-    for k, rows in enumerate([[("s", T0, 10), ("t", T0, 0)], [("s", T0 + timedelta(1), 0)], [("s", T0 + timedelta(2), 0)]]):
+    schema = incremental.RUN
+    runs = [[("s", "x", T0, ["b", "a", ""], 10, 2), ("t", "x", T0, None, 0, 1)], [("s", "x", T0 + timedelta(2), ["d", "b"], 0, 1), ("s", "x", T0 + timedelta(1), ["c", "c"], 0, None)], [("s", "y", T0, ["q"], 1, 1)]]
+    table = Snapshots(spark, str(tmp_path / "cursors"), incremental.CURSOR_OUT)
+    for rows in runs:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    seen = []
-    stream = incremental.file_stream(spark, str(tmp_path / "in"), schema, 1)
-    q = incremental.cursor_states(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = {r["source_key"]: (r["runs"], r["streak"]) for r in seen}
-    assert last["t"] == (1, 1) and last["s"][0] == 3
+        incremental.run_cursors(incremental.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), table, str(tmp_path / "c1"), 3)
+    last = {(r["source_key"], r["scope_key"]): r for r in table.current().collect()}
+    s = last["s", "x"]
+    assert s["recent_identities"] == ["d", "b", "c"] and (s["runs"], s["consecutive_empty_runs"]) == (3, 2)
+    assert (s["avg_new_jobs_per_run"], s["avg_pages_per_run"]) == (1.47, 0.59) and s["last_empty_at"] == T0 + timedelta(2)
+    assert last["t", "x"]["consecutive_empty_runs"] == 1 and last["t", "x"]["recent_identities"] == [] and last["s", "y"]["avg_new_jobs_per_run"] == 0.3
+    assert table.commits().count() == 3
     total = []
     for _ in range(2):  # the second run finds nothing new
-        incremental.drain(incremental.file_stream(spark, str(tmp_path / "in"), schema), lambda df, _: total.append(df.count()), str(tmp_path / "c2"))
-    assert sum(total) == 4
+        incremental.drain(incremental.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), lambda df, _: total.append(df.count()), str(tmp_path / "c2"))
+    assert sum(total) == 5
     calls = spark.createDataFrame([("k", T0 + timedelta(seconds=i), True) for i in range(5)] + [("k", T0 + timedelta(seconds=90), False)], "k string, t timestamp, bad boolean")
     assert incremental.breaker(calls, "k", "t", "bad").first()["state"] == "closed"
     assert incremental.breaker(calls.where("bad"), "k", "t", "bad").first()["state"] == "open"
@@ -158,7 +164,7 @@ def test_watchlist(spark):
     rows = [("detected", None, True), ("applied", None, True), ("reviewed", "offer", False), ("detected", "odd", False)]
     df = spark.createDataFrame(rows, "s string, w string, d boolean")
     assert [r[0] for r in df.select(watchlist.advance(F.col("s"), F.col("w"), F.col("d"))).collect()] == ["drafted", "applied", "offer", "detected"]
-    s = spark.createDataFrame([(1, {}, None, "daily", 2)], "id int, filters map<string,string>, last_run_at timestamp, notify_frequency string, total_matches int")
+    s = spark.createDataFrame([(1, {}, None, "daily", 2, True)], "id int, filters map<string,string>, last_run_at timestamp, notify_frequency string, total_matches int, is_active boolean")
     done = watchlist.after_run(s, spark.createDataFrame([(1, "a"), (1, "b")], "search_id int, hash string"), F.lit(T0)).first()
     assert done["total_matches"] == 4 and done["last_run_at"] == T0
     f = spark.createDataFrame([(" Sales ",), (" ",)], "pattern string")
@@ -186,6 +192,26 @@ def test_stored_duplicates(spark):
     new = spark.createDataFrame([("n1", "s2", "f", 0, True), ("n2", "s1", "f", 9, True), ("n3", "s2", "g", 9, True), ("n4", "s3", "g", 10, True), ("c", "s1", "h", 7, True), ("n5", "s9", None, 1, True)], schema)
     got = {r["hash"]: r["duplicate_of"] for r in stored_duplicates(new, old).collect()}
     assert got == {"n1": "a", "n2": None, "n3": None, "n4": "n3", "c": None, "n5": None}
+    # Two sources are stored: a row of the older one is a copy of the other's.
+    both = spark.createDataFrame([("A1", "a", "f", 1, True), ("B1", "b", "f", 2, True)], schema)
+    new = spark.createDataFrame([("A2", "a", "f", 3, True), ("B2", "b", "f", 4, True), ("C2", "c", "f", 5, True)], schema)
+    assert {r["hash"]: r["duplicate_of"] for r in stored_duplicates(new, both).collect()} == {"A2": "B1", "B2": "A1", "C2": "A1"}
+
+
+def test_stored_duplicates_equal_sequential(spark):
+    rnd = random.Random(11)
+    old = [(f"o{i}", rnd.choice("abc"), rnd.choice("klmnop"), i, rnd.random() < 0.7) for i in range(25)]
+    new = [(f"n{i}", rnd.choice("abcd"), rnd.choice("klmnopqr"), 100 + i, True) for i in range(80)]
+    alive, want = [r for r in old if r[4]], {}
+    for r in new:
+        stored = [x for x in alive if x[2] == r[2]]
+        first = next((x for x in stored if x[1] != r[1]), None)
+        want[r[0]] = first[0] if first else None
+        if first is None:
+            alive.append(r)
+    schema = "hash string, source string, fuzzy_hash string, first_seen_at int, is_active boolean"
+    got = stored_duplicates(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema))
+    assert {r["hash"]: r["duplicate_of"] for r in got.collect()} == want
 
 
 def test_every_pair_alike_in_blocks(spark):
@@ -201,22 +227,28 @@ def test_saved_searches_equal_brute_force(spark):
     rnd = random.Random(4)
     now = datetime(2024, 1, 31)
     pick = lambda *v: rnd.choice((None, *v))
-    jobs = [(str(i), pick("a", "b"), pick("ZH", "BE"), pick("de", "en"), now - timedelta(days=rnd.randint(0, 9))) for i in range(200)]
+    jobs = [(str(i), pick("a", "b", "c"), pick("ZH", "BE"), pick("de", "en"), pick(True, False), now - timedelta(days=rnd.randint(0, 9)), rnd.random() < 0.8, pick("x") if rnd.random() < 0.2 else None) for i in range(300)]
     searches = []
-    for i in range(30):
-        asked = {"source": pick("a", "b"), "canton": pick("ZH"), "language": pick("de", "fr")}
-        searches.append((i, {k: v for k, v in asked.items() if v}, None if i % 4 == 0 else now - timedelta(days=rnd.randint(1, 8)), "daily"))
-    j = spark.createDataFrame(jobs, "hash string, source string, canton string, language string, first_seen_at timestamp")
-    s = spark.createDataFrame(searches, "id int, filters map<string,string>, last_run_at timestamp, notify_frequency string")
-    found = {tuple(r) for r in watchlist.run_saved_searches(s, j, F.lit(now)).collect()}
+    for i in range(80):
+        asked = {"source": pick("a", "b, c", " ,a", " , "), "canton": pick("zh", "be,zh"), "language": pick("de", "fr", ""), "remote_only": pick("true", "false", "")}
+        searches.append((i, {k: v for k, v in asked.items() if v is not None} if i % 9 else None, None if i % 4 == 0 else now - timedelta(days=rnd.randint(0, 8)), rnd.choice(["realtime", "daily", "weekly", "instant"]), i % 7 != 0))
+    j = spark.createDataFrame(jobs, "hash string, source string, canton string, language string, remote boolean, last_seen_at timestamp, is_active boolean, duplicate_of string")
+    s = spark.createDataFrame(searches, "id int, filters map<string,string>, last_run_at timestamp, notify_frequency string, is_active boolean")
+    found = [tuple(r) for r in watchlist.run_saved_searches(s, j, F.lit(now)).collect()]
     want = set()
-    for i, asked, ran, _ in searches:
-        for h, source, canton, language, seen in jobs:
-            has = {"source": source, "canton": canton, "language": language}
-            if (ran is None or seen > ran) and all(has[k] == v for k, v in asked.items()):
+    wait = {"realtime": 300, "daily": 86_400, "weekly": 604_800}
+    for i, f, ran, kind, active in searches:
+        f = f or {}
+        if not active or (ran is not None and (kind not in wait or (now - ran).total_seconds() < wait[kind])):
+            continue
+        listed = lambda k: [x.strip() for x in f.get(k, "").split(",") if x.strip()]  # noqa: E731, B023
+        for h, source, canton, language, remote, seen, shown, copy in jobs:
+            ok = shown and copy is None and (ran is None or seen >= ran)
+            ok = ok and (not listed("source") or source in listed("source")) and (not listed("canton") or canton in [x.upper() for x in listed("canton")])
+            if ok and (not f.get("language") or language == f["language"]) and (f.get("remote_only") != "true" or remote is True):
                 want.add((i, h))
-    assert found == want and want
-    assert watchlist.run_saved_searches(s.limit(0), j, F.lit(now)).count() == 0
+    assert set(found) == want and len(found) == len(want) and want
+    assert watchlist.run_saved_searches(s.limit(0), j, F.lit(now)).count() == 0 and watchlist.run_saved_searches(s, j.limit(0), F.lit(now)).count() == 0
 
 
 def test_embedded_awkward(spark):
