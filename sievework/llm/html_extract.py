@@ -7,7 +7,8 @@ the page by a Gaussian, and the lines are clustered in two around a threshold
 that is moved to the middle of both clusters' means until it rests. The content
 cluster votes, by its characters, for the innermost element that holds at least
 `cover` of them, nearly all; lines of <article> vote alone only when they hold
-most of the cluster, those of <main> from a quarter of it on. A container that holds text but no blocks is a
+more of the cluster than what is in neither an article nor a thread (siblings of one
+kind, such as comments), those of <main> from a quarter of it on. A container that holds text but no blocks is a
 paragraph by another name, so the region is what holds it, and the region grows
 to its parents as long as that adds lines of the cluster or other prose. Every line of the region
 is content, so that a one-word paragraph between long ones stays. Lines under
@@ -56,6 +57,9 @@ BESIDES = frozenset("comment comments commentlist respond reply replies disqus c
 #: Beginnings and ends of class names that tell of a page's layout: no-sidebar.
 LAYOUT = re.compile(r"(no|non|not|has|have|with|without)[-_]|.*[-_](enabled|disabled)$", re.I)
 ARTICLE_TAGS = frozenset(("article", "main"))
+#: Elements that threads and listings are made of, and how many of one kind and place
+#: make one; div and section count where they have a class.
+REPEATED, THREAD = frozenset("li article tr dd".split()), 3
 #: Elements that can be a content region.
 CONTAINERS = frozenset("article main section div body html td center".split())
 #: Elements whose end tag may be missing, and the tags that end them.
@@ -82,9 +86,10 @@ class _Node:
     doubt the outermost suspect of the inline elements between.
     """
 
-    __slots__ = ("tag", "parent", "furniture", "suspect", "chars", "article", "main", "block", "doubt")
+    __slots__ = ("tag", "parent", "furniture", "suspect", "chars", "article", "main", "block", "doubt", "kind")
 
-    def __init__(self, tag, parent, furniture, suspect, article):
+    def __init__(self, tag, parent, furniture, suspect, article, kind=None):
+        self.kind = kind  # tag and class, of blocks that pages repeat
         self.tag, self.parent, self.furniture, self.suspect, self.article = tag, parent, furniture, suspect, article
         self.chars = 0
         self.main = tag == "main" or (parent is not None and parent.main)
@@ -111,9 +116,9 @@ def _is_furniture(tag: str, attrs: list, in_article: bool) -> bool:
 
 
 def _suspicion(tag: str, attrs: list) -> int:
-    """3 for a class name or id that is a word of BESIDES, 2 for one that has such a
-    word in it or is another furniture word, 1 for one that only has another one in
-    it, and for forms."""
+    """3 for a class name or id that is a word of BESIDES or, but for articles, has one
+    in it; 2 for one that is another furniture word; 1 for one that only has another
+    one in it, and for forms."""
     if tag in ("html", "body", "main"):
         return 0
     most = 1 if tag == "form" else 0
@@ -132,7 +137,7 @@ def _suspicion(tag: str, attrs: list) -> int:
                 words = {w.lower() for w in _WORDS.findall(token)}
                 # Articles are often named after their tags and categories.
                 if words & BESIDES:
-                    most = 2
+                    most = max(most, 2 if tag == "article" else 3)
                 elif words & FURNITURE_WORDS and tag != "article":
                     most = max(most, 1)
     return most
@@ -145,13 +150,24 @@ def _settle(lines: list[tuple[str, int, _Node]], nodes: list[_Node]) -> None:
     the page's prose (long blocks and all text of articles) and what stays outside of it, in no suspect, is less than a
     quarter of its own prose without that of suspects inside it. Slight suspects
     are judged first, without the text of graver ones; those are judged only if no
-    prose is clear without them. nodes are in page order, parents first.
+    prose is clear without them. The gravest, such as reader comments, are furniture
+    even on a page without other text, unless one article, itself no suspect, is in
+    them. nodes are in page order, parents first.
     """
     holds = set()
     for x in reversed(nodes):
         if id(x) in holds or (x.tag == "main" and not x.furniture):
             x.suspect = 0
             holds.add(id(x.parent))
+    if any(x.suspect == 3 for x in nodes):
+        inside: dict[int, int] = {}  # articles below a node
+        for x in reversed(nodes):
+            own = 1 if x.tag == "article" and not x.suspect and not x.furniture else inside.get(id(x), 0)
+            if x.suspect == 3 and own != 1:
+                x.furniture = True
+            inside[id(x.parent)] = inside.get(id(x.parent), 0) + own
+        for x in nodes:
+            x.furniture = x.furniture or x.parent.furniture
     if any(x.suspect for x in nodes):
         articles: dict[int, bool] = {}
         for x in nodes:
@@ -259,7 +275,8 @@ class _Lines(HTMLParser):
         # Inline elements need no node, unless they hide something or lie in one that may.
         if tag in INLINE and not furniture and not suspect and not (self.open.get(tag) and self.at.tag in INLINE):
             return
-        self.at = _Node(tag, self.at, self.at.furniture or furniture, suspect, self.at.article or tag in ARTICLE_TAGS)
+        kind = (tag, dict(attrs).get("class")) if tag in REPEATED or tag in ("div", "section") and dict(attrs).get("class") else None
+        self.at = _Node(tag, self.at, self.at.furniture or furniture, suspect, self.at.article or tag in ARTICLE_TAGS, kind)
         self.nodes.append(self.at)
         self.open[tag] = self.open.get(tag, 0) + 1
 
@@ -302,6 +319,19 @@ class _Lines(HTMLParser):
         self.text.append((data, self.at))
 
 
+def _threads(nodes: list[_Node]) -> dict[int, bool]:
+    """Whether a node lies in one of several siblings of one tag and class."""
+    alike: dict[tuple, int] = {}
+    for x in nodes:
+        if x.kind is not None:
+            key = (id(x.parent), x.kind)
+            alike[key] = alike.get(key, 0) + 1
+    found: dict[int, bool] = {}
+    for x in nodes:
+        found[id(x)] = found.get(id(x.parent), False) or (x.kind is not None and alike[id(x.parent), x.kind] >= THREAD)
+    return found
+
+
 def _smoothed(values: list[float], sigma: float) -> list[float]:
     reach = max(1, math.ceil(3 * sigma))
     weights = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
@@ -348,13 +378,17 @@ def content_lines(html: str, sigma: float = SIGMA, cover: float = COVER) -> list
     clear = [(t, node) for (t, _, node) in lines if t and not node.furniture]
     clear_prose = [(t, node, math.log1p(s) > limit or len(t) >= PROSE * max(1, tags)) for (t, tags, node), s in zip(lines, smooth) if t and not node.furniture]
     chosen = [(t, node) for (t, _, node), s in zip(lines, smooth) if t and not node.furniture and math.log1p(s) > limit] or clear
-    named = [(t, node) for t, node in chosen if node.article]
+    # Threads beside an article, such as comments by another name, are not weighed
+    # against it, even where their lines push its own below the threshold.
+    named = [(t, node) for t, node in chosen if node.article] or [(t, node) for t, node, prose in clear_prose if (prose or len(t) >= PROSE_LINE) and node.article]
+    threads = _threads(parser.nodes) if named else {}
+    beside = sum(len(t) for t, node in chosen if not node.article and not threads.get(id(node)))
     most = sum(len(t) for t, _ in chosen)
     inner = [(t, node) for t, node in named if node.main]
     if 4 * sum(len(t) for t, _ in inner) >= most:
         voters = inner
     else:
-        voters = named if 2 * sum(len(t) for t, _ in named) > most else chosen
+        voters = named if sum(len(t) for t, _ in named) > beside else chosen
     total = 0
     for t, node in voters:
         total += len(t)
@@ -413,8 +447,8 @@ def extract_text(html: str | None, sigma: float = SIGMA, cover: float = COVER) -
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text", sigma: float = SIGMA, cover: float = COVER) -> DataFrame:
     """Add the main text of every page as out_col.
 
-    Null and empty html give the empty text, as does a page of nothing but elements
-    that are furniture by their tag or role. Pages are independent: one row in, one row out, no shuffle;
+    Null and empty html give the empty text, as does a page of nothing but reader
+    comments or elements that are furniture by their tag or role. Pages are independent: one row in, one row out, no shuffle;
     repeated rows stay repeated and an empty table gives an empty one. The time is
     linear in the page's length, however deep its elements nest. Other columns stay;
     a column already named out_col is replaced.

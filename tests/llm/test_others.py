@@ -345,6 +345,28 @@ def test_html_comment_articles():
     assert extract_text(f"<body><div id=x><p>{text}</p></div><div><article class=comment><p>{more}</p></article></div></body>") == text
 
 
+def test_html_comments_are_never_the_article():
+    more = " ".join(f"Sentence {k} of a reader." for k in range(30))
+    for name in ("comment-section", "comments", "userReplies", "disqus_thread comments-open"):
+        assert extract_text(f"<body><div class='{name}'><p>{more}</p></div></body>") == ""
+        assert extract_text(f"<body><div class='{name}'><article>{more}</article><article>{more}</article></div></body>") == ""
+        assert extract_text(f"<body><h1>Head</h1><div class='{name}'><p>{more}</p></div></body>") == "Head"
+    text = " ".join(f"Sentence {k} of the author." for k in range(20))
+    assert extract_text(f"<body><div class='related-layout'><article><p>{text}</p><p>Un.</p></article></div></body>") == f"{text} Un."
+    assert extract_text(f"<body><article class='post comment-open'><p>{text}</p><p>Un.</p></article></body>") == f"{text} Un."
+
+
+def test_html_thread_beside_an_article():
+    short = [f"Paragraph {k} of the article, which is a short one." for k in range(5)]
+    article, words = "".join(f"<p>{p}</p>" for p in short), " ".join(f"Sentence {k} of a thread." for k in range(7))
+    for one in ("<li class=c>{}</li>", "<li>{}</li>", "<div class=c><p>{}</p></div>"):
+        for around in ("<ol class='thread'>{}</ol>", "<section><h2>Answers</h2>{}</section>"):
+            page = f"<body><article>{article}</article>{around.format(''.join(one.format(words) for _ in range(9)))}</body>"
+            assert extract_text(page) == " ".join(short), one
+    lists = "".join(f"<li>{words}</li>" for _ in range(6))
+    assert words in extract_text(f"<body><article><p>{short[0]}</p><ul>{lists}</ul></article></body>")
+
+
 @pytest.mark.parametrize("opened", ["<div>", "<div class=sidebar>", "<main>", "<span class=notice>"])
 def test_html_unclosed_nesting_is_linear(opened):
     def seconds(n):
