@@ -6,6 +6,10 @@ item leaks if at least `overlap` of its five-word shingles are in one passage, o
 much of its question and of its answer (its last sentence): of the one with the
 higher score in one passage, of the other anywhere in the same document.
 
+Fewer than five words are no evidence, since any text may hold them. So an item of
+fewer words leaks only into a text of just these words, and question and answer count
+apart from each other only if the one that retrieves has five words or more.
+
 The retrieval threshold is no constant: an overlap leaves only so many shingles
 uncovered, a word that is missing leaves all over its places uncovered, and so the
 BM25 score of an item that leaks can be bounded from below (see _least_share). Impacts are
@@ -30,6 +34,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import unicodedata
 import uuid
 from bisect import bisect_left
 from collections import Counter
@@ -50,14 +55,20 @@ REST = 0.9
 PART_BYTES = 8 << 20
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _CLEAN = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
+#: Unicode's punctuation and spaces beyond ASCII: curly quotes, dashes, guillemets.
+_BEYOND = re.compile("[" + "".join(chr(c) for c in range(128, 0x110000) if unicodedata.category(chr(c))[0] in "PZ") + "]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 LEAK = "array<struct<item_id:bigint,score:double,overlap:double,question_overlap:double,answer_overlap:double>>"
 _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words; ASCII punctuation separates."""
-    return (text or "").lower().encode().translate(_CLEAN).split()
+    """Lower-cased words; punctuation and spaces of Unicode, and the symbols of ASCII,
+    separate."""
+    low = (text or "").lower()
+    if not low.isascii():
+        low = _BEYOND.sub(" ", low)
+    return low.encode().translate(_CLEAN).split()
 
 
 def shingles(words: list[bytes], size: int = SHINGLE) -> set[bytes]:
@@ -124,6 +135,13 @@ class ItemIndex:
         if figures is None:
             figures = len(words), sum(map(len, words)), max(map(len, words), default=0), Counter(t for w in words for t in set(w))
         count, length, self.window, freq = figures
+        #: Items of fewer words than a shingle, by their words.
+        self.tiny: dict[tuple[bytes, ...], list[int | None]] = {}
+        for i, w in zip(self.ids, words):
+            if len(w) < SHINGLE:
+                self.tiny.setdefault(tuple(w), []).append(i)
+        large = [k for k, w in enumerate(words) if len(w) >= SHINGLE]
+        items, words, self.ids = [items[k] for k in large], [words[k] for k in large], [self.ids[k] for k in large]
         self.size = block_items
         mean = length / max(1, count)
         impacts: list[dict[bytes, float]] = []
@@ -139,9 +157,11 @@ class ItemIndex:
             need = _least_share(w, own, overlap)
             parts = [(_least_share(x, own, overlap), x) for x in (question, answer) if x]
             parts.sort(key=lambda x: -x[0])  # the part with the larger score retrieves
-            need = min(need, parts[0][0])
+            apart = len(parts[0][1]) >= SHINGLE
+            if apart:
+                need = min(need, parts[0][0])
             self.need.append(need)
-            self.grams.append((shingles(w), shingles(question), shingles(answer), parts[0][1] is answer))
+            self.grams.append((shingles(w), shingles(question), shingles(answer), parts[0][1] is answer, apart))
             impacts.append({t: v / need * (1 + 1e-9) for t, v in own.items()})
         rest = [0.0] * len(words)
         holders: dict[bytes, list[int]] = {}
@@ -215,7 +235,10 @@ class ItemIndex:
     def leaks(self, text: str | None) -> list[dict]:
         """The items that a text leaks, each with its best passage's figures."""
         words = words_of(text)
-        if not words or not self.ids:
+        if len(words) < SHINGLE:
+            same = self.tiny.get(tuple(words), ())
+            return [{"item_id": i, "score": 1.0, "overlap": 1.0, "question_overlap": 1.0, "answer_overlap": 1.0} for i in same]
+        if not self.ids:
             return []
         essential, step = self.essential, self.window
         buckets: dict[int, set[bytes]] = {}
@@ -228,9 +251,9 @@ class ItemIndex:
             passage = words[p * step : (p + 2) * step]
             pools: dict[int, set[bytes]] = {}
             for k, score in self.retrieved(set(passage), buckets.get(p, set()) | buckets.get(p + 1, set())):
-                item, question, answer, by_answer = self.grams[k]
+                item, question, answer, by_answer, apart = self.grams[k]
                 parts = [self._overlap(item, passage, pools), self._overlap(answer if by_answer else question, passage, pools)]
-                if max(parts) < self.overlap:
+                if max(parts[: 1 + apart]) < self.overlap:
                     continue
                 parts.append(self._overlap(question if by_answer else answer, words, whole))
                 if parts[0] < self.overlap and parts[2] < self.overlap and answer:
@@ -254,7 +277,8 @@ class ItemIndex:
 def add_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", out_col: str = "leaks", overlap: float = OVERLAP, part_bytes: int = PART_BYTES) -> DataFrame:
     """Add the array of items that each whole text leaks (out_col).
 
-    Null and empty texts, and items without words, leak nothing. Every distinct text
+    Null and empty texts, and items without words, leak nothing. Items of fewer than
+    five words leak only into texts of just these words. Every distinct text
     of an item_id, null ids included, is an item of its own, reported under that
     item_id. Rows are independent and stay, repeated ones too; other columns stay,
     but one already named out_col is replaced. An empty benchmark gives empty
@@ -296,15 +320,25 @@ def _item_words():
     return measured
 
 
+#: The index that a worker holds, by the key of its search.
+_HELD: dict[str, ItemIndex] = {}
+
+
+def held_index(key: str, packed) -> ItemIndex:
+    """The broadcast index, unpacked once for a worker, which goes from task to task."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = pickle.loads(packed.value)
+    return _HELD[key]
+
+
 def _leak_column(docs: DataFrame, index: ItemIndex):
-    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(index))
-    held: list[ItemIndex] = []
+    packed, key = docs.sparkSession.sparkContext.broadcast(pickle.dumps(index)), uuid.uuid4().hex
 
     @F.arrow_udf(LEAK)
     def leaks(texts: pa.Array) -> pa.Array:
-        if not held:
-            held.append(pickle.loads(packed.value))
-        return pa.array((held[0].leaks(t.as_py()) for t in texts), _LEAK)
+        held = held_index(key, packed)
+        return pa.array((held.leaks(t.as_py()) for t in texts), _LEAK)
 
     return leaks
 

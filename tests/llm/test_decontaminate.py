@@ -14,11 +14,15 @@ def leaked(index, items, text, overlap=0.8):
     """Item ids by the definition, without scores."""
     words, step, found = words_of(text), index.window, []
     passages = [words[p : p + 2 * step] for p in range(0, len(words), step)]
-    for k, (i, t) in enumerate(sorted(items)):
+    for i, t in sorted(items):
         question, answer = (words_of(x) for x in question_and_answer(t))
-        large, small = (answer, question) if index.grams[k][3] else (question, answer)
+        if len(words_of(t)) < 5:
+            if words_of(t) == words:
+                found.append(i)
+            continue
+        large, small = (answer, question) if index.grams[index.ids.index(i)][3] else (question, answer)
         whole = any(share(shingles(words_of(t)), p) >= overlap for p in passages)
-        apart = any(share(shingles(large), p) >= overlap for p in passages) and (not small or share(shingles(small), words) >= overlap)
+        apart = len(large) >= 5 and any(share(shingles(large), p) >= overlap for p in passages) and (not small or share(shingles(small), words) >= overlap)
         if whole or apart:
             found.append(i)
     return found
@@ -72,3 +76,22 @@ def test_leaks_keep_columns(spark):
         assert got.columns == docs.columns
         assert sorted((r["doc_id"] or 0, r["_found"], [x["item_id"] for x in r["leaks"]]) for r in got.collect()) == [(0, 8, []), (5, 7, [1]), (5, 7, [1]), (6, 9, [])]
         assert add_leaks(docs.limit(0), items, part_bytes=size).count() == 0
+
+
+def test_tiny_items_are_no_evidence():
+    items = [(1, "Yes."), (2, "Yes"), (3, "What is it? A dog."), (4, "What is it that the old man keeps? A dog."), (5, "A small dog. A big one.")]
+    index = ItemIndex(items)
+    assert index.leaks("Well, yes, this is so, and it was so before.") == [] and [h["item_id"] for h in index.leaks("YES!")] == [1, 2]
+    filler = " ".join(f"f{k}" for k in range(90))
+    assert index.leaks(f"What is it? {filler} A dog.") == []
+    assert [h["item_id"] for h in index.leaks(f"{filler} What is it? A dog.")] == [3]
+    assert [h["item_id"] for h in index.leaks(f"What is it that the old man keeps? {filler} a dog")] == [4]
+    assert index.leaks(f"A small dog. {filler} A big one.") == [] and [h["item_id"] for h in index.leaks("x A small dog! A big one y")] == [5]
+
+
+def test_punctuation_of_unicode():
+    item = 'What is the "capital" of the island - the new one\'s capital?'
+    index = ItemIndex([(1, item), *((k, f"other item number {k} of the benchmark") for k in range(2, 40))])
+    for text in (item, "What is the \u201ccapital\u201d of the island \u2014 the new one\u2019s capital?", "\u00abWhat is the\u00a0capital of the island, the new one\u2018s capital\u2026\u00bb"):
+        assert [h["item_id"] for h in index.leaks(f"So {text} Indeed.")] == [1]
+    assert words_of("\u00bfQu\u00e9\u3000es\u30fb\u201ea\u201c?") == [w.encode() for w in ("qu\u00e9", "es", "a")]
