@@ -33,17 +33,18 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Byte strings up to this length are leaves of the encoding tree, id lists up to
-#: this length those of the decoding tree.
-LEAF_BYTES, LEAF_IDS = 4, 1024
+#: Byte strings up to this length are leaves of the encoding tree (merging one takes
+#: less time than joining its halves), id lists up to this length those of the
+#: decoding tree.
+LEAF_BYTES, LEAF_IDS = 12, 1024
 #: Matches kept by a worker, and the longest one kept.
 MEMO_MATCHES = 400_000
 MEMO_CHARS = 64
 #: Merged windows kept by a worker, and the longest one kept.
 MEMO_WINDOWS = 300_000
 MEMO_WINDOW_BYTES = 32
-#: Longest half of a match that is kept.
-MEMO_HALF_BYTES = 6
+#: Windows that leave fewer tokens outside than this are widened to everything.
+NEAR = 2
 #: Byte strings up to this length are merged by scans, longer ones by a heap.
 SHORT = 64
 #: Above every rank.
@@ -137,34 +138,33 @@ class ByteCodec:
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """The monoid's operation: the encoding of two byte strings one after the
         other, from their encodings."""
-        if not left or not right:
+        n, m = len(left), len(right)
+        if not n or not m:
             return left or right
         i = j = 1
         while True:
-            some = left[-i:] + right[:j]
+            if i + j + NEAR > n + m:  # next to everything: windows short of it mostly fail
+                i, j = n, m
+            some = left[n - i :] + right[:j]
             data = b"".join([self.shown[t] for t in some])
-            # A window over everything is a string that does not repeat.
-            window = self._window(data) if len(some) < len(left) + len(right) else self.merged(data)
-            left_open = i < len(left) and window[0] != left[-i]
-            right_open = j < len(right) and window[-1] != right[j - 1]
+            if i == n and j == m:
+                return self.merged(data)
+            window = self._window(data)
+            left_open = i < n and window[0] != left[n - i]
+            right_open = j < m and window[-1] != right[j - 1]
             if not left_open and not right_open:
-                return left[:-i] + window + right[j:]
+                return left[: n - i] + window + right[j:]
             if left_open:
-                i = min(2 * i, len(left))
+                i = min(2 * i, n)
             if right_open:
-                j = min(2 * j, len(right))
+                j = min(2 * j, m)
 
     def reduced(self, data: bytes) -> list[int]:
-        """Encode halves, join them. Short halves repeat, and are kept with the windows."""
+        """Encode halves, join them."""
         if len(data) <= self.leaf_bytes:
-            return self._window(data)
-        found = self.windows.get(data)
-        if found is None:
-            half = len(data) // 2
-            found = self.joined(self.reduced(data[:half]), self.reduced(data[half:]))
-            if len(data) <= MEMO_HALF_BYTES:
-                self.windows[data] = found
-        return found
+            return self.merged(data)
+        half = len(data) // 2
+        return self.joined(self.reduced(data[:half]), self.reduced(data[half:]))
 
     def _packed(self, match: str) -> bytes:
         packed = self.memo.get(match) or self.older.get(match)
