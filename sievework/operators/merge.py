@@ -76,7 +76,7 @@ def set_application_status(apps: DataFrame, changes: DataFrame, now: Column) ->
 
 
 def latest_feedback(events: DataFrame, key: list[str], value: str, ts: str, tie: str) -> DataFrame:
-    """The last event of each key wins."""
+    """The last event of each key wins; one without a value clears the feedback."""
     return events.groupBy(*key).agg(F.max_by(value, F.struct(ts, tie)).alias("feedback"), F.max(ts).alias("feedback_at"))
 
 

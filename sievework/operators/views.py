@@ -35,13 +35,18 @@ def query_matches(df: DataFrame, query: str, columns: list[str], blocked: list[s
     return df.where(hit) if query or blocked else df
 
 
-def match_cards(matches: DataFrame, jobs: DataFrame, schools: DataFrame | None = None, least: float = 0.0) -> DataFrame:
-    """Matches with their posting and, where one is named, its school, best first.
-    An inner join: a match whose posting is gone has no card."""
+def match_cards(matches: DataFrame, jobs: DataFrame, schools: DataFrame | None = None, least: float = 0.0, most: int | None = None) -> DataFrame:
+    """Matches with their posting and, where one is named, its school, best first. With
+    `most`, that many cards and their place in the order. An inner join: a match whose
+    posting is gone has no card."""
     out = matches.where(F.col("score_final") >= least).join(jobs, "job_hash")
     if schools is not None:
         out = out.join(schools, "school_id", "left")
-    return out.orderBy(F.desc("score_final"), F.desc("score_embedding"), "job_hash")
+    order = [F.desc("score_final"), F.desc("score_embedding"), F.asc("job_hash")]
+    if most is None:
+        return out.orderBy(*order)
+    # The window's one partition holds `most` rows, taken before it.
+    return out.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
 def by_urgency(df: DataFrame, key: str, most: int | None = None) -> DataFrame:

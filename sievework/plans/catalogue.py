@@ -646,12 +646,12 @@ def user_digest(spark, sf_dir):
 
 @_query("""
 WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS tag, generate_subscripts(string_split(p_name, ' '), 1) AS pos FROM part),
-d AS (SELECT * FROM (VALUES ('widget', 'A'), ('red', 'B'), ('ring', 'C')) x(tag, tier))
+d AS (SELECT split_part(p_name, ' ', 1 + p_partkey % 2) AS tag, min(p_type) AS tier FROM part WHERE p_size >= 48 GROUP BY 1)
 SELECT p_partkey, arg_min(tag, pos) AS tag, arg_min(tier, pos) AS tier FROM t JOIN d USING (tag) GROUP BY p_partkey
 """)
 def dimension_lookup(spark, sf_dir):
-    dim = spark.createDataFrame([("widget", "A"), ("red", "B"), ("ring", "C")], "tag string, tier string")
     part = _read(spark, sf_dir, "part").withColumn("tags", F.split("p_name", " "))
+    dim = part.where("p_size >= 48").groupBy(F.col("tags")[(F.col("p_partkey") % 2).cast("int")].alias("tag")).agg(F.min("p_type").alias("tier"))
     return watchlist.first_dimension(part, "p_partkey", "tags", dim, "tag")
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions import enrich as E
+from ..functions import score as S
 from ..functions import tables as W
 from ..functions import text as X
-from ..operators import ask_once, models, patterns, user_filters, watchlist
-from .registry import moment, query, read
+from ..operators import ask_once, merge, models, patterns, user_filters, views, watchlist
+from ..sources import sinks
+from .registry import events, moment, query, read
 
 # --- filters of many users ---------------------------------------------------------
 
@@ -257,3 +260,83 @@ def cv_terms(spark, sf_dir):
     more = F.when(F.col("doc_id") % 3 == 0, " scrumptious Scrum; English, ENGLISH, JLPT. CRM").when(F.col("doc_id") % 3 == 1, " (Customer Success)/PMP").otherwise("")
     text = F.concat_ws(" ", "source", "lang", more)
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(X.regex_terms(text, W.CV_PATTERNS), "|").alias("terms"))
+
+
+# --- calendars, mails, letters, cards ----------------------------------------------
+
+
+@query(r"""
+SELECT o_orderkey, 'BEGIN:VCALENDAR' || x || 'VERSION:2.0' || x || 'PRODID:-//own//EN' || x || 'CALSCALE:GREGORIAN' || x || 'METHOD:PUBLISH' || x
+  || 'BEGIN:VEVENT' || x || 'UID:apply-' || o_orderkey || '@own' || x || 'DTSTAMP:20010801T000000Z' || x || 'DTSTART:' || strftime(o_orderdate + INTERVAL 2 DAY, '%Y%m%dT%H%M%SZ') || x
+  || 'DTEND:' || strftime(o_orderdate + INTERVAL 2 DAY + INTERVAL 30 MINUTE, '%Y%m%dT%H%M%SZ') || x || 'SUMMARY:Apply — ' || o_orderstatus || '\, Inc' || x || 'DESCRIPTION:Job: ' || o_orderpriority || x || 'URL:/o/' || o_orderkey || x || 'END:VEVENT' || x
+  || 'BEGIN:VEVENT' || x || 'UID:followup-' || o_orderkey || '@own' || x || 'DTSTAMP:20010801T000000Z' || x || 'DTSTART:' || strftime(o_orderdate + INTERVAL 14 DAY, '%Y%m%dT%H%M%SZ') || x
+  || 'DTEND:' || strftime(o_orderdate + INTERVAL 14 DAY + INTERVAL 30 MINUTE, '%Y%m%dT%H%M%SZ') || x || 'SUMMARY:Follow up — ' || o_orderstatus || '\, Inc' || x || 'DESCRIPTION:Any answer? Job: ' || o_orderpriority || x || 'URL:/o/' || o_orderkey || x || 'END:VEVENT' || x
+  || 'END:VCALENDAR' || x AS value FROM orders, (SELECT chr(13) || chr(10) AS x)
+""")
+def application_calendars(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("created"), F.concat("o_orderstatus", F.lit(", Inc")).alias("place"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("/o/"), "o_orderkey").alias("url")
+    )
+    events = sinks.application_events(o, "o_orderkey", "created", "place", "title", "url", "Apply", "Follow up", "Any answer?")
+    return sinks.calendar_files(events, "o_orderkey", moment(), "-//own//EN", "own")
+
+
+@query("""
+WITH j AS (SELECT p_size AS user_id, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS company, CASE WHEN p_partkey % 4 > 0 THEN p_type END AS canton, CASE WHEN p_partkey % 8 > 0 THEN 'at <' || p_name || '>' END AS location, '/p?a&b=' || p_partkey AS url, p_name FROM part),
+t AS (SELECT *, coalesce(nullif(company, ''), '—') AS c, coalesce(canton, location, '—') AS l FROM j)
+SELECT user_id, count(*) AS n, CASE count(*) WHEN 1 THEN 'One new posting' ELSE count(*) || ' new postings' END AS subject,
+  'New:' || chr(10) || chr(10) || string_agg('- ' || p_name || ' · ' || c || ' · ' || l || chr(10) || '  ' || url, chr(10) ORDER BY p_partkey) AS text,
+  '<p>New:</p><ul>' || string_agg('<li><strong>' || p_name || '</strong> — ' || c || ' (' || replace(replace(l, '<', '&lt;'), '>', '&gt;') || ')<br><a href="' || replace(url, '&', '&amp;') || '">' || replace(url, '&', '&amp;') || '</a></li>', '' ORDER BY p_partkey) || '</ul>' AS html
+FROM t GROUP BY user_id
+""")
+def alert_mails(spark, sf_dir):
+    key = F.col("p_partkey")
+    jobs = read(spark, sf_dir, "part").select(
+        F.col("p_size").alias("user_id"), "p_partkey", F.col("p_name").alias("title"), F.when(key % 3 == 0, "").otherwise(F.col("p_brand")).alias("company"), F.when(key % 4 > 0, F.col("p_type")).alias("canton"),
+        F.when(key % 8 > 0, F.concat(F.lit("at <"), "p_name", F.lit(">"))).alias("location"), F.concat(F.lit("/p?a&b="), key).alias("url"),
+    )
+    return sinks.alert_mails(jobs, "user_id", "New:", "One new posting", "{n} new postings", ["p_partkey"])
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'To all there' ELSE 'Dear ' || c_name END || ',' || chr(10) || 'I apply for {this} at ' || n_name || ' (' || n_name || ').' AS letter
+FROM customer JOIN nation ON n_nationkey = c_nationkey
+""")
+def letter_templates(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    hello = F.when(F.col("c_custkey") % 3 == 0, "To all there").otherwise(F.concat(F.lit("Dear "), "c_name"))
+    letter = X.filled("{hello},\nI apply for {title} at {school} ({school}).", {"hello": hello, "title": F.lit("{this}"), "school": F.col("n_name")})
+    return c.select("c_custkey", letter.alias("letter"))
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY floor(o_totalprice / 50000) DESC, o_orderkey % 10 DESC, o_orderkey) AS place, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey QUALIFY place <= 300
+""")
+def match_order(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_hash"), "o_custkey", F.floor(F.col("o_totalprice") / 50_000).cast("double").alias("score_final"), (F.col("o_orderkey") % 10).cast("double").alias("score_embedding"))
+    jobs = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("job_hash"), "c_name")
+    return views.match_cards(o, jobs, most=300).select(F.col("place").cast("long").alias("place"), F.col("job_hash").alias("o_orderkey"))
+
+
+@query("""
+SELECT user_id, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS feedback, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+""")
+def feedback_cleared(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("event_type", F.nullif("event_type", F.lit("error")))
+    return merge.latest_feedback(e, ["user_id"], "event_type", "ts", "event_id").select("user_id", "feedback", F.date_format("feedback_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("""
+WITH f AS (SELECT p_partkey, p_size / 97.0::DOUBLE AS e, (p_partkey % 11) / 13.0::DOUBLE AS r, CASE WHEN p_partkey % 5 = 0 THEN (p_partkey % 100)::DOUBLE ELSE (p_partkey % 100) / 100.0::DOUBLE END AS l,
+    CASE WHEN p_partkey % 2 = 0 THEN 0.6::DOUBLE ELSE 0.35::DOUBLE END AS we, CASE WHEN p_partkey % 3 = 0 THEN 0::DOUBLE ELSE 0.15::DOUBLE END AS wr FROM part),
+s AS (SELECT p_partkey, round_even((we * e + 0.15::DOUBLE * 0.5 + 0.1::DOUBLE * 0.25 + wr * r + 0.15::DOUBLE * CASE WHEN l > 1 THEN l / 100 ELSE l END + 0.1::DOUBLE * 0.5) * 100, 1) AS score FROM f)
+SELECT p_partkey, score, CASE WHEN p_partkey % 7 = 0 AND p_partkey % 2 = 0 THEN 1 WHEN p_partkey % 13 = 0 THEN 0.15 WHEN p_partkey % 13 = 1 THEN 1 ELSE 0.55 END::DOUBLE AS times FROM s
+""")
+def weighted_scores(spark, sf_dir):
+    key = F.col("p_partkey")
+    pairs = [F.when(key % 2 == 0, F.struct(F.lit("embedding").alias("k"), F.lit(0.6).alias("v"))), F.when(key % 3 == 0, F.struct(F.lit("recency").alias("k"), F.lit(0.0).alias("v")))]
+    weights = F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull()))
+    llm = F.when(key % 5 == 0, (key % 100).cast("double")).otherwise((key % 100) / 100.0)
+    parts = {"embedding": F.col("p_size") / 97.0, "salary": F.lit(0.5), "location": F.lit(0.25), "recency": (key % 11) / 13.0, "llm": llm}
+    times = E.category_times(F.when(key % 13 == 0, "H").when(key % 13 == 1, "A"), F.when(key % 7 == 0, "listed_x").otherwise("board"), key % 2 == 0, "listed_")
+    return read(spark, sf_dir, "part").select("p_partkey", S.final_score(parts, weights).alias("score"), times.alias("times"))

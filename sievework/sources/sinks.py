@@ -39,6 +39,53 @@ def calendar(entries: DataFrame, uid: str, start: str, summary: str) -> DataFram
     return entries.select(F.concat_ws("\r\n", *lines).alias("value"))
 
 
+def application_events(matches: DataFrame, key: str, created: str, place: str, title: str, url: str, apply_text: str, follow_text: str, check_text: str) -> DataFrame:
+    """Two calendar events for each match: apply two days after it was made, follow up
+    after fourteen. Texts are parameters."""
+    days = lambda n: F.col(created) + F.make_interval(days=F.lit(n))
+    job = F.concat(F.lit("Job: "), F.col(title))
+    both = [("apply", apply_text, 2, job), ("followup", follow_text, 14, F.concat(F.lit(check_text), F.lit(" "), job))]
+    events = F.array(
+        *[F.struct(F.concat(F.lit(f"{kind}-"), F.col(key)).alias("uid"), F.concat(F.lit(text), F.lit(" — "), F.col(place)).alias("summary"), days(n).alias("start"), about.alias("description")) for kind, text, n, about in both]
+    )
+    return matches.select(F.col(key), F.coalesce(F.col(url), F.lit("")).alias("url"), F.explode(events).alias("e")).select(key, "e.*", "url")
+
+
+def calendar_files(events: DataFrame, group: str, now: Column, producer: str, domain: str, minutes: int = 30) -> DataFrame:
+    """(group, value): one iCalendar file for each group, events by start and uid.
+    events(group, uid, summary, start, description, url), moments in UTC."""
+    stamp = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss'Z'")
+    lines = [
+        F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("uid"), F.lit(f"@{domain}")), F.concat(F.lit("DTSTAMP:"), stamp(now)), F.concat(F.lit("DTSTART:"), stamp(F.col("start"))),
+        F.concat(F.lit("DTEND:"), stamp(F.col("start") + F.make_interval(mins=F.lit(minutes)))), F.concat(F.lit("SUMMARY:"), escape_calendar(F.col("summary"))),
+        F.concat(F.lit("DESCRIPTION:"), escape_calendar(F.col("description"))), F.concat(F.lit("URL:"), escape_calendar(F.col("url"))), F.lit("END:VEVENT"),
+    ]
+    item = F.struct("start", "uid", F.concat_ws("\r\n", *lines).alias("text"))
+    head = "\r\n".join(["BEGIN:VCALENDAR", "VERSION:2.0", f"PRODID:{producer}", "CALSCALE:GREGORIAN", "METHOD:PUBLISH", ""])
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["text"]), "\r\n")
+    return events.groupBy(group).agg(F.concat(F.lit(head), body, F.lit("\r\nEND:VCALENDAR\r\n")).alias("value"))
+
+
+def alert_mails(jobs: DataFrame, user: str, intro: str, one: str, many: str, order: list[str]) -> DataFrame:
+    """(user, n, subject, text, html) of new postings(title, company, canton, location,
+    url): `one` or `many` is the subject, {n} being their number; markup is escaped."""
+    dash = F.lit("—")
+    filled_or = lambda *c: F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in c], dash)
+    title, url = F.coalesce("title", F.lit("")), F.coalesce("url", F.lit(""))
+    text = F.concat(F.lit("- "), title, F.lit(" · "), filled_or("company"), F.lit(" · "), filled_or("canton", "location"), F.lit("\n  "), url)
+    e = escape_markup
+    html = F.concat(
+        F.lit("<li><strong>"), e(title), F.lit("</strong> — "), e(filled_or("company")), F.lit(" ("), e(filled_or("canton", "location")), F.lit(')<br><a href="'), e(url), F.lit('">'), e(url), F.lit("</a></li>")
+    )
+    rows = F.sort_array(F.collect_list(F.struct(*order, text.alias("_text"), html.alias("_html"))))
+    joined = lambda c, by: F.array_join(F.transform(rows, lambda x: x[c]), by)
+    n = F.count(F.lit(1))
+    subject = F.when(n == 1, F.lit(one)).otherwise(F.replace(F.lit(many), F.lit("{n}"), n.cast("string")))
+    return jobs.groupBy(user).agg(
+        n.alias("n"), subject.alias("subject"), F.concat(F.lit(f"{intro}\n\n"), joined("_text", "\n")).alias("text"), F.concat(F.lit(f"<p>{intro}</p><ul>"), joined("_html", ""), F.lit("</ul>")).alias("html")
+    )
+
+
 def cached(requests: DataFrame, cache: DataFrame, key: Column, now: Column, ttl_seconds: int) -> tuple[DataFrame, DataFrame]:
     """(answered requests, those to ask): cache(key, value, stored_at), md5 keys, entries expire."""
     r = requests.withColumn("_key", F.md5(key))

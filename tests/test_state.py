@@ -10,9 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import answers as A
-from sievework.operators import ask_once, dedup, fulltext, models, patterns, user_filters
+from sievework.functions import enrich as E
+from sievework.functions import text as X
+from sievework.operators import ask_once, dedup, fulltext, models, patterns, user_filters, views
 from sievework.operators.merge import upsert
-from sievework.sources import dumps, readers
+from sievework.sources import dumps, readers, sinks
 from sievework.storage import Snapshots
 from sievework.streaming import incremental
 
@@ -342,3 +344,36 @@ def test_index_is_found_again(spark, tmp_path):
     spark.createDataFrame([(3, "b")], "id long, t string").write.mode("append").parquet(str(tmp_path / "t"))
     again = fulltext.index_of(spark, str(tmp_path / "home"), docs(), "id", "t")
     assert again.path != first.path and again.containing("b").count() == 2 and first.containing("b").count() == 1
+
+
+# --- calendars, mails, letters -----------------------------------------------------
+
+
+def test_calendars_mails_and_letters(spark):
+    m = spark.createDataFrame([("h1", T0, "School; A", "Cook", None), ("h2", T0, "B", "Chef", "/u")], "hash string, made timestamp, place string, title string, url string")
+    events = sinks.application_events(m, "hash", "made", "place", "title", "url", "Apply", "Follow up", "Any answer?")
+    assert events.count() == 4
+    files = {r["hash"]: r["value"] for r in sinks.calendar_files(events, "hash", F.lit(T0), "-//x//", "own").collect()}
+    lines = files["h1"].split("\r\n")
+    assert lines[:2] == ["BEGIN:VCALENDAR", "VERSION:2.0"] and lines[-2:] == ["END:VCALENDAR", ""] and lines.count("BEGIN:VEVENT") == 2
+    assert lines.index("UID:apply-h1@own") < lines.index("UID:followup-h1@own") and "SUMMARY:Apply — School\\; A" in lines and "URL:" in lines
+    assert "DTSTART:20240103T000000Z" in lines and "DTEND:20240103T003000Z" in lines and "DTSTART:20240115T000000Z" in lines
+    jobs = spark.createDataFrame([("u", 1, "A & B", None, "", "Bern", "/1"), ("u", 2, None, "Co", "ZH", "x", None), ("v", 3, "C", "", None, None, "/3")], "user string, n int, title string, company string, canton string, location string, url string")
+    mails = {r["user"]: r for r in sinks.alert_mails(jobs, "user", "New:", "one", "{n} of them", ["n"]).collect()}
+    assert mails["u"]["subject"] == "2 of them" and mails["v"]["subject"] == "one"
+    assert mails["u"]["text"] == "New:\n\n- A & B · — · Bern\n  /1\n-  · Co · ZH\n  "
+    assert mails["v"]["html"] == '<p>New:</p><ul><li><strong>C</strong> — — (—)<br><a href="/3">/3</a></li></ul>' and "A &amp; B" in mails["u"]["html"]
+    letter = jobs.select(X.filled("To {place}: {title} {{x}", {"place": F.col("location"), "title": F.col("title"), "x": F.lit("{n}")}).alias("t"))
+    assert sorted(r["t"] for r in letter.collect())[0] == "To : C {{n}"
+    with pytest.raises(ValueError, match="absent"):
+        X.filled("{absent}", {})
+
+
+def test_category_bypass(spark):
+    df = spark.createDataFrame([("H", "listed_a", True), ("H", "listed_a", False), ("H", None, True), (None, "listed_a", None), ("A", "x", True)], "c string, s string, on boolean")
+    assert [r[0] for r in df.select(E.category_times(F.col("c"), F.col("s"), F.col("on"), "listed_")).collect()] == [1.0, 0.15, 0.15, 0.55, 1.0]
+
+
+def test_source_query_spans_title_and_description(spark):
+    df = spark.createDataFrame([(1, "Head", "cook"), (2, "x", "head cook"), (3, "head", None), (4, None, "Head Cook now")], "i int, t string, d string")
+    assert sorted(r["i"] for r in views.query_matches(df, "HEAD COOK", ["t", "d"]).collect()) == [1, 2, 4]
