@@ -5,9 +5,9 @@ batch that saw it first, with the number of that batch's documents and the large
 id; runs are bucketed by the 128-bit key hash and sorted within buckets. A new batch
 is counted by key and merge-anti-joined with the runs: what no run has becomes the
 batch's own run, and what some run has goes to a log of repeats. When a level holds
-`fanout` runs they are compacted into one run of the next level; their keys differ,
-so this only merges sorted rows. Runs are joined and compacted bucket by bucket,
-without a shuffle of their rows.
+`fanout` runs they are compacted into one run of the next level, whose keys differ.
+Runs are joined and compacted bucket by bucket, without a shuffle of their rows; Spark
+does not trust the order of bucket files and sorts a bucket again as it reads it.
 
 A frequent line either had enough documents in its first batch or is in the log, so
 only the log and the first entries that it names are added up: lines of one batch,
