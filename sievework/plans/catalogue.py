@@ -324,7 +324,10 @@ def page_links(spark, sf_dir):
     return readers.links(_read(spark, sf_dir, "pages"))
 
 
-@_query()
+@_query(r"""
+WITH m AS (SELECT page_id, regexp_extract_all(html, '(?s)<div class="ad">(.*?)</div>', 1) AS f FROM pages)
+SELECT page_id, unnest(range(len(f)))::INTEGER AS pos, NULL::VARCHAR AS url, '' AS title, trim(regexp_replace(unnest(f), '\s+', ' ', 'g')) AS text FROM m
+""")
 def page_cards(spark, sf_dir):
     return readers.html_cards(_read(spark, sf_dir, "pages"), "ad").select("page_id", "pos", "url", "title", F.array_join(F.map_values("fields"), " ").alias("text"))
 

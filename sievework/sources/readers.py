@@ -38,7 +38,8 @@ def read_feed(spark: SparkSession, path: str, columns: dict[str, Column], item:
 
 
 class _Cards(HTMLParser):
-    """Cards: elements with a class; in each, the first link, and the texts by class."""
+    """Cards: elements with a class; in each, the first link, and the texts by class,
+    those under no class of their own by the card's."""
 
     def __init__(self, card: str):
         super().__init__(convert_charrefs=True)
@@ -53,7 +54,7 @@ class _Cards(HTMLParser):
         if not self.depth and self.card in classes:
             self.depth = 1
             self.found.append({"url": None, "title": "", "fields": {}})
-            self.stack = [""]
+            self.stack = [self.card]
             return
         if self.depth:
             self.depth += 1
