@@ -55,8 +55,10 @@ REST = 0.9
 PART_BYTES = 8 << 20
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _CLEAN = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
-#: Unicode's punctuation and spaces beyond ASCII: curly quotes, dashes, guillemets.
-_BEYOND = re.compile("[" + "".join(chr(c) for c in range(128, 0x110000) if unicodedata.category(chr(c))[0] in "PZ") + "]")
+#: Punctuation and spaces of Unicode's basic plane beyond ASCII: curly quotes, dashes,
+#: guillemets. With those of other planes (ancient scripts) the class would be a list
+#: that is searched for every character.
+_BEYOND = re.compile("[" + "".join(chr(c) for c in range(128, 0x10000) if unicodedata.category(chr(c))[0] in "PZ") + "]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 LEAK = "array<struct<item_id:bigint,score:double,overlap:double,question_overlap:double,answer_overlap:double>>"
 _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
