@@ -8,8 +8,8 @@ and leaves the candidates by an equality anti join. Nothing is compared pair by
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,10 +50,16 @@ def _found(machine, text: str | None) -> list[str]:
     return sorted({p for _, p in machine.iter(text.lower())}) if text and len(machine) else []
 
 
-@lru_cache(2)
-def _kept(key: str, patterns: tuple[str, ...]):
-    """One automaton for a worker, whatever the number of its tasks."""
-    return _automaton(patterns)
+#: The automaton that a worker holds, by the key of its search.
+_HELD: dict = {}
+
+
+def held_automaton(key: str, patterns):
+    """The automaton of broadcast patterns, made once for a worker."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = _automaton(patterns.value)
+    return _HELD[key]
 
 
 def pattern_hits(titles: DataFrame, patterns: DataFrame, id_col: str, title_col: str, most: int = MOST_PATTERNS) -> DataFrame:
@@ -73,12 +79,11 @@ def pattern_hits(titles: DataFrame, patterns: DataFrame, id_col: str, title_col:
     blocks = max(-(-n // most), -(-chars // MOST_CHARS), 1)
     if blocks == 1:
         spark = titles.sparkSession
-        shared = spark.sparkContext.broadcast(tuple(sorted(r[0] for r in real.collect())))  # checked above
-        key = str(shared.id) if hasattr(shared, "id") else str(id(shared))
+        shared, key = spark.sparkContext.broadcast([r[0] for r in real.collect()]), uuid.uuid4().hex  # checked above
 
         @F.arrow_udf("array<string>")
         def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            machine = _kept(key, shared.value)
+            machine = held_automaton(key, shared)
             for part in texts:
                 yield pa.array([_found(machine, x) for x in part.to_pylist()], pa.list_(pa.string()))
 

@@ -63,8 +63,7 @@ class Snapshots:
     def commit(self, rows: DataFrame, stream: str = "", batch: int | None = None) -> int:
         """Make rows the next version. Of two writers of one version, the later fails."""
         data = uuid.uuid4().hex
-        names = [f.name for f in self.schema]
-        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).select(*names).write.parquet(f"{self.path}/data/{data}")
+        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).write.parquet(f"{self.path}/data/{data}")
         last = self.commits().agg(F.max("version")).first()[0]
         version = 0 if last is None else last + 1
         row = self.spark.createDataFrame([(version, data, stream, batch)], self._COMMIT).coalesce(1)
