@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievework.llm import quality, toxicity
+from sievework.llm import quality, spm_codec, toxicity
 from sievework.llm.decontaminate import ItemIndex, add_leaks, shingles, words_of
 from sievework.llm.html_extract import extract, extract_text
 from sievework.llm.sharding import _level, _quotas, _seats, balanced_shards
@@ -53,6 +53,24 @@ def test_codec_long_and_pairs(own, library):
         assert own.apart(a, b) == (own.merged(a + b) == [a, b])
 
 
+def test_codec_searches_units_together(model, library, monkeypatch):
+    """Units not met before are searched many at a time, also where the search turns
+    back, memo and pair slots overflow, or a character has no code."""
+    for name, value in {"TOGETHER": 4000, "MEMO_UNITS": 700, "PAIR_SLOTS": 64, "MEMO_PAIRS": 500}.items():
+        monkeypatch.setattr(spm_codec, name, value)
+    rnd, codec, alone = random.Random(4), PieceCodec(model), []
+    entries = codec._entries
+    monkeypatch.setattr(codec, "_entries", lambda unit: alone.append(unit) or entries(unit))
+    parts = sorted(p.strip("▁") for p in codec.score if 1 < len(p.strip("▁")) < 5 and p.strip("▁").isalpha())
+    words = ["".join(rnd.choices(parts, k=rnd.randint(1, 4))) + rnd.choice(["", "", ",", ".", "!?"]) for _ in range(3000)]
+    texts = ["", *(" ".join(rnd.choices(words, k=120)) for _ in range(50)), "a\0b 中文é😀\n\n  x  y▁", "ab" * 90 + " " + words[0]]
+    got = list(codec.encode_many(texts))
+    assert [unpack_ids(x) for x in got] == library.encode(texts, add_bos=True, add_eos=True)
+    assert [codec.decode_packed(x) for x in got[:-2]] == texts[:-2]
+    assert len(alone) < len({u for t in texts for u in t.split()}) / 2
+    assert codec.unit.findall("▁word,▁word.") == ["▁word", ",", "▁word", "."]
+
+
 def test_codec_frame(spark, model, library):
     got = decode(encode(frame(spark), model), model).collect()
     assert len(got) == len(corpus())
