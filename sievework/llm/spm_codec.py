@@ -262,7 +262,7 @@ class PieceCodec:
         node = {h: k for k, h in enumerate(heads, 1)}
         parents = {h[:-1] for h in heads}
         rows = {h: k for k, h in enumerate(sorted(parents - {""}), 2)}  # row 0 leads nowhere, 1 is the root's
-        self.goto = np.zeros((len(rows) + 2, len(chars) + 1), np.int32)
+        self.goto = np.zeros((len(rows) + 2, len(chars) + 1), np.min_scalar_type(len(heads)))
         self.row = np.zeros(len(heads) + 1, np.int32)
         self.best = np.zeros(len(heads) + 1, np.int32)
         self.entry = {}
