@@ -2,8 +2,8 @@
 
 Titles are searched for all distinct patterns in one pass, by an Aho-Corasick
 automaton in an Arrow UDF; the pattern then finds its users by an equality join, as a
-tag finds its own. What a user's filters hide is a table of (user, posting) pairs,
-and leaves the candidates by an equality anti join. Nothing is compared pair by pair.
+tag finds its own. Candidates meet their own user's filters and their own posting's
+hits only, so the work grows with the candidates and not with users times postings.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Patterns, and characters of patterns, of one automaton.
 MOST_PATTERNS, MOST_CHARS = 100_000, 8_000_000
+#: Filters of one user that go along with each candidate; users with more join by filter.
+MOST_LISTED = 100
 
 
 def active_filters(filters: DataFrame) -> DataFrame:
@@ -73,9 +75,8 @@ def pattern_hits(titles: DataFrame, patterns: DataFrame, id_col: str, title_col:
     """
     patterns = patterns.select(F.col("pattern")).where("pattern IS NOT NULL").distinct()
     t = titles.where(F.col(title_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(title_col).alias("_title"))
-    everywhere = patterns.where("pattern = ''").limit(1).count() > 0
     real = patterns.where("pattern <> ''")
-    n, chars = real.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.char_length("pattern")), F.lit(0))).first()
+    n, chars, everywhere = patterns.agg(F.count_if(F.col("pattern") != ""), F.coalesce(F.sum(F.char_length("pattern")), F.lit(0)), F.count_if(F.col("pattern") == "") > 0).first()
     blocks = max(-(-n // most), -(-chars // MOST_CHARS), 1)
     if blocks == 1:
         spark = titles.sparkSession
@@ -122,12 +123,33 @@ def hidden_pairs(jobs: DataFrame, filters: DataFrame, id_col: str = "hash", titl
     return by_title.select("user_id", id_col).unionByName(by_tag.select("user_id", id_col)).distinct()
 
 
-def without_hidden(pairs: DataFrame, jobs: DataFrame, filters: DataFrame, id_col: str = "hash", title: str = "title", tags: str = "tags", most: int = MOST_PATTERNS) -> DataFrame:
+def without_hidden(
+    pairs: DataFrame, jobs: DataFrame, filters: DataFrame, id_col: str = "hash", title: str = "title", tags: str = "tags", most: int = MOST_PATTERNS, listed: int = MOST_LISTED
+) -> DataFrame:
     """Candidate pairs (user_id, id, ...) without those that the user's own filters
     hide. As in SQL, a posting without a title passes no title filter. Users without
-    filters keep all; filters of users without candidates do nothing."""
-    out = pairs.join(hidden_pairs(jobs, filters, id_col, title, tags, most), ["user_id", id_col], "left_anti")
-    untitled = jobs.where(F.col(title).isNull()).select(id_col).distinct().withColumn("_untitled", F.lit(True))
-    strict = active_filters(filters).where("filter_type = 'title_contains'").select("user_id").distinct().withColumn("_strict", F.lit(True))
-    out = out.join(untitled, id_col, "left").join(strict, "user_id", "left")
-    return out.where(F.col("_untitled").isNull() | F.col("_strict").isNull()).select(*pairs.columns)
+    filters keep all; filters of users without candidates do nothing.
+
+    A posting has marks: the title patterns it contains, its tags, a missing title; a
+    user wants none of some marks. A candidate goes where the two lists meet. Users who
+    name more than `listed` marks join by user and mark instead, so that a candidate
+    never brings along more than its posting's own marks."""
+    active = active_filters(filters)
+    of_title = F.col("filter_type") == "title_contains"
+    mark = lambda kind, value: F.concat(F.lit(kind), value)
+    named = F.when(of_title, F.array(mark("t", F.col("pattern")), F.lit("u"))).when(F.col("filter_type") == "tag_contains", F.array(mark("g", F.col("pattern"))))
+    unwanted = active.select("user_id", F.explode(named).alias("_mark")).distinct()
+    own = unwanted.groupBy("user_id").agg(F.collect_list("_mark").alias("_unwanted"))
+    hits = pattern_hits(jobs, active.where(of_title).select("pattern"), id_col, title, most).select(id_col, mark("t", F.col("pattern")).alias("_mark"))
+    plain = F.concat(F.transform(F.coalesce(F.array_distinct(tags), F.array().cast("array<string>")), lambda x: mark("g", x)), F.array(F.when(F.col(title).isNull(), "u")))
+    marks = hits.unionByName(jobs.select(id_col, F.explode(plain).alias("_mark"))).where("_mark IS NOT NULL")
+    found = marks.groupBy(id_col).agg(F.collect_set("_mark").alias("_marks"))
+
+    few = own.where(F.size("_unwanted") <= listed)
+    many = own.where(F.size("_unwanted") > listed).select("user_id")
+    hidden = F.coalesce(F.arrays_overlap("_unwanted", "_marks"), F.lit(False))
+    out = pairs.join(few, "user_id", "left").join(found, id_col, "left").where(~hidden).select(*pairs.columns)
+    if many.isEmpty():
+        return out
+    strict = pairs.select("user_id", id_col).join(many, "user_id", "left_semi").distinct().join(marks, id_col).join(unwanted, ["user_id", "_mark"], "left_semi")
+    return out.join(strict.select("user_id", id_col).distinct(), ["user_id", id_col], "left_anti").select(*pairs.columns)

@@ -65,6 +65,44 @@ def test_many_filters_without_nested_loops(spark):
     assert out.count() == 6000 - sum(u % 30 == 0 for u, _ in got)
 
 
+def most_rows(df):
+    """The largest number of rows that any operator of df's plan makes."""
+    df.collect()
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.metrics().contains("numOutputRows"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        kind = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+    return max(found)
+
+
+@pytest.mark.parametrize("listed", [100, 0])
+def test_rows_follow_candidates(spark, listed):
+    """2,000 users filter a word that 2,000 titles have; each has two candidates."""
+    f = spark.range(2000).select(F.col("id").alias("user_id"), F.lit("title_contains").alias("filter_type"), F.lit("word").alias("pattern"), F.lit(True).alias("is_active"))
+    jobs = spark.range(2001).select(F.col("id").alias("hash"), F.when(F.col("id") < 2000, "a WORD").otherwise("other").alias("title"), F.array(F.lit("t")).alias("tags"))
+    pairs = spark.range(4000).select((F.col("id") % 2000).alias("user_id"), F.when(F.col("id") < 2000, F.col("id")).otherwise(2000).alias("hash"))
+    out = user_filters.without_hidden(pairs, jobs, f, listed=listed)
+    assert sorted(map(tuple, out.collect())) == [(u, 2000) for u in range(2000)]
+    assert most_rows(out) <= 12_000
+
+
+@pytest.mark.parametrize("listed", [0, 3])
+def test_users_with_many_filters(spark, listed):
+    rnd = random.Random(7)
+    jobs = [(i, rnd.choice([None, "", "ab", "Bc d"]), rnd.choice([None, [], ["a", None], ["b", "B"]])) for i in range(30)]
+    filters = [(u, rnd.choice(["title_contains", "tag_contains"]), rnd.choice(["a", "B", "c d", "", "b", "zz"]), True) for u in range(12) for _ in range(rnd.randint(0, 4))]
+    pairs = [(u, i, 7) for u in [*range(13), None] for i in [*range(0, 32, 3), None]] * 2
+    j = spark.createDataFrame(jobs + [(3, "a", ["b"])], "hash int, title string, tags array<string>")
+    f = spark.createDataFrame(filters, "user_id int, filter_type string, pattern string, is_active boolean")
+    own = lambda u: [(k, x) for v, k, x, _ in filters if v == u]
+    gone = lambda u, i: any(hidden(r, own(u)) for r in [*jobs, (3, "a", ["b"])] if r[0] == i)
+    got = user_filters.without_hidden(spark.createDataFrame(pairs, "user_id int, hash int, n int"), j, f, listed=listed)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(r) for r in pairs if not gone(*r[:2]))
+
+
 def test_removed_filters(spark):
     f = spark.createDataFrame([(1, "u", True), (2, "u", True), (3, "v", False), (4, None, True)], "id int, user_id string, is_active boolean")
     r = spark.createDataFrame([(1, "u"), (1, "u"), (2, "v"), (3, "v"), (9, "u")], "id int, user_id string")
