@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from sievework.functions import answers as A
 from sievework.functions import enrich as E
 from sievework.functions import text as X
-from sievework.operators import ask_once, dedup, fulltext, models, patterns, user_filters, views
+from sievework.operators import ask_once, dedup, fulltext, models, patterns, user_filters, views, watchlist
 from sievework.operators.merge import upsert
+from sievework.plans import user_queries
 from sievework.sources import dumps, readers, sinks
 from sievework.storage import Snapshots
 from sievework.streaming import incremental
@@ -109,6 +110,42 @@ def test_removed_filters(spark):
     assert {x["id"]: x["is_active"] for x in user_filters.removed_filters(f, r).collect()} == {1: False, 2: True, 3: False, 4: True}
 
 
+# --- totals of saved searches ------------------------------------------------------
+
+
+@pytest.mark.parametrize("spans", [1, 2, 64])
+def test_totals_of_saved_searches(spark, spans):
+    rnd = random.Random(5)
+    pick = lambda *v: rnd.choice((None, *v))
+    day = lambda k: None if k is None else T0 + timedelta(days=k)
+    jobs = [(str(i), pick("a", "b"), pick("ZH", "BE"), pick("de", "en"), pick(True, False), day(pick(*range(6))), rnd.random() < 0.9, None) for i in range(200)]
+    searches = []
+    for i in range(70):
+        asked = {"source": pick("a,b", "b", "a,a"), "canton": pick("zh", "be,ZH,zh"), "language": pick("de", ""), "remote_only": pick("1", "no")}
+        searches.append((i, {k: v for k, v in asked.items() if v is not None}, day(pick(*range(7))), "daily", True))
+    j = spark.createDataFrame(jobs, "hash string, source string, canton string, language string, remote boolean, last_seen_at timestamp, is_active boolean, duplicate_of string")
+    s = spark.createDataFrame(searches, "id int, filters map<string,string>, last_run_at timestamp, notify_frequency string, is_active boolean")
+    now = F.lit(T0 + timedelta(days=30))
+    pairs = {}
+    for r in watchlist.run_saved_searches(s, j, now).collect():
+        pairs.setdefault(r.search_id, []).append(int(r.hash))
+    want = {(k, len(v), min(v), max(v), sum(v)) for k, v in pairs.items()}
+    found = watchlist.saved_search_totals(s, j, now, F.col("hash"), spans=spans)
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 40
+    assert watchlist.saved_search_totals(s, j.limit(0), now, F.col("hash")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["saved_search_run"])
+def test_saved_searches_make_no_pairs(spark, tmp_path, name, monkeypatch):
+    """900 customers and 2,000 documents meet in over 200,000 pairs."""
+    spark.range(900).select(F.col("id").alias("c_custkey"), F.concat(F.lit("C"), "id").alias("c_name")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("src"), F.col("id") % 8).alias("source"), F.lit("en").alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
+    made, stored = [], getattr(watchlist, "stored", None)
+    monkeypatch.setattr(watchlist, "stored", lambda df, label: made.append(most_rows(df)) or stored(df, label), raising=False)
+    out = getattr(user_queries, name)(spark, str(tmp_path))
+    assert max([most_rows(out), *made]) < 20_000 and out.count() > 300
+
+
 # --- vectors in cells --------------------------------------------------------------
 
 
