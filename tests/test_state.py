@@ -135,7 +135,7 @@ def test_totals_of_saved_searches(spark, spans):
     assert watchlist.saved_search_totals(s, j.limit(0), now, F.col("hash")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["saved_search_run"])
+@pytest.mark.parametrize("name", ["saved_search_run", "saved_search_notifications"])
 def test_saved_searches_make_no_pairs(spark, tmp_path, name, monkeypatch):
     """900 customers and 2,000 documents meet in over 200,000 pairs."""
     spark.range(900).select(F.col("id").alias("c_custkey"), F.concat(F.lit("C"), "id").alias("c_name")).write.parquet(f"{tmp_path}/customer.parquet")
