@@ -5,6 +5,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from sievework.functions import enrich as E
 from sievework.functions import text as X
 from sievework.operators import ask_once, dedup, fulltext, models, patterns, user_filters, views, watchlist
 from sievework.operators.merge import upsert
-from sievework.plans import user_queries
+from sievework.plans import catalogue, stored_queries, user_queries
 from sievework.sources import dumps, readers, sinks
 from sievework.storage import Snapshots
 from sievework.streaming import incremental
@@ -452,3 +453,15 @@ def test_category_bypass(spark):
 def test_source_query_spans_title_and_description(spark):
     df = spark.createDataFrame([(1, "Head", "cook"), (2, "x", "head cook"), (3, "head", None), (4, None, "Head Cook now")], "i int, t string, d string")
     assert sorted(r["i"] for r in views.query_matches(df, "HEAD COOK", ["t", "d"]).collect()) == [1, 2, 4]
+
+
+def test_chained_run_beyond_a_day_of_seconds(spark, sf_dir, tmp_path):
+    """Documents numbered past 86,400: the oldest of a tag is still the last one."""
+    ids = spark.range(86_330, 86_480).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    ids.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "nation"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(catalogue.SQL["chained_run"]).fetchall()
+    assert sorted(map(tuple, stored_queries.chained_run(spark, str(tmp_path)).collect())) == sorted(want) and want
