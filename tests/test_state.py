@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,30 @@ def test_rows_sent_on_clustered_vectors(spark):
     base.unpersist()
 
 
+def test_rows_sent_without_clusters(spark):
+    """Where old rows are near to most, as random vectors are at 0.4, few rows are sent."""
+    n, rng = 20_000, np.random.default_rng(6)
+    v = rng.normal(size=(n, 64)).astype(np.float32)
+    rows = pa.table({"i": pa.array(range(n), pa.int64()), "v": pa.FixedSizeListArray.from_arrays(v.ravel(), 64).cast(pa.list_(pa.float32()))})
+    df = spark.createDataFrame(rows)
+    _, sent = dedup.semantic_cells(df.withColumn("o", F.col("i").cast("double")), 0.4)
+    assert sent.count() < 2 * n
+    u = v.astype(float) / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {}
+    for lo in range(0, n, 1000):
+        hit = np.tril(u[lo : lo + 1000] @ u.T > 0.4, lo - 1)
+        want |= {lo + k: int(hit[k].argmax()) for k in np.flatnonzero(hit.any(axis=1))}
+    assert {r[0]: r[1] for r in dedup.semantic_duplicates(df, 0.4, "i", "v", "i").collect()} == want
+
+
+def test_blocks_of_wide_vectors(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK_VALUES", 40)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(y) for y in np.float32(rng.normal(size=5))], int(rng.integers(0, 9))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v array<float>, age int")
+    assert {r[0]: r[1] for r in dedup.semantic_duplicates(df, 0.6, "id", "v", "age").collect()} == brute_copies(rows, 0.6)
+
+
 # --- snapshots and streams ---------------------------------------------------------
 
 
